@@ -1,0 +1,5 @@
+"""Nothing here on purpose: every flow of this library is a bounded batch.
+
+The only incremental flows (training batch by batch, training version by
+version) are ordered loops over finite inputs and live in ``plans``.
+"""
