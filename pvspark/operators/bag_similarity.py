@@ -8,16 +8,37 @@ same threshold yields every true pair; the few extra ones are dropped by the
 exact integer dot product.
 """
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.operators.duplicates import NearDuplicates
-from pvspark.operators.similarity import DEFAULT_THRESHOLD, similar_groups, with_unit_vectors
+from pvspark.operators.similarity import DEFAULT_THRESHOLD, list_array, similar_groups, with_unit_vectors
 from pvspark.session import materialize
 
 _SLACK = 1e-9  # rounding of the bucket norms
 
 
+def _dense(by_bucket: DataFrame, width: int) -> DataFrame:
+    """``bag, embedding`` from the bucket numbers and norms of each bag."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, norms = batch.column("buckets"), batch.column("norms")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(at).to_numpy())
+            dense = np.zeros((batch.num_rows, width))
+            dense[row, at.flatten().to_numpy()] = norms.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("gid"), list_array(dense)], names=["bag", "embedding"]
+            )
+
+    return by_bucket.mapInArrow(fill, "bag binary, embedding array<double>")
+
+
 def bag_duplicates(
     docs: DataFrame, threshold: float = DEFAULT_THRESHOLD, file: str = "tag", width: int = 256
 ) -> NearDuplicates:
@@ -25,7 +46,7 @@ def bag_duplicates(
 
     Documents with the same multiset of words form one copy group.
     """
-    sorted_words = F.concat_ws(" ", F.array_sort("words"))
+    sorted_words = F.concat_ws(" ", F.sort_array("words"))
     members = materialize(
         docs.select(
             F.col(file).alias("file"),
@@ -53,15 +74,11 @@ def bag_duplicates(
         F.sqrt(F.sum(square).cast("double")).alias("norm")
     )
     by_bucket = per_bucket.groupBy("gid").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "norm"))).alias("norms")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.coalesce(F.try_element_at("norms", i), F.lit(0.0)),
+        F.collect_list("bucket").alias("buckets"), F.collect_list("norm").alias("norms")
     )
     # two bags may share all bucket norms, so bags and bucket vectors are kept apart
     bounds = materialize(
-        with_unit_vectors(by_bucket.select(F.col("gid").alias("bag"), dense.alias("embedding"))),
+        with_unit_vectors(_dense(by_bucket, width)),
         "bag-bounds",
     )
     distinct = materialize(

@@ -50,7 +50,7 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(rows, -1)
 
 
-def _list_array(matrix: np.ndarray) -> pa.Array:
+def list_array(matrix: np.ndarray) -> pa.Array:
     rows, dims = matrix.shape
     offsets = np.arange(0, (rows + 1) * dims, max(dims, 1), dtype=np.int32)
     if not dims:
@@ -90,7 +90,7 @@ def with_unit_vectors(items: DataFrame, vector: str = "embedding") -> DataFrame:
             digests = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in unit]
             columns = [batch.column(n) for n in names] + [
                 pa.array(digests, pa.binary()),
-                _list_array(unit),
+                list_array(unit),
                 pa.array((unit * unit).sum(axis=1)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names + ["gid", "unit", "self_sim"])

@@ -29,6 +29,7 @@ def local_session(cpus: int, memory: str = "8g", app_name: str = "pvspark-local"
         builder(app_name)
         .master(f"local[{cpus}]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.host", "127.0.0.1")
@@ -70,3 +71,12 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for a CPU-heavy narrow stage over an input of few splits.
+
+    A large input already has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
