@@ -29,6 +29,10 @@ from pvspark.session import materialize
 CHUNK = 1024  # members of one group joined by one key
 
 
+def _pair_order() -> list:
+    return [F.desc("similarity"), "ord_a", "pos_a", "ord_b", "pos_b"]
+
+
 @dataclass
 class NearDuplicates:
     members: DataFrame  # file, pos, ord, side, gid, uid
@@ -128,7 +132,7 @@ class NearDuplicates:
         """``file_a, file_b, similarity`` by similarity, ties in input order."""
         return (
             self.pairs()
-            .orderBy(F.desc("similarity"), "ord_a", "pos_a", "ord_b", "pos_b")
+            .orderBy(*_pair_order())
             .select("file_a", "file_b", "similarity")
         )
 
@@ -137,53 +141,58 @@ class NearDuplicates:
 
         Any pair among the first k of its link uses one of the first k + 1
         members of each group, and only the k links whose first pair comes
-        earliest can contribute. Not for ``cross``.
+        earliest can contribute.
         """
-        if self.cross:
-            return (
-                self.pairs()
-                .orderBy(F.desc("similarity"), "pos_a", "pos_b")
-                .limit(k)
-                .select("file_a", "file_b", "similarity")
-            )
+        right_side = 1 if self.cross else 0
         at = F.struct("ord", "pos", "uid")
-        heads = self.members.groupBy("gid").agg(F.min(at).alias("head"))
+        # first two members of each group, without ordering whole groups
+        heads = self.members.groupBy("side", "gid").agg(F.min(at).alias("head"))
         seconds = (
-            self.members.join(heads, "gid")
+            self.members.join(heads, ["side", "gid"])
             .filter(at > F.col("head"))
-            .groupBy("gid")
+            .groupBy("side", "gid")
             .agg(F.min(at).alias("second"))
         )
-        same = F.col("gid_a") == F.col("gid_b")
-        best = (
-            self._sized_links()
-            .join(heads.select(F.col("gid").alias("gid_a"), F.col("head").alias("head_a")), "gid_a")
-            .join(heads.select(F.col("gid").alias("gid_b"), F.col("head").alias("head_b")), "gid_b")
-            .join(
-                seconds.select(F.col("gid").alias("gid_a"), F.col("second")), "gid_a", "left"
+        firsts = heads.join(seconds, ["side", "gid"], "left")
+
+        def end(suffix: str, side: int) -> DataFrame:
+            return firsts.filter(F.col("side") == side).select(
+                F.col("gid").alias(f"gid_{suffix}"),
+                F.col("head").alias(f"head_{suffix}"),
+                F.col("second").alias(f"second_{suffix}"),
             )
-            .withColumn("first_at", F.least("head_a", "head_b"))
-            .withColumn(
-                "last_at", F.when(same, F.col("second")).otherwise(F.greatest("head_a", "head_b"))
+
+        ranked = self.links.join(end("a", 0), "gid_a").join(end("b", right_side), "gid_b")
+        if self.cross:
+            earlier, later = F.col("head_a"), F.col("head_b")
+        else:
+            own = F.col("gid_a") == F.col("gid_b")
+            earlier = F.least("head_a", "head_b")
+            later = F.when(own, F.col("second_a")).otherwise(F.greatest("head_a", "head_b"))
+        best = ranked.orderBy(F.desc("similarity"), earlier, later).limit(k)
+        best = materialize(best.select("gid_a", "gid_b", "similarity"), "top-links")
+        one = F.lit(1).cast("long")
+        ends = best.select(
+            F.inline(
+                F.array(
+                    F.struct(F.lit(0).alias("side"), F.col("gid_a").alias("gid")),
+                    F.struct(F.lit(right_side).alias("side"), F.col("gid_b").alias("gid")),
+                )
             )
-            .orderBy(F.desc("similarity"), "first_at", "last_at")
-            .limit(k)
-        )
-        ends = best.select(F.explode(F.array("gid_a", "gid_b")).alias("gid")).distinct()
-        order = W.partitionBy("gid").orderBy("ord", "pos", "uid")
-        # the rank filter is applied per partition before the shuffle
+        ).distinct()
+        # the rank limit is applied per partition before the shuffle
         few = (
-            self.members.join(ends, "gid", "left_semi")
-            .withColumn("rank", F.row_number().over(order))
+            self.members.join(ends, ["side", "gid"], "left_semi")
+            .withColumn(
+                "rank", F.row_number().over(W.partitionBy("side", "gid").orderBy("ord", "pos", "uid"))
+            )
             .filter(F.col("rank") <= k + 1)
-            .withColumn("copies", F.lit(1).cast("long"))
-        )
-        links = best.select("gid_a", "gid_b", "similarity").withColumns(
-            {"copies_a": F.lit(1).cast("long"), "copies_b": F.lit(1).cast("long")}
+            .withColumn("copies", one)
         )
+        links = best.withColumns({"copies_a": one, "copies_b": one})
         return (
             self._expand(links, few)
-            .orderBy(F.desc("similarity"), "ord_a", "pos_a", "ord_b", "pos_b")
+            .orderBy(*_pair_order())
             .limit(k)
             .select("file_a", "file_b", "similarity")
         )
