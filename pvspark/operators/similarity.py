@@ -35,6 +35,7 @@ AXIS_SAMPLE = 2048
 GRID_SAMPLE = 512
 GRID_PAYS_FROM = 10**11  # multiply-adds of the full triangle
 MAX_BROADCAST_ROWS = 500_000  # rows of a few integers each: some 20 MB
+_BLOCK_PAIR = ["cell_a", "sub_a", "cell_b", "sub_b"]
 _TILE = 1024
 _EMIT_ROWS = 1 << 16
 
@@ -50,6 +51,19 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(rows, -1)
 
 
+def _from_bytes(column) -> np.ndarray:
+    """2-D float64 view of an Arrow binary column holding packed unit vectors."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    rows = len(column)
+    if rows == 0:
+        return np.zeros((0, 0))
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + rows + 1]
+    count = (bounds[-1] - bounds[0]) // 8
+    return np.frombuffer(data, np.float64, count, int(bounds[0])).reshape(rows, -1)
+
+
 def list_array(matrix: np.ndarray) -> pa.Array:
     rows, dims = matrix.shape
     offsets = np.arange(0, (rows + 1) * dims, max(dims, 1), dtype=np.int32)
@@ -68,7 +82,9 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def with_unit_vectors(items: DataFrame, vector: str = "embedding") -> DataFrame:
     """Replace ``vector`` by ``gid`` (digest of the unit vector), ``unit``, ``self_sim``.
 
-    Narrow, one Arrow pass.
+    Narrow, one Arrow pass. ``unit`` is packed doubles: from here on vectors
+    are only moved, and a binary value is copied whole where an array would be
+    converted element by element.
     """
     items = items.withColumn(vector, F.col(vector).cast("array<double>"))
     kept = [f for f in items.schema.fields if f.name != vector]
@@ -76,7 +92,7 @@ def with_unit_vectors(items: DataFrame, vector: str = "embedding") -> DataFrame:
         kept
         + [
             T.StructField("gid", T.BinaryType()),
-            T.StructField("unit", T.ArrayType(T.DoubleType())),
+            T.StructField("unit", T.BinaryType()),
             T.StructField("self_sim", T.DoubleType()),
         ]
     )
@@ -87,10 +103,11 @@ def with_unit_vectors(items: DataFrame, vector: str = "embedding") -> DataFrame:
             if batch.num_rows == 0:
                 continue
             unit = _unit(_matrix(batch.column(vector)))
-            digests = [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in unit]
+            packed = [row.tobytes() for row in unit]
+            digests = [hashlib.blake2b(row, digest_size=16).digest() for row in packed]
             columns = [batch.column(n) for n in names] + [
                 pa.array(digests, pa.binary()),
-                list_array(unit),
+                pa.array(packed, pa.binary()),
                 pa.array((unit * unit).sum(axis=1)),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names + ["gid", "unit", "self_sim"])
@@ -106,7 +123,7 @@ def _axes(distinct: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     first rows are a random sample.
     """
     rows = distinct.select("unit").limit(AXIS_SAMPLE).toArrow()
-    sample = _matrix(rows.column("unit"))
+    sample = _from_bytes(rows.column("unit"))
     centred = sample - sample.mean(axis=0)
     _, _, axes = np.linalg.svd(centred, full_matrices=False)
     axes = axes[:MAX_AXES]
@@ -143,7 +160,7 @@ def _with_cells(distinct: DataFrame, axes: np.ndarray, width: float) -> DataFram
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            steps = np.floor(_matrix(batch.column("unit")) @ axes.T / width).astype(np.int64)
+            steps = np.floor(_from_bytes(batch.column("unit")) @ axes.T / width).astype(np.int64)
             code = np.zeros(len(steps), dtype=np.int64)
             for j in range(steps.shape[1]):
                 code = code * base + steps[:, j] + base // 2
@@ -183,7 +200,7 @@ def _pair_kernel(threshold: float, dims: int, within: bool):
         table = pa.Table.from_batches(list(batches))
         role = table.column("role").to_numpy()
         gid = np.array(table.column("gid").to_pylist(), dtype=object)
-        unit = _matrix(table.column("unit"))
+        unit = _from_bytes(table.column("unit"))
         left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         same = within and not len(right)
         if same:
@@ -249,6 +266,59 @@ def _block_pairs(cells: DataFrame, offsets: list[int], cross: bool) -> DataFrame
     return pairs
 
 
+def _meet_all(vectors: DataFrame, blocks: int, cross: bool) -> DataFrame:
+    """Send each vector to every pair of hash blocks it belongs to; no join."""
+    sub = F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int")
+    vectors = vectors.withColumns(
+        {"sub": sub, "cell_a": F.lit(0).cast("long"), "cell_b": F.lit(0).cast("long")}
+    )
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    right_side = 1 if cross else 0
+    as_left = every if cross else F.sequence("sub", F.lit(blocks - 1))
+    left = vectors.filter(F.col("side") == 0).select(
+        "cell_a", F.col("sub").alias("sub_a"), "cell_b", F.explode(as_left).alias("sub_b"),
+        F.lit(0).alias("role"), "gid", "unit",
+    )
+    # a block paired with itself is sent once, as the left side
+    as_right = every if cross else F.filter(every, lambda p: p < F.col("sub"))
+    right = vectors.filter(F.col("side") == right_side).select(
+        "cell_a", F.explode(as_right).alias("sub_a"), "cell_b", F.col("sub").alias("sub_b"),
+        F.lit(1).alias("role"), "gid", "unit",
+    )
+    return left.unionByName(right)
+
+
+def _meet_in_grid(
+    vectors: DataFrame, axes: np.ndarray, width: float, block_rows: int, cross: bool
+) -> DataFrame:
+    """Send each vector to the pairs of blocks of neighbouring cells."""
+    vectors = materialize(_with_cells(vectors, axes, width), "cells")
+    cells = materialize(
+        vectors.groupBy("side", "cell")
+        .agg(F.count("*").alias("n"))
+        .select("side", "cell", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("subs")),
+        "cell-sizes",
+    )
+    # a hot cell is split by hash, so no block holds much more than block_rows
+    placed = vectors.join(_small(cells), ["side", "cell"]).withColumn(
+        "sub", F.pmod(F.xxhash64("gid"), F.col("subs")).cast("int")
+    )
+    pairs = _small(_block_pairs(cells, _neighbour_offsets(len(axes), width), cross))
+    off_diagonal = pairs
+    if not cross:  # a block paired with itself is sent once, as the left side
+        off_diagonal = pairs.filter(F.struct("cell_a", "sub_a") != F.struct("cell_b", "sub_b"))
+
+    def role(number: int, suffix: str, side: int, meetings: DataFrame) -> DataFrame:
+        rows = placed.filter(F.col("side") == side).select(
+            F.col("cell").alias(f"cell_{suffix}"), F.col("sub").alias(f"sub_{suffix}"), "gid", "unit"
+        )
+        return rows.join(meetings, [f"cell_{suffix}", f"sub_{suffix}"]).select(
+            *_BLOCK_PAIR, F.lit(number).alias("role"), "gid", "unit"
+        )
+
+    return role(0, "a", 0, pairs).unionByName(role(1, "b", 1 if cross else 0, off_diagonal))
+
+
 def similar_groups(
     distinct: DataFrame, threshold: float, cross: bool = False, block_rows: int | None = None
 ) -> DataFrame:
@@ -260,9 +330,10 @@ def similar_groups(
     """
     spark = distinct.sparkSession
     schema = "gid_a binary, gid_b binary, similarity double"
-    n, dims = distinct.agg(F.count("*"), F.max(F.size("unit"))).first()
+    n, unit_bytes = distinct.agg(F.count("*"), F.max(F.length("unit"))).first()
     if n == 0:
         return spark.createDataFrame([], schema)
+    dims = unit_bytes // 8
     blocks_wanted = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
     if block_rows is None:
         limit = max(MIN_BLOCK, BLOCK_BYTES // (8 * max(dims, 1)))
@@ -278,41 +349,9 @@ def similar_groups(
 
     vectors = distinct.select("side", "gid", "unit")
     if len(axes):
-        vectors = materialize(_with_cells(vectors, axes, width), "cells")
-        cells = materialize(
-            vectors.groupBy("side", "cell")
-            .agg(F.count("*").alias("n"))
-            .select("side", "cell", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("subs")),
-            "cell-sizes",
-        )
-        vectors = vectors.join(_small(cells), ["side", "cell"])
-        block_pairs = _small(_block_pairs(cells, _neighbour_offsets(len(axes), width), cross))
+        grouped = _meet_in_grid(vectors, axes, width, block_rows, cross)
     else:
-        sides = [0, 1] if cross else [0]
-        cells = spark.createDataFrame([(s, 0, blocks) for s in sides], "side int, cell long, subs int")
-        vectors = vectors.withColumn("cell", F.lit(0).cast("long")).withColumn("subs", F.lit(blocks))
-        block_pairs = _block_pairs(cells, [0], cross)
-        if blocks * blocks <= MAX_BROADCAST_ROWS:
-            block_pairs = F.broadcast(block_pairs)
-    # a hot cell is split by hash, so no block holds much more than block_rows
-    placed = vectors.withColumn("sub", F.pmod(F.xxhash64("gid"), F.col("subs")).cast("int"))
-    right_side = 1 if cross else 0
-    pair_key = ["cell_a", "sub_a", "cell_b", "sub_b"]
-
-    def role(number: int, suffix: str, side: int, pairs: DataFrame) -> DataFrame:
-        vectors = placed.filter(F.col("side") == side).select(
-            F.col("cell").alias(f"cell_{suffix}"), F.col("sub").alias(f"sub_{suffix}"), "gid", "unit"
-        )
-        return vectors.join(pairs, [f"cell_{suffix}", f"sub_{suffix}"]).select(
-            *pair_key, F.lit(number).alias("role"), "gid", "unit"
-        )
-
-    off_diagonal = block_pairs
-    if not cross:  # a block paired with itself is sent once
-        off_diagonal = block_pairs.filter(
-            F.struct("cell_a", "sub_a") != F.struct("cell_b", "sub_b")
-        )
-    grouped = role(0, "a", 0, block_pairs).unionByName(role(1, "b", right_side, off_diagonal))
-    return grouped.groupBy(*pair_key).applyInArrow(
+        grouped = _meet_all(vectors, blocks, cross)
+    return grouped.groupBy(*_BLOCK_PAIR).applyInArrow(
         _pair_kernel(threshold, dims, within=not cross), schema
     )
