@@ -409,8 +409,7 @@ def pv_train_batches(spark, sf_dir):
 
 
 def _base(spark, sf_dir) -> pv.PVModel:
-    """A base model over everything but the newest version."""
-    return pv.PVTrainer(PV).fit(_corpus(spark, sf_dir).filter(F.col("version") != "src19"))
+    return pv.PVTrainer(PV).fit(_corpus(spark, sf_dir))
 
 
 def pv_finetune(spark, sf_dir):

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvspark.operators.duplicates import NearDuplicates
+from pvspark.operators.duplicates import NearDuplicates, summary_of_links
 from pvspark.operators.similarity import DEFAULT_THRESHOLD, list_array, similar_groups, with_unit_vectors
 from pvspark.session import materialize
 
@@ -124,15 +124,19 @@ def bag_duplicates(
         )
         .filter(F.col("similarity") >= threshold)
     )
-    sizes = materialize(members.groupBy("gid").agg(F.count("*").alias("copies")), "bag-sizes")
-    sizes = sizes.withColumn("side", F.lit(0))
-    own = sizes.filter(F.col("copies") > 1).select(
+    copies = F.col("copies")
+    sizes = materialize(members.groupBy("gid").agg(F.count("*").alias("copies")), "bag-sizes").select(
+        F.lit(0).alias("side"), "gid", "copies", F.array(F.lit(0)).alias("ords"), F.array(copies).alias("ns")
+    )
+    own = sizes.filter(copies > 1).select(
         F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"), F.lit(1.0).alias("similarity")
     )
-    return NearDuplicates(
+    found = NearDuplicates(
         members=members.select("file", "pos", "ord", "side", "gid", "uid"),
-        groups=sizes.select("side", "gid", "copies"),
-        links=materialize(links.unionAll(own), "bag-links"),
+        groups=sizes,
         threshold=threshold,
-        cross=False,
     )
+    # the pairs are verified here, so the dense join must not run again
+    found.links = materialize(links.unionAll(own), "bag-links")
+    found.summary = summary_of_links(found.links, sizes)
+    return found

@@ -1,17 +1,20 @@
 """Near-duplicate pairs and reports over copy groups.
 
-``NearDuplicates`` keeps the result of one similarity join in compressed form:
+``NearDuplicates`` starts from two stored tables:
 
 * ``members``: one row per input file with its copy group ``gid``,
-* ``groups``: one row per copy group with its size,
-* ``links``: pairs of groups at or above the threshold, and a link of a group
-  to itself when it has two or more members.
-
-A link of groups with m and n members stands for m*n file pairs. Reports work
-on this form; only ``pairs()`` spells the file pairs out.
+* ``groups``: one row per copy group with its vector, size and members per
+  version.
+
+Reports read ``summary``, which the similarity join fills without listing any
+pair, so neither exact copies nor large clusters of near copies blow it up.
+Only the pair lists use ``links``: pairs of groups at or above the threshold,
+and a link of a group to itself when it has two or more members. A link of
+groups with m and n members stands for m*n file pairs.
 """
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from pvspark.functions.stats import EXACT_SIMILARITY, pct
 from pvspark.operators.similarity import (
     DEFAULT_THRESHOLD,
+    PAIR_NUMBERS,
     distinct_vectors,
     similar_groups,
+    similar_summary,
     with_unit_vectors,
 )
 from pvspark.session import materialize
@@ -33,13 +38,46 @@ def _pair_order() -> list:
     return [F.desc("similarity"), "ord_a", "pos_a", "ord_b", "pos_b"]
 
 
+def _at(counts: Column, ord: Column) -> Column:
+    return F.coalesce(F.try_element_at(counts, ord), F.lit(0).cast("long"))
+
+
+def _before(counts: Column, ord: Column) -> Column:
+    return F.aggregate(
+        F.map_entries(counts),
+        F.lit(0).cast("long"),
+        lambda total, e: total + F.when(e["key"] < ord, e["value"]).otherwise(F.lit(0)),
+    )
+
+
 @dataclass
 class NearDuplicates:
     members: DataFrame  # file, pos, ord, side, gid, uid
-    groups: DataFrame  # side, gid, copies
-    links: DataFrame  # gid_a, gid_b, similarity
+    groups: DataFrame  # side, gid, copies, ords, ns [, unit, self_sim]
     threshold: float
-    cross: bool
+    cross: bool = False
+    block_rows: int | None = None
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """Stored ``gid_a, gid_b, similarity``."""
+        links = similar_groups(self.groups, self.threshold, self.cross, self.block_rows)
+        own = self._own().select(
+            F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"), "self_sim"
+        )
+        return materialize(links.unionAll(own), "links")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Stored rows of ``similar_summary``, with the pairs inside copy groups added."""
+        found = similar_summary(self.groups, self.threshold, self.cross, self.block_rows)
+        own = self._own().select("gid", "side", "ords", "ns", F.col("self_sim").alias("similarity"))
+        return materialize(found.unionByName(own_summary(own)), "summary")
+
+    def _own(self) -> DataFrame:
+        """Copy groups whose members are pairs among themselves."""
+        inside = F.lit(False) if self.cross else F.col("self_sim") >= self.threshold
+        return self.groups.filter((F.col("copies") > 1) & inside)
 
     # ---- expansion ------------------------------------------------------
 
@@ -124,7 +162,9 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """Every file pair: earlier file first, by (version order, position)."""
-        sizes = self.groups.join(self._linked(), ["side", "gid"], "left_semi")
+        sizes = self.groups.select("side", "gid", "copies").join(
+            self._linked(), ["side", "gid"], "left_semi"
+        )
         members = self.members.join(sizes, ["side", "gid"])
         return self._expand(self._sized_links(), members)
 
@@ -146,9 +186,10 @@ class NearDuplicates:
         right_side = 1 if self.cross else 0
         at = F.struct("ord", "pos", "uid")
         # first two members of each group, without ordering whole groups
-        heads = self.members.groupBy("side", "gid").agg(F.min(at).alias("head"))
+        linked = self.members.join(self._linked(), ["side", "gid"], "left_semi")
+        heads = linked.groupBy("side", "gid").agg(F.min(at).alias("head"))
         seconds = (
-            self.members.join(heads, ["side", "gid"])
+            linked.join(heads, ["side", "gid"])
             .filter(at > F.col("head"))
             .groupBy("side", "gid")
             .agg(F.min(at).alias("second"))
@@ -182,7 +223,7 @@ class NearDuplicates:
         ).distinct()
         # the rank limit is applied per partition before the shuffle
         few = (
-            self.members.join(ends, ["side", "gid"], "left_semi")
+            linked.join(ends, ["side", "gid"], "left_semi")
             .withColumn(
                 "rank", F.row_number().over(W.partitionBy("side", "gid").orderBy("ord", "pos", "uid"))
             )
@@ -199,23 +240,33 @@ class NearDuplicates:
 
     # ---- statistics -----------------------------------------------------
 
+    def pair_numbers(self) -> DataFrame:
+        """Pair numbers per later version ``ord``."""
+        return (
+            self.summary.filter(F.col("gid").isNull())
+            .groupBy("ord")
+            .agg(*[F.sum(n).alias(n) for n in PAIR_NUMBERS])
+        )
+
+    def partners(self) -> DataFrame:
+        """``side, gid, seen``: versions that hold a partner of the group."""
+        return (
+            self.summary.filter(F.col("gid").isNotNull())
+            .groupBy("side", "gid")
+            .agg(F.collect_set("ord").alias("seen"))
+        )
+
     def pair_counts(self) -> DataFrame:
-        """One row: ``duplicate_pairs, exact_duplicate_pairs``, from group sizes."""
-        a, b = F.col("copies_a"), F.col("copies_b")
-        own = F.lit(False) if self.cross else F.col("gid_a") == F.col("gid_b")
-        n = F.when(own, F.try_divide(a * (a - 1), F.lit(2)).cast("long")).otherwise(a * b)
-        exact = F.when(F.col("similarity") >= EXACT_SIMILARITY, n).otherwise(F.lit(0))
-        return self._sized_links().agg(
-            F.coalesce(F.sum(n), F.lit(0)).alias("duplicate_pairs"),
-            F.coalesce(F.sum(exact), F.lit(0)).alias("exact_duplicate_pairs"),
+        """One row: ``duplicate_pairs, exact_duplicate_pairs``."""
+        return self.pair_numbers().agg(
+            F.coalesce(F.sum(F.col("within") + F.col("earlier")), F.lit(0)).alias("duplicate_pairs"),
+            F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_duplicate_pairs"),
         )
 
     def files_in_duplicates(self) -> DataFrame:
         """Distinct file names that take part in a pair, compared as strings."""
         return (
-            self.members.join(self._linked(), ["side", "gid"], "left_semi")
-            .select("file")
-            .distinct()
+            self.members.join(self.partners(), ["side", "gid"], "left_semi").select("file").distinct()
         )
 
     def report(self) -> DataFrame:
@@ -245,6 +296,66 @@ class NearDuplicates:
         )
 
 
+def own_summary(own: DataFrame) -> DataFrame:
+    """Summary rows of pairs inside copy groups (``gid, side, ords, ns, similarity``)."""
+    counts = F.map_from_arrays("ords", "ns")
+    rows = own.withColumn("counts", counts).withColumn("ord", F.explode("ords"))
+    o = F.col("ord")
+    here = _at(F.col("counts"), o)
+    return _summary_rows(
+        rows,
+        within=F.try_divide(here * (here - 1), F.lit(2)).cast("long"),
+        earlier=here * _before(F.col("counts"), o),
+        consecutive=here * _at(F.col("counts"), o - F.lit(1)),
+        seen=own.select("gid", "side", F.explode("ords").alias("ord")),
+    )
+
+
+def _summary_rows(rows, within, earlier, consecutive, seen) -> DataFrame:
+    """Bring per-version numbers of ``rows`` and the ``seen`` rows into summary form."""
+    exact = F.col("similarity") >= EXACT_SIMILARITY
+    zero = F.lit(0).cast("long")
+    numbers = rows.select(
+        F.lit(None).cast("binary").alias("gid"),
+        F.lit(None).cast("int").alias("side"),
+        "ord",
+        within.alias("within"),
+        earlier.alias("earlier"),
+        consecutive.alias("consecutive"),
+        F.when(exact, within + earlier).otherwise(zero).alias("exact"),
+        F.when(exact, consecutive).otherwise(zero).alias("consecutive_exact"),
+    )
+    empty = [F.lit(None).cast("long").alias(n) for n in PAIR_NUMBERS]
+    return numbers.unionByName(seen.select("gid", "side", "ord", *empty))
+
+
+def summary_of_links(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """Summary rows for links that are already known (self-links included)."""
+    profile = groups.select("gid", "side", F.map_from_arrays("ords", "ns").alias("c"))
+    a = profile.select(F.col("gid").alias("gid_a"), F.col("side"), F.col("c").alias("a"))
+    b = profile.select(F.col("gid").alias("gid_b"), F.col("c").alias("b"))
+    own = F.col("gid_a") == F.col("gid_b")
+    joined = links.filter(~own).join(a, "gid_a").join(b, "gid_b")
+    rows = joined.withColumn("ord", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))))
+    a, b, o = F.col("a"), F.col("b"), F.col("ord")
+    previous = o - F.lit(1)
+    ends = F.array(
+        F.struct(F.col("gid_a").alias("gid"), "side", F.map_keys("b").alias("ords")),
+        F.struct(F.col("gid_b").alias("gid"), "side", F.map_keys("a").alias("ords")),
+    )
+    crossing = _summary_rows(
+        rows,
+        within=_at(a, o) * _at(b, o),
+        earlier=_at(a, o) * _before(b, o) + _at(b, o) * _before(a, o),
+        consecutive=_at(a, o) * _at(b, previous) + _at(b, o) * _at(a, previous),
+        seen=joined.select(F.inline(ends)).select("gid", "side", F.explode("ords").alias("ord")),
+    )
+    inside = links.filter(own).select(F.col("gid_a").alias("gid"), "similarity")
+    return crossing.unionByName(
+        own_summary(inside.join(groups.select("gid", "side", "ords", "ns"), "gid"))
+    )
+
+
 def near_duplicates(
     items: DataFrame,
     threshold: float = DEFAULT_THRESHOLD,
@@ -255,7 +366,7 @@ def near_duplicates(
     cross: bool = False,
     block_rows: int | None = None,
 ) -> NearDuplicates:
-    """Run the similarity join once.
+    """Prepare the similarity join of ``items``; it runs when first asked for.
 
     ``pos`` is the input order used for orientation and ties (default: file
     name). ``ord`` is the version order; with ``cross`` it must be 0 or 1 and
@@ -272,19 +383,13 @@ def near_duplicates(
     stored = materialize(
         with_unit_vectors(rows).withColumn("uid", F.monotonically_increasing_id()), "members"
     )
-    distinct = materialize(distinct_vectors(stored, ["side"]), "distinct")
-    links = similar_groups(distinct, threshold, cross, block_rows)
-    if not cross:
-        own = distinct.filter((F.col("copies") > 1) & (F.col("self_sim") >= threshold))
-        links = links.unionAll(
-            own.select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"), "self_sim")
-        )
+    by_version = ord is not None and not cross
     return NearDuplicates(
         members=stored.select("file", "pos", "ord", "side", "gid", "uid"),
-        groups=distinct.select("side", "gid", "copies"),
-        links=materialize(links, "links"),
+        groups=materialize(distinct_vectors(stored, by_version), "distinct"),
         threshold=threshold,
         cross=cross,
+        block_rows=block_rows,
     )
 
 

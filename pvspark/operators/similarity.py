@@ -20,10 +20,12 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pvspark.functions.stats import EXACT_SIMILARITY
 from pvspark.session import materialize
 
 DEFAULT_THRESHOLD = 0.99
@@ -186,59 +188,193 @@ def _neighbour_offsets(axes: int, width: float) -> list[int]:
     return offsets
 
 
+def _load_pair(batches: Iterator[pa.RecordBatch], within: bool):
+    """The 'a' and 'b' rows of one block pair; a block met with itself has no 'b'."""
+    table = pa.Table.from_batches(list(batches))
+    role = table.column("role").to_numpy()
+    unit = _from_bytes(table.column("unit"))
+    left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    same = within and not len(right)
+    if same:
+        right = left
+    return table, unit, left, right, same
+
+
+def _tiles(a: np.ndarray, b: np.ndarray, same: bool, floor: float):
+    """Float32 products tile by tile, where any entry reaches ``floor``."""
+    a32, b32 = a.astype(np.float32), b.astype(np.float32)
+    for i0 in range(0, len(a), _TILE):
+        for j0 in range(i0 if same else 0, len(b), _TILE):
+            rough = a32[i0 : i0 + _TILE] @ b32[j0 : j0 + _TILE].T
+            if same and i0 == j0:
+                rough[np.tril_indices(len(rough))] = -2.0
+            if rough.size and rough.max() >= floor:
+                yield i0, j0, rough
+
+
+def _margin(dims: int) -> float:
+    """Above the rounding error of a float32 product of unit vectors."""
+    return 1e-6 + dims * 1.2e-7
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines in doubles, row by row: the same whatever the blocking."""
+    parts = [
+        (a[i[s : s + _EMIT_ROWS]] * b[j[s : s + _EMIT_ROWS]]).sum(axis=1)
+        for s in range(0, len(i), _EMIT_ROWS)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _pair_kernel(threshold: float, dims: int, within: bool):
-    """Cosines >= threshold between the 'a' and 'b' rows of one block pair.
+    """Pairs with cosine >= threshold between the two sides of one block pair.
 
-    A float32 product finds candidates with a margin above its rounding error;
-    each candidate is then recomputed in doubles, row by row, so a pair's
-    similarity does not depend on how the data was blocked.
+    The float32 product only finds candidates; doubles decide.
     """
-    margin = 1e-6 + dims * 1.2e-7
+    floor = threshold - _margin(dims)
     names = ["gid_a", "gid_b", "similarity"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        role = table.column("role").to_numpy()
+        table, unit, left, right, same = _load_pair(batches, within)
         gid = np.array(table.column("gid").to_pylist(), dtype=object)
-        unit = _from_bytes(table.column("unit"))
-        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        same = within and not len(right)
-        if same:
-            right = left
+        a, b, gid_a, gid_b = unit[left], unit[right], gid[left], gid[right]
+        for i0, j0, rough in _tiles(a, b, same, floor):
+            i, j = np.nonzero(rough >= floor)
+            i, j = i + i0, j + j0
+            for s in range(0, len(i), _EMIT_ROWS):
+                ii, jj = i[s : s + _EMIT_ROWS], j[s : s + _EMIT_ROWS]
+                sim = _exact(a, b, ii, jj)
+                hit = sim >= threshold
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(gid_a[ii[hit]].tolist(), pa.binary()),
+                        pa.array(gid_b[jj[hit]].tolist(), pa.binary()),
+                        pa.array(sim[hit]),
+                    ],
+                    names=names,
+                )
+
+    return kernel
+
+
+def _summary_kernel(threshold: float, dims: int, within: bool):
+    """What the reports need of one block pair, without listing its pairs.
+
+    With M the 0/1 matrix of similar groups and C the members of each group per
+    version, ``M @ C`` holds for every group how many similar files each version
+    has. Output: the versions seen by each group that has a partner, and per
+    later version the number of file pairs (all, inside the version, with the
+    version before; the last also for exact pairs).
+    """
+    margin = _margin(dims)
+    floor = threshold - margin
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, unit, left, right, same = _load_pair(batches, within)
         a, b = unit[left], unit[right]
-        gid_a, gid_b = gid[left], gid[right]
-        a32, b32 = a.astype(np.float32), b.astype(np.float32)
-        for i0 in range(0, len(a), _TILE):
-            for j0 in range(i0 if same else 0, len(b), _TILE):
-                rough = a32[i0 : i0 + _TILE] @ b32[j0 : j0 + _TILE].T
-                i, j = np.nonzero(rough >= threshold - margin)
-                i, j = i + i0, j + j0
-                if same:
-                    upper = i < j
-                    i, j = i[upper], j[upper]
-                for s in range(0, len(i), _EMIT_ROWS):
-                    ii, jj = i[s : s + _EMIT_ROWS], j[s : s + _EMIT_ROWS]
-                    sim = (a[ii] * b[jj]).sum(axis=1)
-                    hit = sim >= threshold
-                    ii, jj, sim = ii[hit], jj[hit], sim[hit]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(gid_a[ii].tolist(), pa.binary()),
-                            pa.array(gid_b[jj].tolist(), pa.binary()),
-                            pa.array(sim),
-                        ],
-                        names=names,
-                    )
+        ords = table.column("ords").combine_chunks()
+        owner = np.repeat(np.arange(len(ords)), pc.list_value_length(ords).to_numpy())
+        versions, column = np.unique(ords.flatten().to_numpy(), return_inverse=True)
+        counts = np.zeros((len(unit), len(versions)))
+        counts[owner, column] = table.column("ns").combine_chunks().flatten().to_numpy()
+        count_a, count_b = counts[left], counts[right]
+        follows = np.concatenate([[False], np.diff(versions) == 1])
+        seen_a, seen_b = np.zeros(count_a.shape, bool), np.zeros(count_b.shape, bool)
+        sums = np.zeros((5, len(versions)))
+
+        def tally(mask, ca, cb):
+            """Pairs per later version: inside it, with all before, with the one before."""
+            near = mask @ cb
+            inside = (ca * near).sum(axis=0)
+            before = lambda c: np.cumsum(c, axis=1) - c
+            shifted = lambda c: np.concatenate([np.zeros((len(c), 1)), c[:, :-1]], axis=1) * follows
+            earlier = (ca * (mask @ before(cb)) + before(ca) * near).sum(axis=0)
+            previous = (ca * (mask @ shifted(cb)) + shifted(ca) * near).sum(axis=0)
+            return near, inside, earlier, previous
+
+        for i0, j0, rough in _tiles(a, b, same, floor):
+            rows = np.flatnonzero((rough >= floor).any(axis=1))
+            cols = np.flatnonzero((rough >= floor).any(axis=0))
+            part = rough[np.ix_(rows, cols)]
+            hit, exact = part >= threshold, part >= EXACT_SIMILARITY
+            unsure = (np.abs(part - threshold) <= margin) | (
+                np.abs(part - EXACT_SIMILARITY) <= margin
+            )
+            i, j = np.nonzero(unsure)
+            sim = _exact(a, b, rows[i] + i0, cols[j] + j0)
+            hit[i, j] = sim >= threshold
+            exact[i, j] = sim >= EXACT_SIMILARITY
+            exact &= hit
+            ca, cb = count_a[rows + i0], count_b[cols + j0]
+            mask = hit.astype(np.float64)
+            near, inside, earlier, previous = tally(mask, ca, cb)
+            seen_a[rows + i0] |= near > 0
+            seen_b[cols + j0] |= (mask.T @ ca) > 0
+            sums[0] += inside
+            sums[1] += earlier
+            sums[2] += previous
+            if exact.any():
+                _, inside, earlier, previous = tally(exact.astype(np.float64), ca, cb)
+                sums[3] += inside + earlier
+                sums[4] += previous
+
+        gid, side = table.column("gid").combine_chunks(), table.column("side").combine_chunks()
+        for at, seen in ((left, seen_a), (right, seen_b)):
+            touched = np.flatnonzero(seen.any(axis=1))
+            if len(touched):
+                rows, cols = np.nonzero(seen[touched])
+                take = pa.array(at[touched][rows])
+                yield _summary_rows(len(rows), gid=gid.take(take), side=side.take(take), ord=versions[cols])
+        some = np.flatnonzero(sums[0] + sums[1])
+        if len(some):
+            numbers = {n: sums[k, some].astype(np.int64) for k, n in enumerate(PAIR_NUMBERS)}
+            yield _summary_rows(len(some), ord=versions[some], **numbers)
 
     return kernel
 
 
-def distinct_vectors(units: DataFrame, by: list[str]) -> DataFrame:
-    """One row per copy group (and per value of ``by``); copies merge before the shuffle."""
-    return units.groupBy(*by, "gid").agg(
-        F.first("unit").alias("unit"),
-        F.first("self_sim").alias("self_sim"),
-        F.count("*").alias("copies"),
+PAIR_NUMBERS = ["within", "earlier", "consecutive", "exact", "consecutive_exact"]
+_SUMMARY = pa.schema(
+    [("gid", pa.binary()), ("side", pa.int32()), ("ord", pa.int32())]
+    + [(n, pa.int64()) for n in PAIR_NUMBERS]
+)
+SUMMARY = "gid binary, side int, ord int, " + ", ".join(f"{n} bigint" for n in PAIR_NUMBERS)
+
+
+def _summary_rows(rows: int, **columns) -> pa.RecordBatch:
+    arrays = []
+    for f in _SUMMARY:
+        value = columns.get(f.name)
+        if value is None:
+            value = pa.nulls(rows, f.type)
+        elif not isinstance(value, (pa.Array, pa.ChunkedArray)):
+            value = pa.array(value, f.type)
+        arrays.append(value.cast(f.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=_SUMMARY)
+
+
+def distinct_vectors(units: DataFrame, by_version: bool) -> DataFrame:
+    """One row per copy group: ``side, gid, unit, self_sim, copies, ords, ns``.
+
+    Copies merge before the shuffle. ``ords, ns`` give the members per version;
+    with versions they are counted first, so no list grows with the copies.
+    """
+    first = [F.first(c).alias(c) for c in ("unit", "self_sim")]
+    if not by_version:
+        groups = units.groupBy("side", "gid").agg(
+            *first, F.count("*").alias("copies"), F.first("ord").alias("ord")
+        )
+        return groups.select(
+            "side", "gid", "unit", "self_sim", "copies",
+            F.array("ord").alias("ords"), F.array("copies").alias("ns"),
+        )
+    per_version = units.groupBy("side", "gid", "ord").agg(*first, F.count("*").alias("n"))
+    groups = per_version.groupBy("side", "gid").agg(
+        *first, F.sum("n").alias("copies"), F.collect_list(F.struct("ord", "n")).alias("per")
+    )
+    return groups.select(
+        "side", "gid", "unit", "self_sim", "copies",
+        F.col("per.ord").alias("ords"), F.col("per.n").alias("ns"),
     )
 
 
@@ -268,6 +404,7 @@ def _block_pairs(cells: DataFrame, offsets: list[int], cross: bool) -> DataFrame
 
 def _meet_all(vectors: DataFrame, blocks: int, cross: bool) -> DataFrame:
     """Send each vector to every pair of hash blocks it belongs to; no join."""
+    carried = vectors.columns
     sub = F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int")
     vectors = vectors.withColumns(
         {"sub": sub, "cell_a": F.lit(0).cast("long"), "cell_b": F.lit(0).cast("long")}
@@ -277,13 +414,13 @@ def _meet_all(vectors: DataFrame, blocks: int, cross: bool) -> DataFrame:
     as_left = every if cross else F.sequence("sub", F.lit(blocks - 1))
     left = vectors.filter(F.col("side") == 0).select(
         "cell_a", F.col("sub").alias("sub_a"), "cell_b", F.explode(as_left).alias("sub_b"),
-        F.lit(0).alias("role"), "gid", "unit",
+        F.lit(0).alias("role"), *carried,
     )
     # a block paired with itself is sent once, as the left side
     as_right = every if cross else F.filter(every, lambda p: p < F.col("sub"))
     right = vectors.filter(F.col("side") == right_side).select(
         "cell_a", F.explode(as_right).alias("sub_a"), "cell_b", F.col("sub").alias("sub_b"),
-        F.lit(1).alias("role"), "gid", "unit",
+        F.lit(1).alias("role"), *carried,
     )
     return left.unionByName(right)
 
@@ -292,6 +429,7 @@ def _meet_in_grid(
     vectors: DataFrame, axes: np.ndarray, width: float, block_rows: int, cross: bool
 ) -> DataFrame:
     """Send each vector to the pairs of blocks of neighbouring cells."""
+    carried = vectors.columns
     vectors = materialize(_with_cells(vectors, axes, width), "cells")
     cells = materialize(
         vectors.groupBy("side", "cell")
@@ -310,48 +448,64 @@ def _meet_in_grid(
 
     def role(number: int, suffix: str, side: int, meetings: DataFrame) -> DataFrame:
         rows = placed.filter(F.col("side") == side).select(
-            F.col("cell").alias(f"cell_{suffix}"), F.col("sub").alias(f"sub_{suffix}"), "gid", "unit"
+            F.col("cell").alias(f"cell_{suffix}"), F.col("sub").alias(f"sub_{suffix}"), *carried
         )
         return rows.join(meetings, [f"cell_{suffix}", f"sub_{suffix}"]).select(
-            *_BLOCK_PAIR, F.lit(number).alias("role"), "gid", "unit"
+            *_BLOCK_PAIR, F.lit(number).alias("role"), *carried
         )
 
     return role(0, "a", 0, pairs).unionByName(role(1, "b", 1 if cross else 0, off_diagonal))
 
 
-def similar_groups(
-    distinct: DataFrame, threshold: float, cross: bool = False, block_rows: int | None = None
-) -> DataFrame:
-    """Pairs of distinct vectors with cosine >= threshold.
-
-    ``distinct`` holds ``side, gid, unit`` and must be a stored table. Without
-    ``cross`` each unordered pair of different groups appears once; with
-    ``cross`` only pairs (side 0, side 1), equal groups included.
-    """
+def _meetings(distinct, threshold, cross, block_rows, kernel, schema, carried):
+    """Apply ``kernel`` to every pair of blocks that can hold a match."""
     spark = distinct.sparkSession
-    schema = "gid_a binary, gid_b binary, similarity double"
     n, unit_bytes = distinct.agg(F.count("*"), F.max(F.length("unit"))).first()
     if n == 0:
         return spark.createDataFrame([], schema)
     dims = unit_bytes // 8
-    blocks_wanted = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
     if block_rows is None:
+        wanted = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
         limit = max(MIN_BLOCK, BLOCK_BYTES // (8 * max(dims, 1)))
-        block_rows = min(limit, max(MIN_BLOCK, math.ceil(n / blocks_wanted)))
-    blocks = math.ceil(n / block_rows)
-
+        block_rows = min(limit, max(MIN_BLOCK, math.ceil(n / wanted)))
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    axes, width = np.zeros((0, dims)), reach
+    used = 0
     if threshold > 0 and n * n * dims > GRID_PAYS_FROM:
-        candidates, coords = _axes(distinct)
+        axes, coords = _axes(distinct)
         used, width = _choose_grid(coords, reach, n)
-        axes = candidates[:used]
-
-    vectors = distinct.select("side", "gid", "unit")
-    if len(axes):
-        grouped = _meet_in_grid(vectors, axes, width, block_rows, cross)
+    vectors = distinct.select("side", "gid", "unit", *carried)
+    if used:
+        grouped = _meet_in_grid(vectors, axes[:used], width, block_rows, cross)
     else:
-        grouped = _meet_all(vectors, blocks, cross)
+        grouped = _meet_all(vectors, math.ceil(n / block_rows), cross)
     return grouped.groupBy(*_BLOCK_PAIR).applyInArrow(
-        _pair_kernel(threshold, dims, within=not cross), schema
+        kernel(threshold, dims, within=not cross), schema
+    )
+
+
+def similar_groups(
+    distinct: DataFrame, threshold: float, cross: bool = False, block_rows: int | None = None
+) -> DataFrame:
+    """Pairs of distinct vectors with cosine >= threshold.
+
+    ``distinct`` holds ``side, gid, unit`` and must be a stored table. Without
+    ``cross`` each unordered pair of different groups appears once; with
+    ``cross`` only pairs (side 0, side 1), equal groups included.
+    """
+    schema = "gid_a binary, gid_b binary, similarity double"
+    return _meetings(distinct, threshold, cross, block_rows, _pair_kernel, schema, [])
+
+
+def similar_summary(
+    distinct: DataFrame, threshold: float, cross: bool = False, block_rows: int | None = None
+) -> DataFrame:
+    """Numbers for the reports, over the same pairs as ``similar_groups``.
+
+    Rows with ``gid``: a version seen by the group's partners. Rows without:
+    pair numbers of a version. At most two blocks of groups times the versions
+    per block pair, however many pairs there are. ``distinct`` also needs
+    ``ords, ns``.
+    """
+    return _meetings(
+        distinct, threshold, cross, block_rows, _summary_kernel, SUMMARY, ["ords", "ns"]
     )

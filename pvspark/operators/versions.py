@@ -4,11 +4,11 @@
 are small by nature and the only place where an unpartitioned window is used.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pvspark.functions.stats import EXACT_SIMILARITY, pct
+from pvspark.functions.stats import pct
 from pvspark.functions.versioning import matches_tag, version_key
 from pvspark.operators.duplicates import NearDuplicates
 
@@ -96,71 +96,7 @@ def train_duplicate_pairs(dups: NearDuplicates, n_versions: int) -> DataFrame:
     )
 
 
-# ---- statistics from copy groups ----------------------------------------
-
-
-def _profiles(dups: NearDuplicates) -> DataFrame:
-    """``gid, counts``: members of a linked group per version."""
-    per_version = (
-        dups.members.join(dups._linked().select("gid"), "gid", "left_semi")
-        .groupBy("gid", "ord")
-        .agg(F.count("*").alias("n"))
-    )
-    return per_version.groupBy("gid").agg(
-        F.map_from_entries(F.collect_list(F.struct("ord", "n"))).alias("counts")
-    )
-
-
-def _at(counts: Column, ord: Column) -> Column:
-    return F.coalesce(F.try_element_at(counts, ord), F.lit(0).cast("long"))
-
-
-def _before(counts: Column, ord: Column) -> Column:
-    return F.aggregate(
-        F.map_entries(counts),
-        F.lit(0).cast("long"),
-        lambda total, e: total + F.when(e["key"] < ord, e["value"]).otherwise(F.lit(0)),
-    )
-
-
-def _linked_profiles(dups: NearDuplicates) -> DataFrame:
-    profiles = _profiles(dups)
-    return dups.links.join(
-        profiles.select(F.col("gid").alias("gid_a"), F.col("counts").alias("a")), "gid_a"
-    ).join(profiles.select(F.col("gid").alias("gid_b"), F.col("counts").alias("b")), "gid_b")
-
-
-def pair_counts_by_version(dups: NearDuplicates) -> DataFrame:
-    """Pair numbers per later version ``ord``: inside it, with any earlier one,
-    with the one before, and of these last the exact ones."""
-    own = F.col("gid_a") == F.col("gid_b")
-    a, b, o = F.col("a"), F.col("b"), F.col("ord")
-    here_a, here_b = _at(a, o), _at(b, o)
-    previous = o - F.lit(1)
-    rows = _linked_profiles(dups).withColumn(
-        "ord", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b")))
-    )
-    consecutive = F.when(own, here_a * _at(a, previous)).otherwise(
-        here_a * _at(b, previous) + here_b * _at(a, previous)
-    )
-    rows = rows.select(
-        "ord",
-        "similarity",
-        F.when(own, F.try_divide(here_a * (here_a - 1), F.lit(2)).cast("long"))
-        .otherwise(here_a * here_b)
-        .alias("within"),
-        F.when(own, here_a * _before(a, o))
-        .otherwise(here_a * _before(b, o) + here_b * _before(a, o))
-        .alias("earlier"),
-        consecutive.alias("consecutive"),
-    )
-    exact = F.when(F.col("similarity") >= EXACT_SIMILARITY, F.col("consecutive")).otherwise(0)
-    return rows.groupBy("ord").agg(
-        F.sum("within").alias("within"),
-        F.sum("earlier").alias("earlier"),
-        F.sum("consecutive").alias("consecutive"),
-        F.sum(exact).alias("consecutive_exact"),
-    )
+# ---- statistics ---------------------------------------------------------
 
 
 def file_counts_by_version(dups: NearDuplicates) -> DataFrame:
@@ -170,33 +106,15 @@ def file_counts_by_version(dups: NearDuplicates) -> DataFrame:
     ``paired``: files of that version or the one before with a partner in the
     other. Each group only needs the set of versions its partners occur in.
     """
-    both = dups.links.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("gid_a").alias("gid"), F.col("gid_b").alias("other")),
-                F.struct(F.col("gid_b").alias("gid"), F.col("gid_a").alias("other")),
-            )
-        )
-    ).distinct()
-    partner_versions = (
-        both.join(_profiles(dups).withColumnRenamed("gid", "other"), "other")
-        .select("gid", F.explode(F.map_keys("counts")).alias("seen"))
-        .groupBy("gid")
-        .agg(F.collect_set("seen").alias("seen"))
-    )
     o, seen = F.col("ord"), F.col("seen")
+    use = lambda name, at: F.struct(F.lit(name).alias("use"), at.alias("at"))
     uses = F.array(
-        F.when(F.array_min(seen) < o, F.struct(F.lit("leaking").alias("use"), o.alias("at"))),
-        F.when(
-            F.array_contains(seen, o - 1), F.struct(F.lit("paired").alias("use"), o.alias("at"))
-        ),
-        F.when(
-            F.array_contains(seen, o + 1),
-            F.struct(F.lit("paired").alias("use"), (o + 1).alias("at")),
-        ),
+        F.when(F.array_min(seen) < o, use("leaking", o)),
+        F.when(F.array_contains(seen, o - 1), use("paired", o)),
+        F.when(F.array_contains(seen, o + 1), use("paired", o + 1)),
     )
     used = (
-        dups.members.join(partner_versions, "gid")
+        dups.members.join(dups.partners(), ["side", "gid"])
         .select("file", F.inline(F.array_compact(uses)))
         .distinct()
     )
@@ -211,9 +129,7 @@ def leakage_report(dups: NearDuplicates, versions: DataFrame) -> DataFrame:
 
     Boundaries without any pair keep a row of zeros.
     """
-    numbers = pair_counts_by_version(dups).join(
-        file_counts_by_version(dups), "ord", "full_outer"
-    )
+    numbers = dups.pair_numbers().join(file_counts_by_version(dups), "ord", "full_outer")
     zero = F.lit(0).cast("long")
     filled = ["within", "earlier", "consecutive", "consecutive_exact", "leaking", "paired"]
     per_version = versions.select("ord").join(numbers, "ord", "left")
@@ -274,8 +190,7 @@ def overall_result(report: DataFrame) -> DataFrame:
 
 def pair_totals(dups: NearDuplicates) -> DataFrame:
     """``within_pairs, cross_pairs`` over all versions."""
-    counts = pair_counts_by_version(dups)
-    return counts.agg(
+    return dups.pair_numbers().agg(
         F.coalesce(F.sum("within"), F.lit(0)).alias("within_pairs"),
         F.coalesce(F.sum("earlier"), F.lit(0)).alias("cross_pairs"),
     )

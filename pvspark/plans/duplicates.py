@@ -21,8 +21,8 @@ class DuplicateAnalysis:
 
     def save(self, prefix: str) -> None:
         """Pairs as CSV (only if there are any) and the report as JSON."""
-        if not self.found.links.isEmpty():
-            sinks.write_pairs(self.pairs(), f"{prefix}_duplicates.csv")
+        none = self.found.links.isEmpty()
+        sinks.write_pairs(self.pairs(), f"{prefix}_duplicates.csv", empty=none)
         sinks.write_metadata(self.report(), f"{prefix}_metadata.json")
 
 

@@ -55,8 +55,10 @@ def test_grid_gives_the_same_pairs(spark, clustered, monkeypatch):
     choose = similarity._choose_grid
     monkeypatch.setattr(similarity, "_choose_grid", lambda *a: used.append(choose(*a)) or used[-1])
     found = duplicates.near_duplicates(frame(spark, clustered), 0.99, block_rows=32)
+    want = brute_self(clustered, 0.99)
+    assert indexed(found.pairs().collect()) == want
+    assert found.report().first().duplicate_pairs == len(want)
     assert used and used[0][0] > 0, "the grid was not used"
-    assert indexed(found.pairs().collect()) == brute_self(clustered, 0.99)
 
 
 def test_grid_cross(spark, clustered, monkeypatch):
@@ -90,6 +92,17 @@ def test_report_counts_without_expansion(spark, clustered):
     assert row.percentage_files_with_duplicates == round(len(files) / len(clustered) * 100, 2)
 
 
+def test_report_of_a_near_copy_cluster_lists_no_pairs(spark):
+    """200 distinct vectors, all similar: 19,900 pairs, few summary rows."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=16) + rng.normal(size=(200, 16)) * 0.01
+    found = duplicates.near_duplicates(frame(spark, m), 0.99, block_rows=64)
+    row = found.report().first()
+    assert (row.duplicate_pairs, row.files_with_duplicates) == (19900, 200)
+    assert found.summary.count() < 200 * 8
+    assert "links" not in found.__dict__, "the report must not build the pair list"
+
+
 def test_input_order_does_not_matter(spark, clustered):
     names = [f"f{i:04d}" for i in range(len(clustered))]
     order = np.random.default_rng(1).permutation(len(clustered))
@@ -175,6 +188,7 @@ def test_similarity_plan_broadcasts_no_vectors(spark, clustered):
     units = similarity.with_unit_vectors(
         frame(spark, clustered).withColumn("side", F.lit(0)).drop("file_path")
     )
-    links = similarity.similar_groups(similarity.distinct_vectors(units, ["side"]), 0.99)
+    distinct = similarity.distinct_vectors(units.withColumn("ord", F.lit(0)), False)
+    links = similarity.similar_groups(distinct, 0.99)
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
