@@ -2,11 +2,13 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pvspark.operators.duplicates import NearDuplicates, near_duplicates, two_sets
 from pvspark.operators.similarity import DEFAULT_THRESHOLD
 from pvspark.sources import sinks
+from pvspark.sources.tables import read_embeddings_csv, version_label
 
 
 @dataclass
@@ -37,3 +39,22 @@ def analyze_cross(
     set_a: DataFrame, set_b: DataFrame, threshold: float = DEFAULT_THRESHOLD, **kw
 ) -> DuplicateAnalysis:
     return DuplicateAnalysis(two_sets(set_a, set_b, threshold, **kw))
+
+
+def analyze_csv(
+    spark: SparkSession,
+    embeddings: str,
+    embeddings_b: str | None = None,
+    threshold: float = DEFAULT_THRESHOLD,
+) -> DuplicateAnalysis:
+    """The same on wide CSV files: one set, or two when ``embeddings_b`` is given."""
+    first = read_embeddings_csv(spark, embeddings)
+    if embeddings_b is None:
+        return analyze_duplicates(first, threshold)
+    return analyze_cross(first, read_embeddings_csv(spark, embeddings_b), threshold)
+
+
+def labels(spark: SparkSession, *paths: str) -> list[str]:
+    """Version labels of CSV paths."""
+    columns = [version_label(F.lit(p.rstrip("/"))) for p in paths]
+    return list(spark.range(1).select(*columns).first())
