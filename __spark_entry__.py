@@ -26,7 +26,7 @@ from pvspark.operators import versions as V  # noqa: E402
 from pvspark.operators.bag_similarity import bag_duplicates  # noqa: E402
 from pvspark.plans import cross_version, training  # noqa: E402
 from pvspark.plans.corpus import prepare_corpus  # noqa: E402
-from pvspark.session import scratch_path, spread  # noqa: E402
+from pvspark.session import materialize, scratch_path, spread  # noqa: E402
 from pvspark.sources import sinks, tables  # noqa: E402
 
 T = 0.4
@@ -77,10 +77,10 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored: one row per version, used several times by each report."""
     e = _embeddings(spark, sf_dir)
-    return V.versions_with_documents(
-        V.files_per_version(V.select_versions(e, "[0-9]+"), e.select("version"))
-    )
+    counted = V.files_per_version(V.select_versions(e, "[0-9]+"), e.select("version"))
+    return materialize(V.versions_with_documents(counted), "versions")
 
 
 def _one_set(spark: SparkSession, sf_dir: str) -> duplicates.NearDuplicates:
@@ -94,8 +94,11 @@ def _two_sets(spark: SparkSession, sf_dir: str) -> duplicates.NearDuplicates:
     )
 
 
-def _by_version(spark: SparkSession, sf_dir: str) -> duplicates.NearDuplicates:
-    e = _embeddings(spark, sf_dir).join(_versions(spark, sf_dir).select("version", "ord"), "version")
+def _by_version(
+    spark: SparkSession, sf_dir: str, versions: DataFrame | None = None
+) -> duplicates.NearDuplicates:
+    versions = _versions(spark, sf_dir) if versions is None else versions
+    e = _embeddings(spark, sf_dir).join(versions.select("version", "ord"), "version")
     return duplicates.near_duplicates(e, T, file="vec_id", ord=F.col("ord"))
 
 
@@ -333,16 +336,19 @@ def leakage_pairs(spark, sf_dir):
 
 
 def train_duplicate_pairs(spark, sf_dir):
-    n = _versions(spark, sf_dir).count()
-    return _rounded(V.train_duplicate_pairs(_by_version(spark, sf_dir), n), "pair")
+    versions = _versions(spark, sf_dir)
+    found = _by_version(spark, sf_dir, versions)
+    return _rounded(V.train_duplicate_pairs(found, versions.count()), "pair")
 
 
 def leakage_report(spark, sf_dir):
-    return V.leakage_report(_by_version(spark, sf_dir), _versions(spark, sf_dir))
+    versions = _versions(spark, sf_dir)
+    return V.leakage_report(_by_version(spark, sf_dir, versions), versions)
 
 
 def consecutive_report(spark, sf_dir):
-    return V.consecutive_report(_by_version(spark, sf_dir), _versions(spark, sf_dir))
+    versions = _versions(spark, sf_dir)
+    return V.consecutive_report(_by_version(spark, sf_dir, versions), versions)
 
 
 def overall_result(spark, sf_dir):
