@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pvspark.llm import langid, quality, secrets
+from pvspark.llm import decontaminate, langid, lm, mixing, quality, secrets, urls
 from pvspark.llm.common import remainder, table
 
 
@@ -30,6 +30,15 @@ def op3_language_id(spark, sf_dir):
     )
 
 
+def op5_url_filter(spark, sf_dir):
+    """A page is labelled by the document of its number: blocked if toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"),
+        ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"),
+    )
+    return urls.filter_urls(table(spark, sf_dir, "pages"), labels)
+
+
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -42,5 +51,53 @@ def op6_quality(spark, sf_dir):
     )
 
 
-QUERIES = [op1_secret_scan, op3_language_id, op6_quality]
+def op7_decontaminate(spark, sf_dir):
+    """One row per document and benchmark item that share a passage."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, benchmark).select(
+        "doc_id",
+        "item_id",
+        F.col("matched").cast("long").alias("matched_words"),
+        F.col("of").cast("long").alias("window_words"),
+    )
+
+
+def op8_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.probabilities(docs).select(
+        "doc_id",
+        "source",
+        "lang",
+        F.col("__topic").alias("topic"),
+        F.col("__weight").alias("weight"),
+        F.col("__probability").alias("probability"),
+        F.col("__kept").alias("kept"),
+    )
+
+
+def op10_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model, rare = lm.train(docs, ~held_out)
+    scored = lm.score(docs, model, rare)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+QUERIES = [
+    op1_secret_scan,
+    op3_language_id,
+    op5_url_filter,
+    op6_quality,
+    op7_decontaminate,
+    op8_mixing,
+    op10_lm_score,
+]
 ORACLES: dict[str, str] = {}
