@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from pvspark.llm import decontaminate, langid, lm, mixing, quality, secrets, urls
+import corpus_pipeline
+from pvspark.llm import decontaminate, jaccard, langid, lm, mixing, quality, secrets, urls
 from pvspark.llm.common import remainder, table
 
 
@@ -30,6 +31,10 @@ def op3_language_id(spark, sf_dir):
     )
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Params(words=3, num=90, den=100))
+
+
 def op5_url_filter(spark, sf_dir):
     """A page is labelled by the document of its number: blocked if toxic or of low quality."""
     labels = table(spark, sf_dir, "labels").select(
@@ -91,13 +96,19 @@ def op10_lm_score(spark, sf_dir):
     )
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = [
     op1_secret_scan,
     op3_language_id,
+    op4_ngram_jaccard,
     op5_url_filter,
     op6_quality,
     op7_decontaminate,
     op8_mixing,
     op10_lm_score,
+    pipeline,
 ]
-ORACLES: dict[str, str] = {}
+ORACLES = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
