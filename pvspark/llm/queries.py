@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pvspark.llm import decontaminate, jaccard, langid, lm, mixing, quality, secrets, urls
+from pvspark.llm import decontaminate, jaccard, langid, lm, mixing, quality, repeats, secrets, urls
 from pvspark.llm.common import remainder, table
 
 
@@ -22,6 +22,18 @@ def op1_secret_scan(spark, sf_dir):
     )
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -102,6 +114,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = [
     op1_secret_scan,
+    op2_suffix_dedup,
     op3_language_id,
     op4_ngram_jaccard,
     op5_url_filter,
