@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pvspark.llm import decontaminate, jaccard, langid, lm, mixing, quality, repeats, secrets, urls
+from pvspark.llm import decontaminate, jaccard, langid, lm, mixing, neighbours, quality, repeats, secrets, urls
 from pvspark.llm.common import remainder, table
 
 
@@ -92,6 +92,11 @@ def op8_mixing(spark, sf_dir):
     )
 
 
+def op9_nearest(spark, sf_dir):
+    """Every 20th vector against all."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op10_lm_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 7) == 2
@@ -121,6 +126,7 @@ QUERIES = [
     op6_quality,
     op7_decontaminate,
     op8_mixing,
+    op9_nearest,
     op10_lm_score,
     pipeline,
 ]
