@@ -48,7 +48,7 @@ class Params:
     max_bits: int = 1 << 30  # 128 MB
     frequent: int = 1 << 18
     prior: float = 200.0
-    piece: int = 8 << 20
+    gather: int = 1 << 20  # tokens counted at once by a task
 
 
 def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,24 +78,36 @@ def _as_long(h: np.ndarray) -> pa.Array:
 
 def count_grams(train: DataFrame, p: Params) -> DataFrame:
     """``kind`` (1 word, 2 bigram), ``h``, ``n`` over all rows."""
-    size = p.piece
+    most = p.gather
+
+    def counted(grams: list[np.ndarray], kind: int):
+        h, n = np.unique(np.concatenate(grams), return_counts=True)
+        for k in range(0, len(h), 200_000):
+            part = h[k : k + 200_000]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(part), kind, np.int8)),
+                    _as_long(part),
+                    pa.array(n[k : k + 200_000].astype(np.int64)),
+                ],
+                ["kind", "h", "n"],
+            )
 
     def local(batches):
+        words, pairs, size = [], [], 0
         for batch in batches:
-            for _, data, at in pieces(batch.column(0), size):
+            for _, data, at in pieces(batch.column(0)):
                 tokens, ends = _tokens(data, at)
-                for kind, grams in ((1, tokens), (2, _bigrams(tokens, ends))):
-                    h, n = np.unique(grams, return_counts=True)
-                    for k in range(0, len(h), 200_000):
-                        part = h[k : k + 200_000]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(part), kind, np.int8)),
-                                _as_long(part),
-                                pa.array(n[k : k + 200_000].astype(np.int64)),
-                            ],
-                            ["kind", "h", "n"],
-                        )
+                words.append(tokens)
+                pairs.append(_bigrams(tokens, ends))
+                size += len(tokens)
+                if size >= most:
+                    yield from counted(words, 1)
+                    yield from counted(pairs, 2)
+                    words, pairs, size = [], [], 0
+        if size:
+            yield from counted(words, 1)
+            yield from counted(pairs, 2)
 
     found = train.select("text").mapInArrow(local, "kind byte, h long, n long")
     return found.groupBy("kind", "h").agg(F.sum("n").alias("n"))
@@ -244,7 +256,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, p: Params = Params())
     def run(batches):
         m = Model(*sent.value)
         for batch in batches:
-            for row, data, at in pieces(batch.column(1), p.piece):
+            for row, data, at in pieces(batch.column(1)):
                 tokens, ends = _tokens(data, at)
                 first = ends[:-1]
                 if not m.total:
