@@ -113,6 +113,7 @@ def _by_version(
 # ---- text and corpus ----------------------------------------------------
 
 _WORDS = (
+    # fixed value: the token pattern
     "list_transform(list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z_0-9]*'), "
     "lambda t: length(t) > 1), lambda t: lower(t))"
 )
@@ -154,10 +155,16 @@ def source_dir_filter(spark, sf_dir):
     return text.filter_source_dir(tags, "src1/")
 
 
+def _counted_versions(spark, sf_dir):
+    """Every version of the files and some that have none, one of them between others."""
+    names = _files(spark, sf_dir).select("version")
+    unused = names.withColumn("version", F.concat("version", F.lit(".5")))
+    tags = V.select_versions(names.union(unused), "src[0-9]+")
+    return V.files_per_version(tags, _documents(spark, sf_dir))
+
+
 def files_per_version(spark, sf_dir):
-    tags = V.select_versions(_files(spark, sf_dir), "src[0-9]+")
-    docs = text.filter_extensions(_documents(spark, sf_dir), [".es"])
-    return V.files_per_version(tags, docs).select("version", "files")
+    return _counted_versions(spark, sf_dir).select("version", "files")
 
 
 def total_documents(spark, sf_dir):
@@ -174,9 +181,7 @@ def version_tags(spark, sf_dir):
 
 
 def versions_with_docs(spark, sf_dir):
-    docs = text.filter_extensions(_documents(spark, sf_dir, min_tokens=600), [".es"])
-    counted = V.files_per_version(V.select_versions(_files(spark, sf_dir), "src[0-9]+"), docs)
-    return V.versions_with_documents(counted).select(
+    return V.versions_with_documents(_counted_versions(spark, sf_dir)).select(
         "version", F.col("ord").cast("long").alias("ord"), "files"
     )
 
@@ -219,7 +224,8 @@ def sample_documents(spark, sf_dir):
 
 
 def sample_unique_repos(spark, sf_dir):
-    return vocab.unique_repos(_sample(spark, sf_dir))
+    """Over all documents: the name is that of the report's field."""
+    return vocab.unique_repos(_documents(spark, sf_dir).select("tag"))
 
 
 def vocab_build(spark, sf_dir):
@@ -245,7 +251,8 @@ def vocab_incremental(spark, sf_dir):
 
 def encode_documents(spark, sf_dir):
     docs = _corpus(spark, sf_dir)
-    encoded = vocab.encode(docs, vocab.build(docs), spark.sparkContext.defaultParallelism)
+    tokens = docs.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    encoded = vocab.encode(docs, vocab.build(docs), max(1, -(-tokens // vocab.ENCODE_TOKENS)))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encoded.select("tag", F.size("ids").cast("long").alias("n_ids"), ids.alias("ids"))
 
@@ -298,6 +305,15 @@ def dup_pairs(spark, sf_dir):
     return _rounded(_one_set(spark, sf_dir).sorted_pairs())
 
 
+def dup_pairs_nan(spark, sf_dir):
+    """The vectors of one version hold a NaN each: they are similar to nothing."""
+    nan = F.array_append(F.slice("embedding", 1, 63), F.lit(float("nan")).cast("float"))
+    e = _embeddings(spark, sf_dir).withColumn(
+        "embedding", F.when(F.col("label") == 3, nan).otherwise(F.col("embedding"))
+    )
+    return _rounded(duplicates.near_duplicates(e, T, file="vec_id").sorted_pairs())
+
+
 def dup_pairs_cross(spark, sf_dir):
     return _rounded(_two_sets(spark, sf_dir).sorted_pairs())
 
@@ -381,6 +397,25 @@ def embeddings_wide_roundtrip(spark, sf_dir):
     return back.withColumn("file_path", F.col("file_path").cast("long"))
 
 
+def embeddings_versioned_roundtrip(spark, sf_dir):
+    """Written with a folder per version: the version comes back as a column, not as a component."""
+    e = _embeddings(spark, sf_dir).select(
+        F.col("vec_id").alias("file_path"),
+        F.concat("version", F.lit(".0")).alias("version"),
+        vectors.as_doubles(F.col("embedding")).alias("embedding"),
+    )
+    path = scratch_path(spark, "versioned")
+    sinks.write_embeddings_csv(e, path, 64, version="version")
+    back = tables.read_embeddings_csv(spark, path)
+    return back.select(
+        F.col("file_path").cast("long").alias("file_path"),
+        "version",
+        F.size("embedding").cast("long").alias("dims"),
+        F.col("embedding")[0].alias("dim_0"),
+        F.col("embedding")[63].alias("dim_63"),
+    )
+
+
 def _tag_requests(spark, sf_dir):
     """Wanted tags: every order key; most of them have no vector."""
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tag"))
@@ -439,8 +474,15 @@ def pv_finetune(spark, sf_dir):
 
 
 def pv_infer(spark, sf_dir):
+    """Besides the shape: whether each vector equals that of the first document with the same words."""
     docs = _corpus(spark, sf_dir)
-    return _shape(pv.PVTrainer(PV).fit(docs).infer(docs, 3))
+    found = materialize(pv.PVTrainer(PV).fit(docs).infer(docs, 3), "inferred")
+    words = docs.select("tag", F.xxhash64("words").alias("words"))
+    first = words.groupBy("words").agg(F.min("tag").alias("first"))
+    named = words.join(first, "words").join(found, "tag")
+    other = found.select(F.col("tag").alias("first"), F.col("vector").alias("theirs"))
+    equal = named.join(other, "first").select("tag", (F.col("vector") == F.col("theirs")).alias("as_copy"))
+    return _shape(found).join(equal, "tag")
 
 
 def pv_sample(spark, sf_dir):
@@ -489,6 +531,7 @@ _QUERIES = [
     popular_items,
     popular_items_org,
     dup_pairs,
+    dup_pairs_nan,
     dup_pairs_cross,
     dup_top10,
     files_in_duplicates,
@@ -506,6 +549,7 @@ _QUERIES = [
     overall_result,
     pair_totals,
     embeddings_wide_roundtrip,
+    embeddings_versioned_roundtrip,
     stored_lookup,
     missing_tags,
     pv_train,
@@ -603,16 +647,15 @@ def oracle_sql() -> dict[str, str]:
         "source_dir_filter": """SELECT source || '/' || doc_id || '.' || lang AS path FROM documents
             WHERE source = 'src1'""",
         "files_per_version": f"""WITH {_DOCS} SELECT s.source AS version, count(docs.tag) AS files
-            FROM (SELECT DISTINCT source FROM documents) s
-            LEFT JOIN docs ON docs.source = s.source AND docs.lang = 'es' GROUP BY s.source""",
+            FROM (SELECT DISTINCT unnest([source, source || '.5']) AS source FROM documents) s
+            LEFT JOIN docs ON docs.source = s.source GROUP BY s.source""",
         "total_documents": f"WITH {_DOCS} SELECT count(*) AS total_documents FROM docs",
         "version_tags": f"""SELECT source AS version, ord FROM
             (SELECT source, row_number() OVER (ORDER BY {src_pos}) - 1 AS ord
              FROM (SELECT DISTINCT source FROM documents WHERE source LIKE 'src1%')) WHERE ord < 8""",
         "versions_with_docs": f"""WITH {_DOCS} SELECT source AS version,
             row_number() OVER (ORDER BY {src_pos}) - 1 AS ord, files FROM
-            (SELECT source, count(*) AS files FROM docs WHERE lang = 'es' AND len(words) > 600
-             GROUP BY source)""",
+            (SELECT source, count(*) AS files FROM docs GROUP BY source)""",
         "repo_list": "SELECT url FROM pages",
         "repo_names": """SELECT page_id, replace(split_part(url, '/', -1), '.git', '') AS repo_name
             FROM pages""",
@@ -630,7 +673,7 @@ def oracle_sql() -> dict[str, str]:
               CAST(sum(documents) OVER (ORDER BY batch) AS BIGINT) AS documents_so_far FROM per""",
         "sample_documents": f"WITH {_DOCS} SELECT tag FROM docs ORDER BY repo_pos, path LIMIT 100",
         "sample_unique_repos": f"""WITH {_DOCS} SELECT count(DISTINCT split_part(tag, '/', 1))
-            AS unique_repos FROM (SELECT tag FROM docs ORDER BY repo_pos, path LIMIT 100)""",
+            AS unique_repos FROM docs""",
         "vocab_build": f"{vocabulary} SELECT word, word_id, count FROM vocab",
         "vocab_growth": f"""{batch_counts},
             grown AS (SELECT b.batch, count(f.word) AS new_words
@@ -652,8 +695,11 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
         "popular_items_org": """SELECT o_orderkey AS full_name, o_totalprice AS stargazers_count
             FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'F'
-            ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000""",
+            ORDER BY o_totalprice DESC, o_orderkey LIMIT 5000""",
         "dup_pairs": f"WITH {one} SELECT file_a, file_b, {sim} FROM p",
+        "dup_pairs_nan": f"""WITH {one} SELECT file_a, file_b, {sim} FROM p
+            WHERE file_a NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)
+              AND file_b NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)""",
         "dup_pairs_cross": f"WITH {two} SELECT file_a, file_b, {sim} FROM p",
         "dup_top10": f"""WITH {one} SELECT file_a, file_b, {sim} FROM p
             ORDER BY s DESC, file_a, file_b LIMIT 10""",
@@ -685,6 +731,9 @@ def oracle_sql() -> dict[str, str]:
         "embeddings_wide_roundtrip": "SELECT vec_id AS file_path, "
         + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS dim_{i}" for i in range(64))
         + " FROM embeddings",
+        "embeddings_versioned_roundtrip": """SELECT vec_id AS file_path, label || '.0' AS version,
+            CAST(len(embedding) AS BIGINT) AS dims, CAST(embedding[1] AS DOUBLE) AS dim_0,
+            CAST(embedding[64] AS DOUBLE) AS dim_63 FROM embeddings""",
         "stored_lookup": """SELECT o_orderkey AS tag, CAST(len(embedding) AS BIGINT) AS dims,
             round(CAST(embedding[1] AS DOUBLE), 6) AS dim_0
             FROM orders JOIN embeddings ON vec_id = o_orderkey""",
@@ -694,7 +743,7 @@ def oracle_sql() -> dict[str, str]:
         "pv_train": shape,
         "pv_train_batches": shape,
         "pv_finetune": shape,
-        "pv_infer": shape,
+        "pv_infer": f"SELECT *, true AS as_copy FROM ({shape})",
         "pv_sample": f"""WITH {_DOCS} SELECT tag, CAST(16 AS BIGINT) AS dims, true AS usable FROM docs
             ORDER BY repo_pos, path LIMIT 100""",
         "pv_cumulative": f"""WITH {_DOCS} SELECT lang || '/' || tag AS tag, CAST(16 AS BIGINT) AS dims,

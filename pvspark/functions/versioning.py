@@ -5,10 +5,14 @@ from pyspark.sql import functions as F
 
 
 def version_key(version: Column) -> Column:
-    """Text that sorts like a version: each run of digits compares as a number."""
+    """Text that sorts like a version: each run of digits compares as a number, however long."""
     runs = F.regexp_extract_all(version, F.lit(r"\d+|\D+"), F.lit(0))
-    padded = F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(r))
-    return F.array_join(padded, "")
+
+    def number(r: Column) -> Column:
+        digits = F.regexp_replace(r, "^0+(?=.)", "")
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), number(r)).otherwise(r)), "")
 
 
 def matches_tag(version: Column, tag_regex: str) -> Column:

@@ -5,7 +5,6 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_RESULTS = 1000  # fixed value: the search never returns more
 AGE_DAYS = 5 * 365
 
 
@@ -33,6 +32,4 @@ def popular_repos(
         chosen = chosen.filter(
             (F.col("stargazers_count") > min_stars) & (F.col("created") > F.lit(oldest))
         )
-    return chosen.orderBy(F.desc("stargazers_count"), "full_name").limit(
-        max(0, min(count, MAX_RESULTS))
-    )
+    return chosen.orderBy(F.desc("stargazers_count"), "full_name").limit(max(0, count))

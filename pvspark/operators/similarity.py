@@ -75,7 +75,11 @@ def list_array(matrix: np.ndarray) -> pa.Array:
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; a zero row stays zero (similarity 0)."""
+    """Rows scaled to length one; a zero row stays zero (similarity 0).
+
+    A row with a NaN or an infinite component is similar to nothing: it counts as a zero row.
+    """
+    matrix = np.where(np.isfinite(matrix).all(axis=1)[:, None], matrix, 0.0)
     norm = np.sqrt((matrix * matrix).sum(axis=1))
     norm[norm == 0] = 1.0
     return matrix / norm[:, None] + 0.0  # + 0.0 turns -0.0 into 0.0

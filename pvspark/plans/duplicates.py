@@ -14,12 +14,18 @@ from pvspark.sources.tables import read_embeddings_csv, version_label
 @dataclass
 class DuplicateAnalysis:
     found: NearDuplicates
+    versions: tuple[str, str] | None = None  # labels of the two sets
 
     def pairs(self) -> DataFrame:
         return self.found.sorted_pairs()
 
     def report(self) -> DataFrame:
-        return self.found.report()
+        """One row; of two labelled sets it begins with their labels."""
+        row = self.found.report()
+        if not self.versions:
+            return row
+        a, b = self.versions
+        return row.select(F.lit(a).alias("version_a"), F.lit(b).alias("version_b"), "*")
 
     def save(self, prefix: str) -> None:
         """Pairs as CSV (only if there are any) and the report as JSON."""
@@ -51,7 +57,9 @@ def analyze_csv(
     first = read_embeddings_csv(spark, embeddings)
     if embeddings_b is None:
         return analyze_duplicates(first, threshold)
-    return analyze_cross(first, read_embeddings_csv(spark, embeddings_b), threshold)
+    found = analyze_cross(first, read_embeddings_csv(spark, embeddings_b), threshold)
+    found.versions = tuple(labels(spark, embeddings, embeddings_b))
+    return found
 
 
 def labels(spark: SparkSession, *paths: str) -> list[str]:

@@ -76,7 +76,11 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for a CPU-heavy narrow stage over an input of few splits.
 
-    A large input already has more splits than cores and is left alone.
+    Decided on the optimizer's size estimate, so no job runs and no plan is
+    built: an input of more than a split a core is left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df

@@ -32,7 +32,7 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for row in batch.to_pylist():
             filesystem, base = fs.FileSystem.from_uri(row["root"])
             where = f"{base}/{row['path']}" if row["path"] else base
-            entries = filesystem.get_file_info(fs.FileSelector(where, allow_not_found=True))
+            entries = filesystem.get_file_info(fs.FileSelector(where, allow_not_found=row["optional"]))
             found = []
             for entry in entries:
                 is_dir = entry.type == fs.FileType.Directory
@@ -52,8 +52,8 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
 
 
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contents of listed files; an unreadable file gets a null content."""
+def _read_files(batches: Iterator[pa.RecordBatch], skip: bool) -> Iterator[pa.RecordBatch]:
+    """Contents of listed files; an unreadable file ends the job, or gets a null content with ``skip``."""
     names = ["version", "path", "content"]
 
     def emit(rows):
@@ -71,6 +71,8 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with filesystem.open_input_stream(f"{base}/{row['path']}") as stream:
                     content = stream.read()
             except (OSError, pa.ArrowException):
+                if not skip:
+                    raise
                 content = None
             rows.append((row["version"], row["path"], content))
             held += len(content or b"")
@@ -86,23 +88,32 @@ def _as_uri(root: str) -> str:
 
 
 def list_snapshots(
-    spark: SparkSession, roots: dict[str, str], source_dir: str | None = None
+    spark: SparkSession,
+    roots: dict[str, str],
+    source_dir: str | None = None,
+    skip_missing: bool = False,
 ) -> DataFrame:
     """``version, root, path, size`` of every file below each root.
 
     Paths are relative to the root even when ``source_dir`` limits the walk. A
-    missing root or sub-directory has no files.
+    missing root is an error, or has no files with ``skip_missing``. A version
+    may lack ``source_dir``: it then has no files.
     """
     start = (source_dir or "").strip("/")
-    rows = [(version, _as_uri(root), start) for version, root in roots.items()]
-    frontier = spark.createDataFrame(rows, "version string, root string, path string")
+    rows = [(version, _as_uri(root), start, skip_missing or bool(start)) for version, root in roots.items()]
+    if not skip_missing:
+        for _, root, *_ in rows:
+            filesystem, base = fs.FileSystem.from_uri(root)
+            if filesystem.get_file_info(base).type == fs.FileType.NotFound:
+                raise FileNotFoundError(root)
+    frontier = spark.createDataFrame(rows, "version string, root string, path string, optional boolean")
     files = None
     while True:
         spread = frontier.repartition(spark.sparkContext.defaultParallelism)
         level = materialize(spread.mapInArrow(_list_directories, _LISTED), "listing")
         found = level.filter(~F.col("is_dir")).drop("is_dir")
         files = found if files is None else files.unionByName(found)
-        frontier = level.filter("is_dir").select("version", "root", "path")
+        frontier = level.filter("is_dir").select("version", "root", "path", F.lit(skip_missing).alias("optional"))
         if frontier.isEmpty():
             return files
 
@@ -112,22 +123,28 @@ def read_snapshots(
     roots: dict[str, str],
     extensions: list[str],
     source_dir: str | None = None,
+    skip_missing: bool = False,
 ) -> DataFrame:
     """``version, path, content`` of the files matching an extension, per version.
 
-    Hidden files and ``_x`` files are included. ``content`` is null for a file
-    that could not be read.
+    Hidden files and ``_x`` files are included. A file that cannot be read is an
+    error; with ``skip_missing`` its ``content`` is null, and ``corpus_stats``
+    counts it.
     """
-    listed = filter_extensions(list_snapshots(spark, roots, source_dir), extensions)
+    listed = filter_extensions(list_snapshots(spark, roots, source_dir, skip_missing), extensions)
     total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / READ_BYTES))
     return listed.repartition(tasks).mapInArrow(
-        _read_files, "version string, path string, content binary"
+        lambda batches: _read_files(batches, skip_missing), "version string, path string, content binary"
     )
 
 
 def read_source_tree(
-    spark: SparkSession, root: str, extensions: list[str], source_dir: str | None = None
+    spark: SparkSession,
+    root: str,
+    extensions: list[str],
+    source_dir: str | None = None,
+    skip_missing: bool = False,
 ) -> DataFrame:
     """``path, content`` of one tree."""
-    return read_snapshots(spark, {"": root}, extensions, source_dir).drop("version")
+    return read_snapshots(spark, {"": root}, extensions, source_dir, skip_missing).drop("version")

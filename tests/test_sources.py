@@ -38,18 +38,21 @@ def test_snapshots_and_sub_directory(spark, tmp_path):
     plant(tmp_path / "v1", {"src1/x.py": b"1", "src10/y.py": b"2"})
     plant(tmp_path / "v2", {"other/z.py": b"3"})
     roots = {v: str(tmp_path / v) for v in ("v1", "v2", "absent")}
-    rows = trees.read_snapshots(spark, roots, [".py"]).collect()
+    with pytest.raises(FileNotFoundError):
+        trees.read_snapshots(spark, roots, [".py"])
+    rows = trees.read_snapshots(spark, roots, [".py"], skip_missing=True).collect()
     assert {(r.version, r.path) for r in rows} == {
         ("v1", "src1/x.py"), ("v1", "src10/y.py"), ("v2", "other/z.py")
     }
+    del roots["absent"]
     rows = trees.read_snapshots(spark, roots, [".py"], "src1").collect()
     assert [(r.version, r.path) for r in rows] == [("v1", "src1/x.py")]
 
 
-def test_unreadable_file_becomes_null(spark, tmp_path):
+def test_unreadable_file_is_an_error_or_null(spark, tmp_path):
     plant(tmp_path, {"a.py": b"x"})
     os.symlink(tmp_path / "gone", tmp_path / "b.py")
-    rows = trees.read_source_tree(spark, str(tmp_path), [".py"]).collect()
+    rows = trees.read_source_tree(spark, str(tmp_path), [".py"], skip_missing=True).collect()
     assert {r.path: r.content and bytes(r.content) for r in rows}["a.py"] == b"x"
     assert all(r.content is None for r in rows if r.path == "b.py")
 

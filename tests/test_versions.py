@@ -24,6 +24,13 @@ def test_regex_is_anchored_at_the_start(spark):
     assert V.select_versions(df, r"x|1").count() == 1
 
 
+def test_long_numbers_in_versions(spark):
+    names = ["b-99999999999999999999", "b-123456789012345678901", "b-0099", "b-100"]
+    df = spark.createDataFrame([(n,) for n in names], "version string")
+    got = [r.version for r in V.select_versions(df, ".*").orderBy("ord").collect()]
+    assert got == ["b-0099", "b-100", "b-99999999999999999999", "b-123456789012345678901"]
+
+
 def test_version_without_documents(spark):
     tags = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "version string, ord int")
     docs = spark.createDataFrame([("a",), ("c",), ("c",)], "version string")
