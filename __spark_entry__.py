@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from pvspark.functions import text, vectors  # noqa: E402
+from pvspark.functions.versioning import version_key  # noqa: E402
 from pvspark.operators import catalog, duplicates, pv, vocab  # noqa: E402
 from pvspark.operators import versions as V  # noqa: E402
 from pvspark.operators.bag_similarity import bag_duplicates  # noqa: E402
+from pvspark.operators.ranking import global_rank  # noqa: E402
 from pvspark.plans import cross_version, training  # noqa: E402
 from pvspark.plans.corpus import prepare_corpus  # noqa: E402
 from pvspark.session import materialize, scratch_path, spread  # noqa: E402
@@ -74,8 +76,8 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repositories in list order (here: version order)."""
-    found = V.select_versions(_table(spark, sf_dir, "documents"), "src", version="source")
-    return found.select(F.col("version").alias("repo"), F.col("ord").alias("repo_pos"))
+    names = _table(spark, sf_dir, "documents").select(F.col("source").alias("repo")).distinct()
+    return global_rank(names, [version_key(F.col("repo")), F.col("repo")], "repo_pos")
 
 
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
