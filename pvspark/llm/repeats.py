@@ -39,6 +39,7 @@ from pvspark.llm.words import mix
 GRAM = 32
 SECTION = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ class Params:
     block: int = 40  # divides length, and at most half of it
     batch: int = 8 << 20  # bytes of contexts in one suffix array
     anchor_limit: int = 5_000
-    broadcast_rows: int = 1_500_000
+    broadcast_rows: int = 200_000  # of about 100 bytes
 
 
 def _hash_grams(data: np.ndarray, gram: int) -> np.ndarray:
@@ -307,7 +308,7 @@ def _contents(docs: DataFrame, contexts: DataFrame, p: Params) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``doc_id, hash, spans``: byte ranges to remove, of the rows that have any; ranges may overlap."""
+    """``doc_id, hash, spans``: the maximal byte ranges to remove, of the rows that have any."""
     spark = docs.sparkSession
     gram = GRAM
     while gram * 2 > p.length:
@@ -354,9 +355,19 @@ def find_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     known = contexts.select("ctx", "anchor", "content").join(spans, "ctx").drop("ctx")
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))
     per_record = records.join(known, ["anchor", "content"]).select("doc_id", "hash", moved.alias("spans"))
-    out, _ = store(
-        per_record.groupBy("doc_id", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats"
-    )
+    whole = per_record.groupBy("doc_id", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def merge(batches):
+        for batch in batches:
+            merged = [
+                [{"start": a, "end": b} for a, b in _merge([(s["start"], s["end"]) for s in spans])]
+                for spans in batch.column(2).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(merged, _SPANS)], ["doc_id", "hash", "spans"]
+            )
+
+    out, _ = store(whole.mapInArrow(merge, whole.schema), "repeats")
     drop(spark, records_at, contexts_at, spans_at)
     return out
 
@@ -380,16 +391,14 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
         "left",
     )
     kind = dict(docs.dtypes)["doc_id"]
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column(1))
             sizes, removed, kept = [], [], []
             for row, spans in enumerate(batch.column(2).to_pylist()):
-                # repeated rows collect their ranges several times over; they merge
                 whole = data[at[row] : at[row + 1]]
-                gone = _merge([(s["start"], s["end"]) for s in spans or []])
+                gone = [(s["start"], s["end"]) for s in spans or []]
                 stay = np.ones(len(whole), bool)
                 for a, b in gone:
                     stay[a:b] = False
@@ -397,7 +406,7 @@ def remove_repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 removed.append([{"start": a, "end": b} for a, b in gone])
                 kept.append(whole[stay].tobytes() if gone else whole.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, _SPANS), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "removed", "kept"],
             )
 
