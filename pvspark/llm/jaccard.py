@@ -312,14 +312,14 @@ def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
     kept, _ = store(
         first.select(F.col("f.doc_id").alias("k_id"), F.col("f.hash").alias("k_hash")).distinct(), "kept"
     )
-    same = docs["doc_id"].eqNullSafe(F.col("k_id")) & (text_hash(docs["text"]) == F.col("k_hash"))
+    same = docs["doc_id"].eqNullSafe(kept["k_id"]) & (text_hash(docs["text"]) == kept["k_hash"])
     found = docs.join(_small(kept, p.broadcast_rows), same, "left_semi")
     repeats = rows.groupBy("doc_id", "hash").count().filter("count > 1")
     if repeats.isEmpty():
         return found
     # several rows with one id and one text: only these meet by a shuffle
     again, _ = store(repeats.select(F.col("doc_id").alias("r_id"), F.col("hash").alias("r_hash")), "repeats")
-    twice = found["doc_id"].eqNullSafe(F.col("r_id")) & (text_hash(found["text"]) == F.col("r_hash"))
+    twice = found["doc_id"].eqNullSafe(again["r_id"]) & (text_hash(found["text"]) == again["r_hash"])
     again = _small(again, p.broadcast_rows)
     single = found.join(again, twice, "left_anti")
     return single.union(found.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))

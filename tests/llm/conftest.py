@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHING = ["hash", "row", "n", "h", "score", "spans", "node", "topic", "weight", "rejected", "hit_id"]
+CLASHING = ["k_id", "r_hash", "bad_id", "f_id", "hash", "row", "n", "h", "score", "spans", "node", "topic", "weight", "rejected", "hit_id"]
 PROSE = {
     "en": "the of and to in that with for was they have this from which there their about other",
     "fr": "le de et la les des une dans pour que avec est sur par plus être français où",
