@@ -70,3 +70,19 @@ def per_row(sums_of: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.zeros((len(sums_of) + 1, *sums_of.shape[1:]), np.result_type(sums_of.dtype, np.int64))
     np.cumsum(sums_of, axis=0, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
+
+
+def whole_groups(batches):
+    """Batches of rows sorted by their first column, regrouped so that no key is split."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        key = table.column(0).to_numpy()
+        if not len(key):
+            continue
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield rest

@@ -15,9 +15,10 @@ touch only that part of all shingles, whatever the size, and no result changes.
    positional filter and the suffix filter (counts of both sets in ranges of the
    hash space bound their intersection), and are verified once on full sets.
 4. A group of n documents is not expanded into its n^2/2 pairs: each round
-   compares a group with one pivot and merges what links. Then the pairs of
-   documents that share a prefix shingle and are still in different components
-   are all verified, so that no link between components is missed.
+   compares a group with one pivot and merges what links. Then documents that
+   share a prefix shingle and are still in different components are all tested,
+   in blocks of bounded size, and what passes the filters is verified, so that
+   no link between components is missed.
 
 Results: one row per input row with the set's size and the smallest id its links
 reach. Null and empty texts, and those without words, have no set and link with
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvspark.llm.common import drop, pieces, store, text_hash
+from pvspark.llm.common import drop, pieces, store, text_hash, whole_groups
 from pvspark.llm.components import components
 from pvspark.llm.words import distinct, mix, shingles, word_hashes
 
@@ -47,6 +48,7 @@ class Params:
     den: int = 5
     universe: float = 1.5  # width of the counted part of the hash space, in prefixes
     pivot_rounds: int = 3
+    chunk: int = 512  # documents of one shingle on a side of a block
     broadcast_rows: int = 1_000_000  # of 16 to 40 bytes
 
 
@@ -184,6 +186,75 @@ def _suffix_filter(pairs: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def _all_pairs(left: DataFrame, p: Params) -> DataFrame:
+    """``a, b`` of all pairs in different components that share a prefix shingle and pass every filter.
+
+    A shingle's documents are cut into chunks and each two chunks meet in one
+    block of bounded size, where pairs are tested without being listed.
+    """
+    sizes = left.groupBy("h").agg(F.ceil(F.count("*") / F.lit(p.chunk)).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("row", "h"), F.col("chunks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("chunks") - 1)
+    dealt = (
+        left.join(sizes, "h")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(others))
+        .select(
+            F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
+            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+            (F.col("own") == F.col("other")).alias("inner"),
+            "h",
+            "row",
+            "n",
+            "pos",
+            "comp",
+            "profile",
+        )
+    )
+    num, den = p.num, p.den
+
+    def meet(rows: dict[str, np.ndarray]):
+        """Pairs of one block."""
+        found_a, found_b = [], []
+        first = np.flatnonzero(rows["side"] == 0)
+        for x in first:
+            # inside a chunk each pair once, between chunks all of the other side
+            y = first[first > x] if rows["inner"][x] else np.flatnonzero(rows["side"] == 1)
+            n = rows["n"][x] + rows["n"][y]
+            least, most = np.minimum(rows["n"][x], rows["n"][y]), np.maximum(rows["n"][x], rows["n"][y])
+            need = _ceil(num * n, den + num)
+            front = np.minimum(rows["pos"][x], rows["pos"][y])
+            rest = np.minimum(rows["n"][x] - rows["pos"][x], rows["n"][y] - rows["pos"][y])
+            ok = (rows["comp"][x] != rows["comp"][y]) & (rows["h"][x] == rows["h"][y])
+            ok &= (den * least >= num * most) & (front + rest >= need)
+            y, n, need = y[ok], n[ok], need[ok]
+            off = rows["profile"][y] - rows["profile"][x]
+            apart = np.minimum(off, -off).sum(axis=1, dtype=np.int64)
+            y = y[(n - apart) // 2 >= need]
+            found_a.append(np.full(len(y), rows["row"][x]))
+            found_b.append(rows["row"][y])
+        return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else None
+
+    def run(batches):
+        names = ["side", "inner", "h", "row", "n", "pos", "comp"]
+        for table in whole_groups(batches):
+            table = table.combine_chunks()
+            block = table.column("block").to_numpy()
+            columns = {c: table.column(c).to_numpy() for c in names}
+            profiles = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8)
+            columns["profile"] = profiles.reshape(-1, RANGES)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            for s, e in zip(cut[:-1], cut[1:]):
+                pairs = meet({c: v[s:e] for c, v in columns.items()}) if e - s > 1 else None
+                if pairs and len(pairs[0]):
+                    a, b = pairs
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
+                    )
+
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
+
+
 def _side(postings: DataFrame, name: str) -> DataFrame:
     return postings.withColumnsRenamed({c: f"{name}_{c}" for c in postings.columns if c != "h"})
 
@@ -255,8 +326,7 @@ def join_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     while not left.isEmpty():
         exhaustive = turn >= p.pivot_rounds
         if exhaustive:
-            x, y = _side(left, "x"), _side(left, "y")
-            met = x.join(y, "h").filter((F.col("x_row") < F.col("y_row")))
+            found = _all_pairs(left, p)
         else:
             # another pivot each round; the first is the first row, the same for most shingles of a group
             order = F.col("row") if turn == 0 else F.xxhash64(F.lit(turn), "row")
@@ -264,7 +334,8 @@ def join_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
             pivots = left.groupBy("h").agg(F.min_by(whole, F.struct(order, "row")).alias("v"))
             pivots = pivots.select("h", *[F.col(f"v.{c}").alias(f"x_{c}") for c in left.columns if c != "h"])
             met = pivots.join(_side(left, "y"), "h").filter(F.col("x_row") != F.col("y_row"))
-        found = _suffix_filter(met.filter((F.col("x_comp") != F.col("y_comp")) & _may_link(p)), p).distinct()
+            found = _suffix_filter(met.filter((F.col("x_comp") != F.col("y_comp")) & _may_link(p)), p)
+        found = found.distinct()
         if tried is not None:
             found = found.join(tried, ["a", "b"], "left_anti")
         pairs, _ = store(found, "pairs")

@@ -30,41 +30,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pvspark.llm.common import drop, store
+from pvspark.llm.common import drop, store, whole_groups
 
 LISTS = "node long, ids array<long>, sims array<float>, old array<boolean>"
 
 
 @dataclass(frozen=True)
 class Params:
-    k: int = 32
+    k: int = 40
     tables: int = 4
     block: int = 400
-    rounds: int = 5
-    reverse: int = 24
-    offers: int = 8
-    beam: int = 64
-    search_rounds: int = 4
+    rounds: int = 8
+    reverse: int = 32
+    offers: int = 12
+    beam: int = 128
+    search_rounds: int = 6
     top: int = 20
     seed: int = 5
 
 
-def _whole_groups(batches, keys: int = 1):
-    """Batches of rows sorted by their first column, regrouped so that no key is split."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-        key = table.column(0).to_numpy()
-        if not len(key):
-            continue
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield table.slice(0, cut)
-        rest = table.slice(cut)
-    if rest is not None and len(rest):
-        yield rest
-
-
 def _sorted(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
@@ -98,7 +82,7 @@ def _merge(rows: DataFrame, k: int) -> DataFrame:
     """Lists of ``LISTS`` rows with the same node merged into one of the ``k`` best."""
 
     def run(batches):
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches):
             ids, row = _flat(table.column(1))
             sims, _ = _flat(table.column(2))
             old, _ = _flat(table.column(3))
@@ -199,7 +183,7 @@ def _local_join(graph: DataFrame, codes: DataFrame, p: Params, turn: int) -> Dat
     offers = p.offers
 
     def run(batches):
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches):
             table = table.combine_chunks()
             centre, m = table.column(0).to_numpy(), table.column(1).to_numpy()
             old = table.column(2).to_numpy(zero_copy_only=False).astype(bool)

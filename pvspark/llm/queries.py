@@ -44,7 +44,7 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_ngram_jaccard(spark, sf_dir):
-    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Params(words=3, num=90, den=100))
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Params(words=3, num=90, den=100, universe=3.0))
 
 
 def op5_url_filter(spark, sf_dir):
