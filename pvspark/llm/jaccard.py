@@ -271,10 +271,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, p: Params) -> Da
 
     def members(batches):
         for batch in batches:
-            found = []
+            row = 0
             for values, at in _sets(batch.column(1), p.words):
-                found += [values[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "set"])
+                found = [values[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
+                rows = batch.column(0).slice(row, len(found))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(found, pa.binary())], ["row", "set"])
+                row += len(found)
 
     sets, sets_at = store(texts.select("row", "text").mapInArrow(members, "row long, set binary"), "sets")
 
