@@ -33,7 +33,7 @@ from pvspark.sources import sinks, tables  # noqa: E402
 
 # the training-data operators are an optional part
 try:
-    from pvspark.llm import queries as llm  # noqa: E402
+    import pvspark.llm.queries as llm  # noqa: E402
 except ModuleNotFoundError as missing:
     if not str(missing.name).startswith(("pvspark.llm", "corpus_pipeline")):
         raise
