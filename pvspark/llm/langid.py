@@ -37,7 +37,7 @@ UND = "und"
 class Params:
     buckets: int = 1 << 15
     dim: int = 16
-    per_language: int = 700
+    per_language: int = 500
     epochs: int = 6
     batch: int = 16
     rate: float = 0.5

@@ -17,12 +17,15 @@ observed share; both are normalised to 1.
 Results: one row per input row. Nulls of a dimension are a value of their own.
 Null and empty texts have 0 tokens; cells without tokens get weight 1.
 Empty tables give empty results. Extra columns are ignored or, in ``sample``,
-kept. The cells and the fitted factor of each value are distributed tables; each
-new factor table is written, so that lineage stays short.
+kept. Up to ``local_cells`` cells (counted first) are raked in one place; beyond
+that the cells and the fitted factor of each value are distributed tables, and
+each new factor table is written, so that lineage stays short.
 """
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,7 @@ class Params:
     keep: float = 0.5  # share of all tokens that is expected to stay
     sweeps: int = 20  # at most
     error: float = 1e-6  # of all tokens, in any value's total
+    local_cells: int = 20_000  # so many cells are raked in one place, more by joins
     seed: int = 17
 
 
@@ -97,6 +101,9 @@ def rake(docs: DataFrame, topic: Column, p: Params = Params()) -> DataFrame:
     for d in DIMENSIONS:
         full = _with_targets(full, d, p.targets.get(d, 1.0), total)
     full, _ = store(full.withColumn("w", F.col("tokens") / F.lit(total)), "cell-targets")
+    if full.count() <= p.local_cells:
+        fitted = _rake_rows(full, p, total)
+        return cells.join(fitted, [f"__{d}" for d in DIMENSIONS], "left").fillna({"weight": 1.0})
     factors: dict[str, tuple[DataFrame, str]] = {}
 
     def fitted() -> DataFrame:
@@ -131,6 +138,30 @@ def rake(docs: DataFrame, topic: Column, p: Params = Params()) -> DataFrame:
     return cells.join(fitted().select(*keys, weight), keys, "left").fillna({"weight": 1.0})
 
 
+def _rake_rows(full: DataFrame, p: Params, total: float) -> DataFrame:
+    """The same sweeps over the rows of a cell table whose size was checked."""
+    rows = full.orderBy(*[f"__{d}" for d in DIMENSIONS]).toPandas()
+    w = rows["w"].to_numpy().copy()
+    sides = []
+    for d in DIMENSIONS:
+        codes, values = pd.factorize(rows[f"__{d}"])
+        target = np.zeros(len(values))
+        target[codes] = rows[f"share_{d}"].to_numpy()
+        sides.append((codes, target))
+    for _ in range(p.sweeps):
+        worst = 0.0
+        for codes, target in sides:
+            now = np.bincount(codes, w, len(target))
+            worst = max(worst, float(np.abs(now - target).max()))
+            w *= (target / now)[codes]
+        if worst < p.error:
+            break
+    keys = [f"__{d}" for d in DIMENSIONS]
+    weights = rows[keys].assign(weight=w * total / rows["tokens"].to_numpy())
+    schema = ", ".join(f"`{k}` string" for k in keys) + ", weight double"
+    return full.sparkSession.createDataFrame(weights, schema)
+
+
 def calibrate(cells: DataFrame, keep: float) -> float:
     """``c`` for which the expected share of tokens is ``keep``; the cells are asked 16 values a time."""
     lo, hi = 0.0, 1.0

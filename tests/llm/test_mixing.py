@@ -28,8 +28,15 @@ def raked(cells, exponents, sweeps):
     return {c: w[at(c)] / first[at(c)] for c, n in cells.items() if n}
 
 
-def test_equals_dense_raking(docs):
-    p = mixing.Params(targets={"source": 0.3, "lang": 0.0, "topic": 1.0}, keep=0.4, error=1e-12, sweeps=60)
+@pytest.mark.parametrize("local_cells,sweeps", [(20_000, 60), (0, 3)])
+def test_equals_dense_raking(docs, local_cells, sweeps):
+    p = mixing.Params(
+        targets={"source": 0.3, "lang": 0.0, "topic": 1.0},
+        keep=0.4,
+        error=1e-12,
+        sweeps=sweeps,
+        local_cells=local_cells,
+    )
     topic = F.when(F.length("text") > 150, "long").otherwise("short")
     rows = mixing.probabilities(docs, topic, p).collect()
     assert len(rows) == docs.count()
@@ -37,7 +44,7 @@ def test_equals_dense_raking(docs):
     key = lambda r: (str(r.source), str(r.lang), "long" if r.text and len(r.text) > 150 else "short")
     for r in rows:
         cells[key(r)] += len(lower_words(r.text))
-    expected = raked({k: n for k, n in cells.items() if n}, (0.3, 0.0, 1.0), 60)
+    expected = raked({k: n for k, n in cells.items() if n}, (0.3, 0.0, 1.0), sweeps)
     for r in rows:
         assert r["__weight"] == pytest.approx(expected.get(key(r), 1.0), rel=1e-6)
     total = sum(cells.values())
