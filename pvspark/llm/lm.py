@@ -3,14 +3,16 @@
 Training tokens (words of ``words``, and one end per document) and bigrams are
 counted by Spark over all training documents. A count ``n`` is quantised to the
 level ``1 + floor(log2 n)``; the filter holds a gram once for every level up to
-its own, so a reader probes level after level until one is missing. Words are
-kept from one occurrence on, bigrams from two.
+its own, so a reader probes level after level until one is missing. All words
+and all bigrams are kept, from one occurrence on.
 
-The filter is cut into segments by the gram's hash. Grams are dealt to tasks by
-segment, a task sets the bits of its segments as rows stream by, and only
-finished segments reach the driver. Its size follows the number of insertions
-at ``bits_per_entry``, up to ``max_bits`` - the bound that makes it fit for a
-broadcast. Beyond it the least count of bigrams rises until they fit.
+The filter is cut into segments by the gram's hash and is never in one place.
+Grams are dealt to tasks by segment, a task sets the bits of its segments as
+rows stream by. Its size follows the number of insertions at ``bits_per_entry``
+without a bound: beyond ``max_bits`` for ``SEGMENTS`` segments there are more
+segments, not larger ones. To score, texts are taken by blocks of ``gather``
+tokens; the distinct grams of a block are dealt to the tasks that hold their
+segments, and the levels found go back to the block. All sizes go this way.
 
 A bigram's probability is its quantised count smoothed with the unigram
 probability (Dirichlet prior ``prior``); a text's score is the sum of log10.
@@ -29,6 +31,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,7 @@ from pvspark.llm.words import mix, word_hashes
 END = np.uint64(0x5BF0_3635_D1E6_A1F3)
 START = np.uint64(0x27D4_EB2F_1656_67C5)
 SEGMENTS = 256
+HELD = 16  # neighbouring segments that a task has at once to look levels up
 
 
 @dataclass(frozen=True)
@@ -45,10 +50,10 @@ class Params:
     bits_per_entry: int = 10
     probes: int = 3
     min_bits: int = 1 << 20
-    max_bits: int = 1 << 30  # 128 MB
+    max_bits: int = 1 << 30  # of SEGMENTS segments: 512 KB each
     frequent: int = 1 << 18
     prior: float = 200.0
-    gather: int = 1 << 20  # tokens counted at once by a task
+    gather: int = 1 << 20  # tokens counted or looked up at once by a task
 
 
 def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,22 +124,20 @@ def _level(n: Column) -> Column:
 
 
 def _choose_size(counts: DataFrame, p: Params) -> tuple[int, int]:
-    """Bits of the filter and the least level a bigram needs to go in."""
-    rows = counts.groupBy("kind", _level(F.col("n")).alias("level")).count().collect()
-    inserted = lambda least: sum(
-        r["level"] * r["count"] for r in rows if r["kind"] == 1 or r["level"] >= least
-    )
-    least = 2
-    while least < 64 and inserted(least) * p.bits_per_entry > p.max_bits:
-        least += 1
-    bits = p.min_bits
-    while bits < min(p.max_bits, inserted(least) * p.bits_per_entry):
-        bits *= 2
-    return bits, least
+    """Bits of ``SEGMENTS`` segments, at most ``max_bits``, and how many times so many segments there are."""
+    rows = counts.groupBy(_level(F.col("n")).alias("level")).count().collect()
+    inserted = sum(r["level"] * r["count"] for r in rows)
+    bits, parts = p.min_bits, 1
+    while bits * parts < inserted * p.bits_per_entry:
+        if bits * 2 <= p.max_bits:
+            bits *= 2
+        else:
+            parts *= 2
+    return bits, parts
 
 
 def _places(h: np.ndarray, level: int, bits: int, probes: int):
-    """Segment of each gram and, per probe, the bit of its level there."""
+    """Per probe, the bit of each gram's level in its segment."""
     inside = np.uint64(bits // SEGMENTS - 1)
     mixed = mix(h + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     step = (mixed >> np.uint64(32)) | np.uint64(1)
@@ -142,19 +145,21 @@ def _places(h: np.ndarray, level: int, bits: int, probes: int):
         yield (mixed + step * np.uint64(k)) & inside
 
 
-def _segment(h: np.ndarray) -> np.ndarray:
-    return (mix(h) & np.uint64(SEGMENTS - 1)).astype(np.int64)
+def _segment(h: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+    """The low bits of one hash, so the place among ``HELD`` neighbours follows from it too."""
+    return (mix(h) & np.uint64(segments - 1)).astype(np.int64)
 
 
-def build_filter(counts: DataFrame, bits: int, least: int, p: Params) -> np.ndarray:
-    """The whole filter as bytes; ``bits`` is at most ``max_bits``."""
+def filter_segments(counts: DataFrame, bits: int, parts: int, p: Params) -> DataFrame:
+    """The filter as rows ``segment, bits``; segments that hold nothing are left out."""
     probes, size = p.probes, bits // SEGMENTS // 8
 
     def tag(batches):
         for batch in batches:
             h = batch.column(0).to_numpy().view(np.uint64)
+            seg = _segment(h, SEGMENTS * parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_segment(h).astype(np.int32)), batch.column(0), batch.column(1)], ["segment", "h", "n"]
+                [pa.array(seg.astype(np.int32)), batch.column(0), batch.column(1)], ["segment", "h", "n"]
             )
 
     def fill(batches):
@@ -175,23 +180,28 @@ def build_filter(counts: DataFrame, bits: int, least: int, p: Params) -> np.ndar
                 [pa.array([s], pa.int32()), pa.array([flat.tobytes()], pa.binary())], ["segment", "bits"]
             )
 
-    kept = counts.filter((F.col("kind") == 1) | (_level(F.col("n")) >= least)).select("h", "n")
-    dealt = kept.mapInArrow(tag, "segment int, h long, n long").repartition(64, "segment")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in dealt.mapInArrow(fill, "segment int, bits binary").toLocalIterator():
+    dealt = counts.select("h", "n").mapInArrow(tag, "segment int, h long, n long")
+    return dealt.repartition(64 * parts, "segment").mapInArrow(fill, "segment int, bits binary")
+
+
+def build_filter(counts: DataFrame, bits: int, parts: int, p: Params) -> np.ndarray:
+    """The whole filter as bytes in one place; only for small ones."""
+    size = bits // SEGMENTS // 8
+    out = np.zeros(bits // 8 * parts, np.uint8)
+    for r in filter_segments(counts, bits, parts, p).toLocalIterator():
         out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def levels(h: np.ndarray, flat: np.ndarray, probes: int) -> np.ndarray:
-    """The level each gram has in the filter, 0 if it is missing."""
-    bits = len(flat) * 8
-    base = _segment(h) * (bits // SEGMENTS)
+def levels(h: np.ndarray, flat: np.ndarray, probes: int, held: int = SEGMENTS) -> np.ndarray:
+    """The level each gram has in the ``held`` segments of ``flat``, 0 if it is missing."""
+    size = len(flat) * 8 // held
+    base = _segment(h, held) * size
     out = np.zeros(len(h), np.int64)
     alive = np.arange(len(h))
     for j in range(1, 65):
         there = np.ones(len(alive), bool)
-        for bit in _places(h[alive], j, bits, probes):
+        for bit in _places(h[alive], j, size * SEGMENTS, probes):
             at = base[alive] + bit.astype(np.int64)
             there &= (flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
         alive = alive[there]
@@ -201,24 +211,147 @@ def levels(h: np.ndarray, flat: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
+def _dealt(tokens: np.ndarray, pairs: np.ndarray, segments: int):
+    """The distinct grams ascending, their order by bucket (``HELD`` segments), and each bucket's end in it."""
+    grams = np.unique(np.concatenate([tokens, pairs]))
+    bucket = _segment(grams, segments) // HELD
+    return grams, np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=segments // HELD))
+
+
+def _ask(docs: DataFrame, segments: int, p: Params) -> DataFrame:
+    """``block, bucket, doc_id, text, grams``: rows of texts (no bucket), and of grams to look up for their block."""
+    kind, most = dict(docs.dtypes)["doc_id"], p.gather
+
+    def run(batches):
+        block, tokens, pairs, size = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def asked():
+            grams, order, ends = _dealt(np.concatenate(tokens), np.concatenate(pairs), segments)
+            parts = [grams[k].tobytes() for k in np.split(order, ends[:-1])]
+            some = [k for k, part in enumerate(parts) if part]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(some), block)),
+                    pa.array(np.array(some, np.int32)),
+                    pa.nulls(len(some), ids),
+                    pa.nulls(len(some), texts),
+                    pa.array([parts[k] for k in some], pa.binary()),
+                ],
+                names,
+            )
+
+        names = ["block", "bucket", "doc_id", "text", "grams"]
+        for batch in batches:
+            ids, texts = batch.column(0).type, batch.column(1).type
+            for row, data, at in pieces(batch.column(1)):
+                found, ends = _tokens(data, at)
+                tokens.append(found)
+                pairs.append(_bigrams(found, ends))
+                size += len(found)
+                n = len(at) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, block)),
+                        pa.nulls(n, pa.int32()),
+                        batch.column(0).slice(row, n),
+                        batch.column(1).slice(row, n),
+                        pa.nulls(n, pa.binary()),
+                    ],
+                    names,
+                )
+                if size >= most:
+                    yield asked()
+                    block, tokens, pairs, size = block + 1, [], [], 0
+        if size:
+            yield asked()
+
+    return docs.mapInArrow(run, f"block long, bucket int, doc_id {kind}, text string, grams binary")
+
+
+def _answer(asked: DataFrame, segments: DataFrame, bits: int, parts: int, p: Params) -> DataFrame:
+    """``block, bucket, levels``, a byte for each gram asked; a task has one bucket of the filter at a time."""
+    probes, size = p.probes, bits // SEGMENTS // 8
+
+    def run(batches):
+        here, flat = -1, None
+        for batch in batches:
+            block, bucket, segment = (batch.column(k).to_pylist() for k in range(3))
+            out = []
+            for k, data in enumerate(batch.column(3)):
+                if bucket[k] != here:
+                    here, flat = bucket[k], np.zeros(size * HELD, np.uint8)
+                data = np.frombuffer(data.as_buffer(), np.uint8)
+                if segment[k] is not None:
+                    at = segment[k] % HELD * size
+                    flat[at : at + size] = data
+                else:
+                    out.append((block[k], here, levels(data.view(np.uint64), flat, probes, HELD).astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in out], pa.int64()),
+                    pa.array([r[1] for r in out], pa.int32()),
+                    pa.array([r[2] for r in out], pa.binary()),
+                ],
+                ["block", "bucket", "levels"],
+            )
+
+    held = segments.select(
+        F.lit(-1).cast("long").alias("block"),
+        F.floor(F.col("segment") / HELD).cast("int").alias("bucket"),
+        "segment",
+        F.col("bits").alias("data"),
+    )
+    grams = asked.select("block", "bucket", F.lit(None).cast("int").alias("segment"), F.col("grams").alias("data"))
+    return (
+        held.unionByName(grams)
+        .repartition(SEGMENTS // HELD * parts, "bucket")
+        .sortWithinPartitions("bucket", "block")
+        .mapInArrow(run, "block long, bucket int, levels binary")
+    )
+
+
+def _blocks(batches):
+    """Per block, from rows sorted by block: its rows of ids and texts, and the levels in order of buckets."""
+    here, rows, found = None, [], []
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
+        for a, e in zip(cuts[:-1], cuts[1:]):
+            if a == e:
+                continue
+            if block[a] != here:
+                if rows:
+                    yield rows, np.concatenate(found)
+                here, rows, found = block[a], [], []
+            part = batch.slice(a, e - a)
+            text = part.column(1).is_null()
+            # a copy, so that the batch is not kept
+            rows.append(part.filter(text).select([2, 3]))
+            found += [np.frombuffer(x.as_buffer(), np.uint8).copy() for x in part.filter(pc.invert(text)).column(4)]
+    if rows:
+        yield rows, np.concatenate(found)
+
+
 #: A count known by its level only: the middle of the level on a log scale.
 TYPICAL = np.concatenate([[0.0], np.sqrt(2.0 ** np.arange(64) * np.maximum(2.0 ** np.arange(1, 65) - 1, 1))])
 
 
-def _log_prob(tokens, at, flat, n: float, v: float, p: Params) -> np.ndarray:
-    """log10 P(token | token before) of every token."""
-    word = TYPICAL[levels(tokens, flat, p.probes)]
+def _log_prob(tokens, at, level, start: int, pair, n: float, v: float, p: Params) -> np.ndarray:
+    """log10 P(token | token before) of every token, from the levels of tokens, of the end and of bigrams."""
+    word = TYPICAL[level]
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    before[at[:-1]] = TYPICAL[levels(np.array([END]), flat, p.probes)[0]]  # a start for every end
-    pair = np.minimum(TYPICAL[levels(_bigrams(tokens, at), flat, p.probes)], before)
+    before[at[:-1]] = TYPICAL[start]  # a start for every end
+    pair = np.minimum(TYPICAL[pair], before)
     unigram = (word + 1) / (n + v + 1)
     return np.log10((pair + p.prior * np.minimum(unigram, 1)) / (before + p.prior))
 
 
 @dataclass(frozen=True)
 class Model:
-    flat: np.ndarray
+    segments: DataFrame  # the filter: ``segment, bits``
+    bits: int
+    parts: int
     words: np.ndarray
     counts: np.ndarray
     total: int
@@ -229,11 +362,12 @@ def train(docs: DataFrame, learn: Column, p: Params = Params()) -> tuple[Model,
     """The model, and the table ``h, n`` of the words that are not in it exactly."""
     spark: SparkSession = docs.sparkSession
     grams = count_grams(docs.filter(learn), p)
-    counts, _ = store(grams.filter("kind = 1 or n > 1"), "gram-counts")
-    words = counts.filter("kind = 1")
+    counts, counts_at = store(grams, "gram-counts")
+    words, _ = store(counts.filter("kind = 1").select("h", "n"), "word-counts")
     total, types = words.agg(F.sum("n"), F.count("*")).first()
-    bits, least = _choose_size(counts, p)
-    flat = build_filter(counts, bits, least, p)
+    bits, parts = _choose_size(counts, p)
+    segments, _ = store(filter_segments(counts, bits, parts, p), "gram-filter")
+    drop(spark, counts_at)
     by_level = {r["level"]: r["count"] for r in words.groupBy(_level(F.col("n")).alias("level")).count().collect()}
     cut, some = 64, 0
     while cut > 0 and some + by_level.get(cut, 0) <= p.frequent:
@@ -242,36 +376,54 @@ def train(docs: DataFrame, learn: Column, p: Params = Params()) -> tuple[Model,
     often = words.filter(_level(F.col("n")) > cut).select("h", "n").toArrow()
     h = often.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    model = Model(flat, h[order], often.column("n").to_numpy()[order], int(total or 0), int(types or 0))
+    model = Model(segments, bits, parts, h[order], often.column("n").to_numpy()[order], int(total or 0), int(types or 0))
     return model, words.filter(_level(F.col("n")) <= cut).select("h", "n")
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tuple(vars(model).values()))
+    total, types, segments = model.total, model.types, SEGMENTS * model.parts
+    sent = spark.sparkContext.broadcast((model.words, model.counts))
     chosen = docs.select("doc_id", "text")
     kind = dict(chosen.dtypes)["doc_id"]
+    # the numbers of blocks are fixed once written
+    asked, asked_at = store(_ask(chosen, segments, p), "gram-questions")
+    found = _answer(asked.filter("bucket is not null"), model.segments, model.bits, model.parts, p)
+    both = (
+        asked.filter("bucket is null")
+        .select("block", "bucket", "doc_id", "text", F.lit(None).cast("binary").alias("levels"))
+        .unionByName(found, allowMissingColumns=True)
+        .select("block", "bucket", "doc_id", "text", "levels")
+        .repartition("block")
+        .sortWithinPartitions("block", "bucket")
+    )
 
     def run(batches):
-        m = Model(*sent.value)
-        for batch in batches:
-            for row, data, at in pieces(batch.column(1)):
-                tokens, ends = _tokens(data, at)
+        words, counts = sent.value
+        for rows, found in _blocks(batches):
+            split = [(b, row, *_tokens(data, at)) for b in rows for row, data, at in pieces(b.column(1))]
+            pairs = [_bigrams(tokens, ends) for _, _, tokens, ends in split]
+            grams, order, _ = _dealt(np.concatenate([t[2] for t in split]), np.concatenate(pairs), segments)
+            level = np.zeros(len(grams), np.uint8)
+            level[order] = found
+            of = lambda h: level[np.searchsorted(grams, h)]
+            start = int(of(np.array([END]))[0])
+            for (batch, row, tokens, ends), pair in zip(split, pairs):
                 first = ends[:-1]
-                if not m.total:
+                if not total:
                     zero = np.zeros(len(first))
                     known, base, lm = zero.astype(np.int64), zero, zero
                     rare_at, left = np.zeros(len(ends), np.int64), tokens[:0]
                 else:
-                    k = np.minimum(np.searchsorted(m.words, tokens), len(m.words) - 1)
-                    found = m.words[k] == tokens if len(m.words) else np.zeros(len(tokens), bool)
-                    c = np.where(found, m.counts[k] if len(m.words) else 0, 0)
-                    known = np.add.reduceat(found.astype(np.int64), first)
+                    k = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
+                    exact = words[k] == tokens if len(words) else np.zeros(len(tokens), bool)
+                    c = np.where(exact, counts[k] if len(words) else 0, 0)
+                    known = np.add.reduceat(exact.astype(np.int64), first)
                     base = np.add.reduceat(np.log10(c + 1.0), first)
-                    lm = np.add.reduceat(_log_prob(tokens, ends, m.flat, m.total, m.types, p), first)
-                    left = tokens[~found]
-                    rare_at = np.concatenate([[0], np.cumsum(np.add.reduceat((~found).astype(np.int64), first))])
+                    lm = np.add.reduceat(_log_prob(tokens, ends, of(tokens), start, of(pair), total, types, p), first)
+                    left = tokens[~exact]
+                    rare_at = np.concatenate([[0], np.cumsum(np.add.reduceat((~exact).astype(np.int64), first))])
                 lists = pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), _as_long(left))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -285,11 +437,12 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, p: Params = Params())
                     ["doc_id", "n_tokens", "known", "base", "score", "rare"],
                 )
 
-    part = chosen.mapInArrow(
+    part = both.mapInArrow(
         run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>"
     )
     # the row number is fixed once written, so the join below can be repeated after a loss
     part, _ = store(part.withColumn("row", F.monotonically_increasing_id()), "scored")
+    drop(spark, asked_at)
     more = (
         part.select("row", F.explode("rare").alias("h"))
         .groupBy("row", "h")

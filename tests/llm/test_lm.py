@@ -70,3 +70,35 @@ def test_without_training(docs, no_docs):
     assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in rows} == {(0, 0, 0.0, 0.0)}
     model, rare = lm.train(docs, F.lit(True), lm.Params())
     assert lm.score(no_docs, model, rare).count() == 0
+
+
+def test_scores_do_not_depend_on_how_the_filter_is_cut(docs):
+    """All bigrams count, those seen once too, however far the counts pass ``max_bits``."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    count, pairs = Counter(), Counter()
+    for _, text in rows:
+        tokens = [*lower_words(text), END]
+        count.update(tokens)
+        pairs.update(zip([None, *tokens], tokens))
+    n, v = sum(count.values()), len(count)
+    typical = lambda c: lm.TYPICAL[c.bit_length()]
+
+    def expected(text, p):
+        out, before = 0.0, None
+        for t in [*lower_words(text), END]:
+            seen = typical(count[END] if before is None else count[before])
+            pair = min(typical(pairs[before, t]), seen)
+            out += math.log10((pair + p.prior * min((typical(count[t]) + 1) / (n + v + 1), 1)) / (seen + p.prior))
+            before = t
+        return out
+
+    # many bits an entry, so that false levels are next to none
+    for most in (1 << 30, 1 << 18):
+        p = lm.Params(min_bits=1 << 12, max_bits=most, bits_per_entry=64, probes=6, gather=2000)
+        model, rare = lm.train(docs, F.lit(True), p)
+        assert (model.parts > 1) == (most < 1 << 30)
+        found = sorted((r.doc_id or -1, r.n_tokens, r.score) for r in lm.score(docs, model, rare, p).collect())
+        wanted = sorted((i or -1, len(lower_words(t)) + 1, expected(t, p)) for i, t in rows)
+        assert len(found) == len(wanted)
+        for a, b in zip(found, wanted):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3 * a[1])
