@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose language is rejected: no letters, or no better than a guess."""
+    """Without documents whose language is rejected: no letters, or less sure than clean texts of its length."""
     return langid.keep_known(docs, langid.train(docs, F.lit(True)))
 
 

@@ -12,8 +12,9 @@ per bucket and language; scoring is a look-up and a sum.
 
 Calibration: a fifth of the sample is kept from training. A temperature is
 fitted there, and the rejection threshold is the confidence below which only a
-share ``risk`` of its correct predictions lie, at most ``ceiling`` times the
-probability of a blind guess: a short but plain text is not rejected.
+share ``risk`` of its correct predictions lie. Short texts are less sure, so
+each length (fourfold classes of the number of subwords) has its own threshold;
+the beginnings of the kept texts, of ``CROPS`` bytes, stand for shorter ones.
 
 Results: one row per input row. A null text, or one without any letter, is
 ``und`` with score 0 and is rejected. Null labels are not learned from. With no
@@ -22,6 +23,7 @@ their own row; extra columns are ignored.
 """
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from pvspark.llm.common import pieces
 
 UND = "und"
+CROPS = (4, 8, 16, 64, 256, 1024)
+CLASSES = 16
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,6 @@ class Params:
     batch: int = 16
     rate: float = 0.5
     risk: float = 0.001
-    ceiling: float = 1.2
     seed: int = 7
 
 
@@ -51,7 +54,7 @@ class Model:
     languages: tuple[str, ...]
     table: np.ndarray  # (buckets + 1, languages): the last row, of no subword, is 0
     bias: np.ndarray
-    threshold: float
+    thresholds: np.ndarray  # of each class of lengths
 
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -101,23 +104,35 @@ def _sample(docs: DataFrame, learn: Column, p: Params) -> tuple[tuple[str, ...],
             for _, data, at in pieces(batch.column(1)):
                 grams = np.concatenate(subwords(data, at, p.buckets))
                 text = np.tile(np.repeat(np.arange(len(at) - 1), np.diff(at)), 2)
-                ok = grams < p.buckets
-                key, n = np.unique(text[ok].astype(np.int64) * p.buckets + grams[ok], return_counts=True)
-                cut = np.searchsorted(key, np.arange(len(at)) * p.buckets)
-                for a, e in zip(cut[:-1], cut[1:]):
-                    idx.append((key[a:e] % p.buckets).astype(np.int32).tobytes())
-                    val.append((n[a:e] / max(1, n[a:e].sum())).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [langs, pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["lang", "idx", "val"]
-            )
-
-    rows = chosen.select("lang", "text").mapInArrow(sparse, "lang string, idx binary, val binary").collect()
+                end = np.concatenate([np.arange(len(data)) + 3, np.arange(len(data)) + 4]) - at[text]
+                made = [([], []) for _ in at[1:]]
+                for size in (None, *CROPS):
+                    ok = grams < p.buckets
+                    if size:
+                        ok &= (end <= size) & (np.diff(at)[text] > size)
+                    key, n = np.unique(text[ok].astype(np.int64) * p.buckets + grams[ok], return_counts=True)
+                    cut = np.searchsorted(key, np.arange(len(at)) * p.buckets)
+                    for (i, v), a, e in zip(made, cut[:-1], cut[1:]):
+                        i.append((key[a:e] % p.buckets).astype(np.int32).tobytes())
+                        v.append(n[a:e].astype(np.float32).tobytes())
+                idx += [i for i, _ in made]
+                val += [v for _, v in made]
+            kind = pa.list_(pa.binary())
+            yield pa.RecordBatch.from_arrays([langs, pa.array(idx, kind), pa.array(val, kind)], ["lang", "idx", "val"])
+
+    kinds = "lang string, idx array<binary>, val array<binary>"
+    rows = chosen.select("lang", "text").mapInArrow(sparse, kinds).collect()
     languages = tuple(sorted(counts))
     known = {k: i for i, k in enumerate(languages)}
+
+    def read(lang, idx, val):
+        n = np.frombuffer(val, np.float32)
+        return lang, np.frombuffer(idx, np.int32), n / max(1, n.sum()), int(n.sum())
+
     found = [
-        (known[r["lang"]], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32))
+        (*read(known[r["lang"]], r["idx"][0], r["val"][0]), [read(known[r["lang"]], i, v) for i, v in zip(r["idx"][1:], r["val"][1:]) if i])
         for r in rows
-        if r["idx"]
+        if r["idx"][0]
     ]
     return languages, sorted(found, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
 
@@ -158,14 +173,36 @@ def _fit(sample: list, classes: int, p: Params):
 
 
 def _logits(sample: list, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return np.stack([(table[i] * v[:, None]).sum(axis=0) + bias for _, i, v in sample])
+    return np.stack([(table[i] * v[:, None]).sum(axis=0) + bias for _, i, v, *_ in sample])
+
+
+def _length_class(grams) -> np.ndarray:
+    return np.minimum((np.frexp(np.maximum(grams, 1))[1] - 1) // 2, CLASSES - 1)
+
+
+def _thresholds(sure: np.ndarray, length: np.ndarray, risk: float) -> np.ndarray:
+    """Per class the quantile of the confidences there; a class without any takes that of the next shorter one.
+
+    With fewer than ``1 / risk`` texts the sample ends before the quantile, and its least value rejects more than
+    ``risk``; it is then the bound of a next text's log-odds under a normal distribution (Student's t) if that is lower.
+    """
+    out = np.zeros(CLASSES)
+    for c in range(CLASSES):
+        own = sure[length == c]
+        out[c] = np.quantile(own, risk) if len(own) else out[max(c - 1, 0)]
+        if len(own) > 1 and len(own) * risk < 1:
+            odds = np.log(own / np.maximum(1 - own, 1e-9))
+            z = NormalDist().inv_cdf(risk)
+            t = z + (z**3 + z) / 4 / (len(own) - 1)
+            out[c] = min(out[c], 1 / (1 + np.exp(-odds.mean() - t * odds.std(ddof=1) * np.sqrt(1 + 1 / len(own)))))
+    return out
 
 
 def train(docs: DataFrame, learn: Column, p: Params = Params()) -> Model:
     """Learns from ``lang`` and ``text`` of the rows where ``learn`` holds."""
     languages, sample = _sample(docs.select("doc_id", "text", "lang"), learn, p)
     if not sample:
-        return Model((), np.zeros((p.buckets + 1, 0), np.float32), np.zeros(0, np.float32), 0.0)
+        return Model((), np.zeros((p.buckets + 1, 0), np.float32), np.zeros(0, np.float32), np.zeros(CLASSES))
     kept = [s for i, s in enumerate(sample) if i % 5 == 4] or sample
     table, bias = _fit([s for i, s in enumerate(sample) if i % 5 != 4], len(languages), p)
     z, y = _logits(kept, table, bias), np.array([s[0] for s in kept])
@@ -175,11 +212,13 @@ def train(docs: DataFrame, learn: Column, p: Params = Params()) -> Model:
     near[np.arange(len(y)), y] += 0.995
     loss = [-(near * np.log(_softmax(z / t) + 1e-12)).sum(axis=1).mean() for t in grid]
     t = grid[int(np.argmin(loss))]
-    prob = _softmax(z / t)
-    right = prob.max(axis=1)[prob.argmax(axis=1) == y]
-    threshold = min(p.ceiling / len(languages), float(np.quantile(right, p.risk))) if len(right) else 0.0
+    kept += [crop for s in kept for crop in s[4]]
+    prob, y = _softmax(_logits(kept, table, bias) / t), np.array([s[0] for s in kept])
+    right = prob.argmax(axis=1) == y
+    length = _length_class(np.array([s[3] for s in kept]))
+    thresholds = _thresholds(prob.max(axis=1)[right], length[right], p.risk)
     full = np.concatenate([table / t, np.zeros((1, len(languages)))]).astype(np.float32)
-    return Model(languages, full, (bias / t).astype(np.float32), threshold)
+    return Model(languages, full, (bias / t).astype(np.float32), thresholds)
 
 
 def _lettered(data: np.ndarray, at: np.ndarray, row: int, texts: pa.Array) -> np.ndarray:
@@ -192,10 +231,10 @@ def _lettered(data: np.ndarray, at: np.ndarray, row: int, texts: pa.Array) -> np
     return found
 
 
-def score(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the language of each text (-1: none) and its calibrated probability."""
+def score(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the language of each text (-1: none), its calibrated probability, and whether it is accepted."""
     n = len(model.languages)
-    best, sure = np.full(len(texts), -1), np.zeros(len(texts))
+    best, sure, accepted = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
     for row, data, at in pieces(texts):
         if not n or not len(data):
             continue
@@ -209,7 +248,9 @@ def score(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
         ok = _lettered(data, at, row, texts)
         best[row : row + m] = np.where(ok, prob.argmax(axis=1), -1)
         sure[row : row + m] = np.where(ok, prob.max(axis=1), 0)
-    return best, sure
+        # the table is kept in less precision than the thresholds
+        accepted[row : row + m] = ok & (prob.max(axis=1) >= model.thresholds[_length_class(seen)] - 1e-6)
+    return best, sure, accepted
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -223,13 +264,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m = Model(*sent.value)
         names = np.array([*m.languages, UND], dtype=object)
         for batch in batches:
-            best, sure = score(batch.column(1), m)
+            best, sure, accepted = score(batch.column(1), m)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(names[best], pa.string()),
                     pa.array(sure, pa.float64()),
-                    pa.array((best < 0) | (sure < m.threshold)),
+                    pa.array(~accepted),
                 ],
                 ["doc_id", "lang_pred", "score", "rejected"],
             )
@@ -248,7 +289,6 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
         import pandas as pd
 
         m = Model(*sent.value)
-        best, sure = score(pa.array(texts, pa.string()), m)
-        return pd.Series((best >= 0) & (sure >= m.threshold))
+        return pd.Series(score(pa.array(texts, pa.string()), m)[2])
 
     return docs.filter(accepted(F.col("text")))

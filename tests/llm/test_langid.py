@@ -1,7 +1,9 @@
 import dataclasses
+import random
 
 from pyspark.sql import functions as F
 
+from conftest import sentence
 from pvspark.llm import langid
 
 SMALL = langid.Params(buckets=1 << 12, per_language=200)
@@ -46,3 +48,17 @@ def test_without_labels(docs, no_docs):
         assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
     one = langid.train(docs.withColumn("lang", F.lit("zz")), F.lit(True), dataclasses.replace(SMALL, per_language=20))
     assert {r.lang_pred for r in langid.predict(docs, one).collect()} == {"zz", "und"}
+
+
+def test_held_out_texts_stay_and_unlearned_ones_go(spark, docs):
+    rng = random.Random(4)
+    finnish = "että joka mutta kun niin hän myös ovat tämä vain sitten kaikki hyvin jälkeen yhtä työ".split()
+    other = [" ".join(rng.choice(finnish) for _ in range(60)) for _ in range(40)]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(400)) for _ in range(40)]
+    known = [sentence(rng, ["en", "fr", "de"][i % 3], 60) for i in range(40)]
+    model = langid.train(docs, F.lit(True), SMALL)
+    rows = [(i, t) for i, t in enumerate(other + noise + known)]
+    found = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    gone = {r.doc_id for r in found if r.rejected}
+    assert len(gone & set(range(80))) >= 76
+    assert len(gone & set(range(80, 120))) <= 1
