@@ -34,7 +34,8 @@ BLOCK, ALLOW = "label=block", "label=allow"
 
 @dataclass(frozen=True)
 class Params:
-    support: float = 0.01
+    pages: int = 5  # labelled pages that a rule must hold for, however many there are
+    support: float | None = None  # or a share of them
     confidence: float = 0.8
 
 
@@ -83,7 +84,9 @@ def mine(labelled: DataFrame, p: Params = Params()) -> DataFrame:
     """``labelled``: ``tokens, blocked``. Rules ``antecedent, anchor, block, confidence, support``."""
     label = F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)
     baskets = labelled.select(F.array_append("tokens", label).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=p.support, minConfidence=p.confidence).fit(baskets)
+    # half a page less, so that rounding does not ask for one more
+    support = p.support if p.support is not None else min(1.0, (p.pages - 0.5) / max(1, baskets.count()))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=p.confidence).fit(baskets)
     found = model.associationRules.filter(F.col("consequent")[0].isin(BLOCK, ALLOW)).filter(
         ~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW)
     )

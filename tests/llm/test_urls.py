@@ -87,3 +87,12 @@ def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([(1, True)], "page_id long, blocked boolean")
     assert urls.filter_urls(pages, labels).count() == 0
+
+
+def test_rare_but_sure_hosts_yield_rules(spark):
+    rows = [(k, f"https://news.example.com/read/{k}", False) for k in range(1995)]
+    rows += [(k, f"https://cheap-pills.example.com/buy/{k}", True) for k in range(1995, 2000)]
+    rows += [(2000, "https://cheap-pills.example.com/buy/new", None), (2001, "https://news.example.com/read/new", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    found = {r.page_id: r.verdict for r in urls.filter_urls(df.drop("blocked"), df.select("page_id", "blocked")).collect()}
+    assert (found[2000], found[2001]) == ("block", "allow")
