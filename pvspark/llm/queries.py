@@ -1,10 +1,29 @@
 """The registered queries ``opN_<name>``: operators with production parameters on whole tables."""
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pvspark.llm import decontaminate, jaccard, langid, lm, mixing, neighbours, quality, repeats, secrets, urls
+from pvspark.llm import (
+    centroids,
+    decontaminate,
+    divergence,
+    jaccard,
+    langid,
+    lm,
+    mixing,
+    neighbours,
+    oracles,
+    quality,
+    repeats,
+    secrets,
+    token_files,
+    urls,
+)
 from pvspark.llm.common import remainder, table
+from pvspark.session import scratch_path
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -113,6 +132,33 @@ def op10_lm_score(spark, sf_dir):
     )
 
 
+def op11_token_files(spark, sf_dir):
+    folder = scratch_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op12_centroids(spark, sf_dir):
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    digest = lambda c: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()
+    facts = [(k, n, digest(c)) for k, (n, c) in enumerate(zip(found.inertia, found.centroids.tolist()))]
+    of_cluster = spark.createDataFrame(facts, "cluster int, cluster_inertia long, centroid_sha256 string")
+    return found.assigned.join(F.broadcast(of_cluster), "cluster").select(  # 16 rows
+        "vec_id",
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        F.lit(sum(found.inertia)).cast("long").alias("inertia"),
+        "centroid_sha256",
+    )
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -128,6 +174,11 @@ QUERIES = [
     op8_mixing,
     op9_nearest,
     op10_lm_score,
+    op11_token_files,
+    op12_centroids,
+    op13_divergence,
     pipeline,
 ]
-ORACLES = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES = {"op12_centroids": oracles.centroids(), "op13_divergence": oracles.DIVERGENCE}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
