@@ -24,11 +24,14 @@ has the end id alone; an empty table gives no shard and reads back empty. A
 document is never cut, however long. Other columns are not looked at.
 """
 
+import hashlib
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,8 @@ from pvspark.session import scratch_path
 MAGIC = b"RANKIDS1"
 BLOCK = 1 << 16  # ids; a multiple of four, so that blocks begin with a control byte
 SHARD_IDS = 1 << 22
-CACHED_WORDS = 400_000
-CACHED_BYTES = 256  # longer words are encoded anew each time
+KEPT_WORDS = 600_000
+KEPT_BYTES = 256  # of a word that is kept
 _HEAD = "<8sQQQ"
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3
 _LENGTHS = (_CODES + 1).astype(np.uint8)
@@ -132,8 +135,15 @@ class Shard:
 
 # ---- encoding -----------------------------------------------------------
 
-_SPACE = np.arange(256, dtype=np.uint8)
-_SPACE[[0x09, 0x0A, 0x0D]] = 0x20
+# fixed value: a pre-tokenizer that ends a piece after a run of letters, whatever ASCII sign follows
+LETTER_RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x09, 0x0A, 0x0D, 0x20]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x7F] = True
+_SIGN &= ~_LETTER
 
 
 def id_type(tokenizer_json: str, end_id: int) -> str:
@@ -144,70 +154,111 @@ def id_type(tokenizer_json: str, end_id: int) -> str:
     return "<u2" if max(end_id, *known) < 1 << 16 else "<u4"
 
 
-def encoder(tokenizer_json: str, end_id: int):
-    """A function from an Arrow text column to ``(ids, offsets)``, pieces of about 4 MB at a time.
+def cut(data: np.ndarray, at: np.ndarray, letters: bool) -> tuple[pa.Array, np.ndarray]:
+    """Words between blanks, tabs and line ends, and per text the offsets of its words.
 
-    Where the tokenizer drops white space, a text's ids are those of its words
-    between blanks, tabs and line ends one after another, and each distinct word
-    is encoded once while it is kept. Others get whole texts.
+    With ``letters`` words also end after an ASCII letter before another ASCII sign.
+    """
+    inside = ~_BLANK[data]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    if letters:
+        new[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
+    first = at[:-1][at[:-1] < at[1:]]
+    new[first] = inside[first]
+    starts = np.flatnonzero(new)
+    kept = data[inside]
+    offsets = np.append(np.flatnonzero(new[inside]), len(kept))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))
+    return words, np.searchsorted(starts, at)
+
+
+class Encoder:
+    """Ids of many texts at once.
+
+    Where the tokenizer drops white space, a text's ids are those of its words one
+    after another, and a distinct word is encoded once while it is kept. Texts
+    that hold one of the tokenizer's special strings are not cut inside words,
+    and those of other tokenizers not at all.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    apart = not plain(" \t\r\n") and plain("ab \tcd\r\nef") == plain("ab") + plain("cd") + plain("ef")
-    known: dict[str, int] = {}
-    flat, lengths, starts = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    used = 0
-
-    def numbers(words: list[str]) -> np.ndarray:
-        """Places of the words' ids in ``flat``."""
-        nonlocal flat, lengths, starts, used
-        if len(known) > CACHED_WORDS:
-            known.clear()
-            lengths, starts, used = lengths[:0], starts[:0], 0
-        at = np.array([known.get(w, -1) for w in words], np.int64)
+    def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        spec = json.loads(tokenizer_json)
+        plain = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.apart = (
+            not plain(" \t\r\n")
+            and plain("ab \tcd\r\nef") == plain("ab") + plain("cd") + plain("ef")
+            and not any(c.isspace() for t in special for c in t)
+        )
+        self.special = [t.encode() for t in special]
+        stages = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.letters = stages[0].get("pattern") == {"Regex": LETTER_RUNS} and stages[0].get("invert")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1, np.int64)  # of the known words' ids in flat, and their end
+
+    def _slots(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word the start and number of its ids in the array that comes third."""
+        if len(self.known) > KEPT_WORDS:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
         new = np.flatnonzero(at < 0)
-        if len(new):
-            found = tokenizer.encode_batch([words[k] for k in new], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            size = np.array([len(i) for i in ids], np.int64)
-            total = int(size.sum())
-            if used + total > len(flat):
-                flat = np.concatenate([flat[:used], np.zeros(max(total, used), np.uint32)])
-            flat[used : used + total] = np.fromiter((x for i in ids for x in i), np.uint32, total)
-            at[new] = len(lengths) + np.arange(len(new))
-            starts = np.concatenate([starts, used + np.cumsum(size) - size])
-            lengths = np.concatenate([lengths, size])
-            used += total
-            known.update((words[k], int(at[k])) for k in new if len(words[k]) <= CACHED_BYTES)
-        return at
-
-    def encode(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for _, data, at in pieces(column, 4 << 20):
-            texts = pa.LargeStringArray.from_buffers(
-                len(at) - 1, pa.py_buffer(at), pa.py_buffer(_SPACE[data] if apart else data)
-            )
-            words_of = np.ones(len(texts), np.int64)
-            if apart:
-                split = pc.split_pattern(texts, " ")
-                texts, words_of = split.flatten(), pc.list_value_length(split).to_numpy()
-            words = texts.dictionary_encode()
-            word = numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
-            size = lengths[word]
+        size = pc.binary_length(words).to_numpy()[new]
+        new = new[np.argsort(size > KEPT_BYTES, kind="stable")]
+        stay, n = len(self.known) + int((size <= KEPT_BYTES).sum()), len(self.known)
+        fresh = words.take(pa.array(new))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh.to_pylist(), add_special_tokens=False)]
+        ends = self.starts[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        starts = np.concatenate([self.starts, ends])
+        if starts[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.starts[-1]], np.zeros(int(starts[-1]), np.uint32)])
+        self.flat[self.starts[-1] : starts[-1]] = np.fromiter(chain.from_iterable(found), np.uint32)
+        at[new] = n + np.arange(len(new))
+        # long words are encoded anew each time
+        self.known, self.starts = pa.concat_arrays([self.known, fresh.slice(0, stay - n)]), starts[: stay + 1]
+        return starts[at], np.diff(starts)[at], self.flat
+
+    def encode(self, column: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(ids, offsets)``, pieces of about 8 MB of whole texts at a time."""
+        for _, data, at in pieces(column, 8 << 20):
+            if self.apart:
+                raw = data.tobytes()
+                words, texts = cut(data, at, self.letters and not any(t in raw for t in self.special))
+            else:
+                words = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+                texts = np.arange(len(at))
+            coded = words.dictionary_encode()
+            starts, size, flat = self._slots(coded.dictionary)
+            word = coded.indices.to_numpy()
+            size = size[word]
             ends = np.concatenate([[0], np.cumsum(size)])
-            texts = np.concatenate([[0], np.cumsum(words_of)])
-            of_text = np.diff(ends[texts])
             # a text's ids are followed by the end id
-            offsets = np.concatenate([[0], np.cumsum(of_text + 1)])
+            offsets = ends[texts] + np.arange(len(texts))
             ids = np.full(offsets[-1], end_id, np.uint32)
             inside = np.ones(len(ids), bool)
             inside[offsets[1:] - 1] = False
             ids[inside] = flat[np.repeat(starts[word] - ends[:-1], size) + np.arange(ends[-1])]
             yield ids, offsets
 
-    return encode
+
+def shared_encoder(tokenizer_json: str) -> Encoder:
+    """One encoder a Python worker, so that words stay known from task to task."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_encoder_of_worker", {})
+    key = hashlib.sha256(tokenizer_json.encode()).digest()
+    if key not in held:
+        held.clear()
+        held[key] = Encoder(tokenizer_json)
+    return held[key]
 
 
 def encode(docs: DataFrame, tokenizer_json: str, end_id: int, kind: str) -> DataFrame:
@@ -219,10 +270,10 @@ def encode(docs: DataFrame, tokenizer_json: str, end_id: int, kind: str) -> Data
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_texts = encoder(shared.value, end_id)
+        encoder = shared_encoder(shared.value)
         for batch in batches:
             row = 0
-            for ids, at in of_texts(batch.column("text")):
+            for ids, at in encoder.encode(batch.column("text"), end_id):
                 part = batch.slice(row, len(at) - 1)
                 row += len(at) - 1
                 ids = ids.astype(kind)

@@ -74,19 +74,38 @@ def test_empty_table(spark, no_docs, tmp_path):
     assert not os.path.exists(f"{folder}/shards") or not os.listdir(f"{folder}/shards")
 
 
+@pytest.mark.parametrize("special", [False, True])
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_tokenizers_with_and_without_white_space(name):
+def test_tokenizers_with_and_without_white_space(name, special):
     """Byte pieces hold the blank before a word: such texts are encoded whole."""
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
         spec = f.read()
-    tokenizer, encode = Tokenizer.from_str(spec), token_files.encoder(spec, 2)
+    tokenizer, encoder = Tokenizer.from_str(spec), token_files.Encoder(spec)
     rng = random.Random(2)
-    texts = [None, "", " ", "\n a"] + [rng.choice([" ", "  ", "\n", "\u00a0"]).join(rng.choices(ODD, k=9)) for _ in range(80)]
-    ((ids, at),) = encode(pa.array(texts, pa.string()))
+    odd = [w for w in ODD if special or "<" not in w]
+    texts = [None, "", " ", "\n a"] + [rng.choice([" ", "  ", "\n", "\u00a0"]).join(rng.choices(odd, k=9)) for _ in range(80)]
+    texts += ["".join(rng.choices("ab'st.,-1 é\u0301AĤ", k=40)) for _ in range(300)] + ["x" * 300 + " y", "x" * 300]
+    if special:
+        texts.append("word<|endoftext|>word, can't")
+    ((ids, at),) = encoder.encode(pa.array(texts, pa.string()), 2)
     for k, text in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def test_words_are_known_again_and_forgotten(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 50)
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+    tokenizer, encoder = Tokenizer.from_str(spec), token_files.Encoder(spec)
+    rng = random.Random(6)
+    for _ in range(40):
+        texts = [" ".join(f"w{rng.randint(0, 90)}, {'long' * rng.randint(60, 70)}" for _ in range(5)) for _ in range(4)]
+        ((ids, at),) = encoder.encode(pa.array(texts), 2)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+        assert len(encoder.known) <= 50 + 30
+
+
 def test_coding_of_all_widths():
     rng = np.random.default_rng(1)
     edges = [0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1]
