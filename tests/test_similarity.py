@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pvspark.operators import duplicates, similarity
+from pvspark.operators import bag_similarity, duplicates, similarity
 from pvspark.operators.bag_similarity import bag_duplicates
 
 
@@ -164,7 +164,7 @@ def test_low_threshold_keeps_all_pairs(spark):
     assert indexed(found.collect()) == brute_self(m, -0.5)
 
 
-def test_bags_equal_brute_force(spark):
+def bag_rows():
     rng = np.random.default_rng(3)
     vocab = [f"w{i}" for i in range(60)]
     docs = []
@@ -175,13 +175,54 @@ def test_bags_equal_brute_force(spark):
             docs.append(list(rng.permutation(words)))
         if i % 5 == 0:
             docs.append(words + [words[0]])
-    docs += [["w1"] * 6, ["w2"] * 6, ["w1"] * 12]
+    docs += [["w1"] * 6, ["w2"] * 6, ["w1"] * 12, ["only", "here"], ["w1"] * 30 + ["alone"]]
+    base = list(rng.choice(vocab, 200))  # a hot cluster of near copies
+    docs += [base + list(rng.choice(vocab, 3)) for _ in range(50)]
+    vocab += ["only", "here", "alone"]
     rows = [(f"f{i:04d}", [str(w) for w in d]) for i, d in enumerate(docs)]
+    return rows, np.array([[d.count(w) for w in vocab] for d in docs], dtype=float)
+
+
+@pytest.mark.parametrize(
+    "threshold,block_bytes,joined", [(0.2, 1 << 24, False), (0.9, 12_000, False), (0.99, 12_000, True), (1.0, 1 << 24, True)]
+)
+def test_bags_equal_brute_force(spark, monkeypatch, threshold, block_bytes, joined):
+    """One block, many blocks, hot words in parts; ranks looked up and joined; one pass and two."""
+    if joined:
+        monkeypatch.setattr(bag_similarity, "SHARED_WORDS", 0)
+    monkeypatch.setattr(bag_similarity, "_PAIRS", 64)
+    rows, counts = bag_rows()
     df = spark.createDataFrame(rows, "tag string, words array<string>")
-    counts = np.array([[d.count(w) for w in vocab] for d in docs], dtype=float)
-    for width in (8, 256):  # 8 buckets: many words share one, bounds are loose
-        found = bag_duplicates(df, 0.9, width=width)
-        assert indexed(found.pairs().collect()) == brute_self(counts, 0.9)
+    found = bag_duplicates(df, threshold, block_bytes=block_bytes)
+    want = brute_self(counts, threshold)
+    direct = found.report().first()
+    pairs = indexed(found.pairs().collect())
+    if threshold < 1:
+        assert pairs == want
+    else:  # rounding of the brute force decides there
+        assert {p[:2] for p in pairs} <= {p[:2] for p in brute_self(counts, 1 - 1e-9)}
+    assert direct.duplicate_pairs == len(pairs)
+    del found.summary  # a second time, from the links
+    assert found.report().first() == direct
+
+
+def test_bags_without_words_are_similar_to_nothing(spark):
+    rows = [("a", []), ("b", []), ("c", None), ("d", ["x"] * 6), ("e", ["x"] * 6), ("f", ["x"] * 7)]
+    df = spark.createDataFrame(rows, "tag string, words array<string>")
+    found = bag_duplicates(df, 0.99)
+    assert {(r.file_a, r.file_b) for r in found.pairs().collect()} == {("d", "e"), ("d", "f"), ("e", "f")}
+    assert found.report().first().total_files == 6
+    assert bag_duplicates(df.limit(0), 0.99).report().first().duplicate_pairs == 0
+    with pytest.raises(ValueError):
+        bag_duplicates(df, 0.0)
+
+
+def test_bag_candidates_are_not_listed(spark):
+    """Vectors are sent where they may have a partner; what is stored grows with bags, not with pairs."""
+    rows = [(f"f{i}", ["common"] * 8 + [f"own{i}", f"mine{i // 2}"]) for i in range(300)]
+    found = bag_duplicates(spark.createDataFrame(rows, "tag string, words array<string>"), 0.9, block_bytes=1 << 24)
+    assert found.report().first().duplicate_pairs == 300 * 299 // 2
+    assert found._sent[0].count() <= 300 * 2
 
 
 def test_similarity_plan_broadcasts_no_vectors(spark, clustered):
