@@ -10,11 +10,14 @@ together by stochastic gradient descent in numpy on a bounded sample: at most
 As the mean is linear, embedding times softmax weights is one table of a score
 per bucket and language; scoring is a look-up and a sum.
 
-Calibration: a fifth of the sample is kept from training. A temperature is
-fitted there, and the rejection threshold is the confidence below which only a
-share ``risk`` of its correct predictions lie. Short texts are less sure, so
-each length (fourfold classes of the number of subwords) has its own threshold;
-the beginnings of the kept texts, of ``CROPS`` bytes, stand for shorter ones.
+Calibration: a fifth of the sample is kept from training, and a temperature is
+fitted there. A softmax is sure of texts in no learned language too, so what
+rejects is how familiar a text is: the mean, over its subwords, of the log of
+their frequency in the predicted language against an even spread. The threshold
+lies halfway between what only a share ``risk`` of the kept texts stay below and
+the mean of noise (subwords spread evenly). Few subwords vary more, so each
+length (fourfold classes of their number) has its own; the beginnings of the
+kept texts, of ``CROPS`` bytes, stand for shorter ones.
 
 Results: one row per input row. A null text, or one without any letter, is
 ``und`` with score 0 and is rejected. Null labels are not learned from. With no
@@ -52,7 +55,7 @@ class Params:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # (buckets + 1, languages): the last row, of no subword, is 0
+    table: np.ndarray  # (buckets + 1, 2 * languages): scores, then familiarity; the last row, of no subword, is 0
     bias: np.ndarray
     thresholds: np.ndarray  # of each class of lengths
 
@@ -180,21 +183,28 @@ def _length_class(grams) -> np.ndarray:
     return np.minimum((np.frexp(np.maximum(grams, 1))[1] - 1) // 2, CLASSES - 1)
 
 
-def _thresholds(sure: np.ndarray, length: np.ndarray, risk: float) -> np.ndarray:
-    """Per class the quantile of the confidences there; a class without any takes that of the next shorter one.
+def _familiarity(sample: list, languages: int, buckets: int) -> np.ndarray:
+    """Per bucket and language the log of its smoothed frequency against an even spread."""
+    count = np.full((buckets, languages), 0.5)
+    for lang, idx, share, n, *_ in sample:
+        count[idx, lang] += share * n
+    return np.log(count / count.sum(axis=0)) + np.log(buckets)
+
+
+def _thresholds(familiar: np.ndarray, length: np.ndarray, risk: float) -> np.ndarray:
+    """Per class the quantile of the values there; a class without any takes that of the next shorter one.
 
     With fewer than ``1 / risk`` texts the sample ends before the quantile, and its least value rejects more than
-    ``risk``; it is then the bound of a next text's log-odds under a normal distribution (Student's t) if that is lower.
+    ``risk``; it is then the bound of a next text's value under a normal distribution (Student's t) if that is lower.
     """
-    out = np.zeros(CLASSES)
+    out = np.full(CLASSES, -np.inf)
     for c in range(CLASSES):
-        own = sure[length == c]
-        out[c] = np.quantile(own, risk) if len(own) else out[max(c - 1, 0)]
+        own = familiar[length == c]
+        out[c] = np.quantile(own, risk) if len(own) > 1 else out[max(c - 1, 0)]
         if len(own) > 1 and len(own) * risk < 1:
-            odds = np.log(own / np.maximum(1 - own, 1e-9))
             z = NormalDist().inv_cdf(risk)
             t = z + (z**3 + z) / 4 / (len(own) - 1)
-            out[c] = min(out[c], 1 / (1 + np.exp(-odds.mean() - t * odds.std(ddof=1) * np.sqrt(1 + 1 / len(own)))))
+            out[c] = min(own.min(), own.mean() + t * own.std(ddof=1) * np.sqrt(1 + 1 / len(own)))
     return out
 
 
@@ -202,9 +212,10 @@ def train(docs: DataFrame, learn: Column, p: Params = Params()) -> Model:
     """Learns from ``lang`` and ``text`` of the rows where ``learn`` holds."""
     languages, sample = _sample(docs.select("doc_id", "text", "lang"), learn, p)
     if not sample:
-        return Model((), np.zeros((p.buckets + 1, 0), np.float32), np.zeros(0, np.float32), np.zeros(CLASSES))
+        return Model((), np.zeros((p.buckets + 1, 0), np.float32), np.zeros(0, np.float32), np.full(CLASSES, -np.inf))
     kept = [s for i, s in enumerate(sample) if i % 5 == 4] or sample
-    table, bias = _fit([s for i, s in enumerate(sample) if i % 5 != 4], len(languages), p)
+    learned = [s for i, s in enumerate(sample) if i % 5 != 4]
+    table, bias = _fit(learned, len(languages), p)
     z, y = _logits(kept, table, bias), np.array([s[0] for s in kept])
     grid = np.exp(np.linspace(np.log(0.05), np.log(10), 60))
     # smoothed labels keep the temperature finite when all predictions are right
@@ -213,11 +224,17 @@ def train(docs: DataFrame, learn: Column, p: Params = Params()) -> Model:
     loss = [-(near * np.log(_softmax(z / t) + 1e-12)).sum(axis=1).mean() for t in grid]
     t = grid[int(np.argmin(loss))]
     kept += [crop for s in kept for crop in s[4]]
-    prob, y = _softmax(_logits(kept, table, bias) / t), np.array([s[0] for s in kept])
-    right = prob.argmax(axis=1) == y
+    familiar = _familiarity(learned, len(languages), p.buckets)
+    best = _logits(kept, table, bias).argmax(axis=1)
+    right = best == np.array([s[0] for s in kept])
+    value = _logits(kept, familiar, np.zeros(len(languages)))[np.arange(len(kept)), best]
     length = _length_class(np.array([s[3] for s in kept]))
-    thresholds = _thresholds(prob.max(axis=1)[right], length[right], p.risk)
-    full = np.concatenate([table / t, np.zeros((1, len(languages)))]).astype(np.float32)
+    thresholds = _thresholds(value[right], length[right], p.risk)
+    # halfway to what an even spread of subwords, that is noise, would have
+    noise = familiar.mean(axis=0).max()
+    thresholds = np.where(thresholds > noise, (thresholds + noise) / 2, thresholds)
+    full = np.zeros((p.buckets + 1, 2 * len(languages)), np.float32)
+    full[:-1] = np.concatenate([table / t, familiar], axis=1)
     return Model(languages, full, (bias / t).astype(np.float32), thresholds)
 
 
@@ -239,17 +256,20 @@ def score(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
         if not n or not len(data):
             continue
         m = len(at) - 1
-        total, seen = np.zeros((m, n)), np.zeros(m)
+        total, seen = np.zeros((m, 2 * n)), np.zeros(m)
         edges = np.flatnonzero(at[1:] > at[:-1])
         for grams in subwords(data, at, len(model.table) - 1):
             total[edges] += np.add.reduceat(model.table[grams], at[edges], dtype=np.float32)
             seen[edges] += np.add.reduceat((grams < len(model.table) - 1).astype(np.int64), at[edges])
-        prob = _softmax(total / np.maximum(seen, 1)[:, None] + model.bias)
+        mean = total / np.maximum(seen, 1)[:, None]
+        prob = _softmax(mean[:, :n] + model.bias)
         ok = _lettered(data, at, row, texts)
-        best[row : row + m] = np.where(ok, prob.argmax(axis=1), -1)
+        likely = prob.argmax(axis=1)
+        familiar = mean[np.arange(m), n + likely]
+        best[row : row + m] = np.where(ok, likely, -1)
         sure[row : row + m] = np.where(ok, prob.max(axis=1), 0)
         # the table is kept in less precision than the thresholds
-        accepted[row : row + m] = ok & (prob.max(axis=1) >= model.thresholds[_length_class(seen)] - 1e-6)
+        accepted[row : row + m] = ok & (familiar >= model.thresholds[_length_class(seen)] - 1e-4)
     return best, sure, accepted
 
 
