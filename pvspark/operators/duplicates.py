@@ -13,6 +13,7 @@ and a link of a group to itself when it has two or more members. A link of
 groups with m and n members stands for m*n file pairs.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -24,6 +25,8 @@ from pvspark.functions.stats import EXACT_SIMILARITY, pct
 from pvspark.operators.similarity import (
     DEFAULT_THRESHOLD,
     PAIR_NUMBERS,
+    BlockPairs,
+    block_pairs,
     distinct_vectors,
     similar_groups,
     similar_summary,
@@ -58,10 +61,15 @@ class NearDuplicates:
     cross: bool = False
     block_rows: int | None = None
 
+    @cached_property
+    def _blocks(self) -> BlockPairs | None:
+        """Vectors in stored blocks, written once for links and summary."""
+        return block_pairs(self.groups, self.threshold, self.cross, self.block_rows)
+
     @cached_property
     def links(self) -> DataFrame:
         """Stored ``gid_a, gid_b, similarity``."""
-        links = similar_groups(self.groups, self.threshold, self.cross, self.block_rows)
+        links = similar_groups(self._blocks, self.threshold, self.groups.sparkSession)
         own = self._own().select(
             F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"), "self_sim"
         )
@@ -69,8 +77,13 @@ class NearDuplicates:
 
     @cached_property
     def summary(self) -> DataFrame:
-        """Stored rows of ``similar_summary``, with the pairs inside copy groups added."""
-        found = similar_summary(self.groups, self.threshold, self.cross, self.block_rows)
+        """Stored rows of ``similar_summary``, with the pairs inside copy groups added.
+
+        If the links are already there the join does not run a second time.
+        """
+        if "links" in self.__dict__:
+            return materialize(summary_of_links(self.links, self.groups, self.cross), "summary")
+        found = similar_summary(self._blocks, self.threshold, self.groups.sparkSession)
         own = self._own().select("gid", "side", "ords", "ns", F.col("self_sim").alias("similarity"))
         return materialize(found.unionByName(own_summary(own)), "summary")
 
@@ -81,16 +94,27 @@ class NearDuplicates:
 
     # ---- expansion ------------------------------------------------------
 
-    def _sized_links(self) -> DataFrame:
-        """Links with the sizes of both groups."""
+    def _version_links(self, where: Callable[[Column, Column], Column] | None) -> DataFrame:
+        """Links once per pair of versions that hold members: ``gid_a, ord_a, n_a, gid_b, ord_b, n_b``.
+
+        ``where`` sees the earlier and the later version and acts here, on version
+        lists, before any member is read.
+        """
         right_side = 1 if self.cross else 0
-        a = self.groups.filter(F.col("side") == 0).select(
-            F.col("gid").alias("gid_a"), F.col("copies").alias("copies_a")
-        )
-        b = self.groups.filter(F.col("side") == right_side).select(
-            F.col("gid").alias("gid_b"), F.col("copies").alias("copies_b")
-        )
-        return self.links.join(a, "gid_a").join(b, "gid_b")
+        cells = F.arrays_zip(F.col("ords").alias("ord"), F.col("ns").alias("n"))
+        a = self.groups.filter(F.col("side") == 0).select(F.col("gid").alias("gid_a"), cells.alias("a"))
+        b = self.groups.filter(F.col("side") == right_side).select(F.col("gid").alias("gid_b"), cells.alias("b"))
+        own = F.lit(False) if self.cross else F.col("gid_a") == F.col("gid_b")
+        linked = self.links.join(a, "gid_a").join(b, "gid_b")
+        split = linked.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
+        ord_a, ord_b = F.col("a.ord"), F.col("b.ord")
+        split = split.filter(~own | (ord_a <= ord_b))
+        if where is not None:
+            split = split.filter(where(F.least(ord_a, ord_b), F.greatest(ord_a, ord_b)))
+        return split.select(
+            "gid_a", ord_a.alias("ord_a"), F.col("a.n").alias("n_a"),
+            "gid_b", ord_b.alias("ord_b"), F.col("b.n").alias("n_b"), "similarity",
+        )
 
     def _linked(self) -> DataFrame:
         """Distinct ``side, gid`` of groups that have a link."""
@@ -102,44 +126,31 @@ class NearDuplicates:
         return self.links.select(F.inline(ends)).distinct()
 
     def _expand(self, links: DataFrame, members: DataFrame) -> DataFrame:
-        """File pairs of ``links`` (which carry group sizes).
+        """File pairs of version links; ``members`` carry ``n``, the members of their group and version.
 
         Members of a large group are hashed into chunks and a link is repeated
         per pair of chunks, so no join key carries a whole group.
         """
-        self_link = F.lit(False) if self.cross else F.col("gid_a") == F.col("gid_b")
+        same = F.lit(False) if self.cross else (F.col("gid_a") == F.col("gid_b")) & (F.col("ord_a") == F.col("ord_b"))
         chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK)).cast("int")
-        spread = (
-            links.withColumn("chunks_a", chunks("copies_a"))
-            .withColumn("chunks_b", chunks("copies_b"))
-            .withColumn("chunk_a", F.explode(F.sequence(F.lit(0), F.col("chunks_a") - 1)))
-            .withColumn(
-                "chunk_b",
-                F.explode(
-                    F.sequence(
-                        F.when(self_link, F.col("chunk_a")).otherwise(F.lit(0)),
-                        F.col("chunks_b") - 1,
-                    )
-                ),
-            )
+        spread = links.withColumn("chunk_a", F.explode(F.sequence(F.lit(0), chunks("n_a") - 1))).withColumn(
+            "chunk_b",
+            F.explode(F.sequence(F.when(same, F.col("chunk_a")).otherwise(F.lit(0)), chunks("n_b") - 1)),
         )
         right_side = 1 if self.cross else 0
-        sized = members.withColumn(
-            "chunk", F.pmod(F.xxhash64("uid"), chunks("copies")).cast("int")
-        ).withColumn("at", F.struct("ord", "pos", "uid"))
+        sized = members.withColumn("chunk", F.pmod(F.xxhash64("uid"), chunks("n")).cast("int")).withColumn(
+            "at", F.struct("ord", "pos", "uid")
+        )
 
         def end(suffix: str, side: int) -> DataFrame:
             return sized.filter(F.col("side") == side).select(
-                F.col("gid").alias(f"gid_{suffix}"),
-                F.col("chunk").alias(f"chunk_{suffix}"),
-                F.col("file").alias(f"file_{suffix}"),
-                F.col("at").alias(f"at_{suffix}"),
+                *[F.col(c).alias(f"{c}_{suffix}") for c in ("gid", "ord", "chunk", "file", "at")]
             )
 
-        joined = spread.join(end("a", 0), ["gid_a", "chunk_a"]).join(
-            end("b", right_side), ["gid_b", "chunk_b"]
+        joined = spread.join(end("a", 0), ["gid_a", "ord_a", "chunk_a"]).join(
+            end("b", right_side), ["gid_b", "ord_b", "chunk_b"]
         )
-        same_chunk = self_link & (F.col("chunk_a") == F.col("chunk_b"))
+        same_chunk = same & (F.col("chunk_a") == F.col("chunk_b"))
         joined = joined.filter(~same_chunk | (F.col("at_a") < F.col("at_b")))
         flip = F.lit(False) if self.cross else F.col("at_a") > F.col("at_b")
         pick = lambda x, y: F.when(flip, F.col(x)).otherwise(F.col(y))
@@ -160,13 +171,45 @@ class NearDuplicates:
             F.col("at_b.pos").alias("pos_b"),
         )
 
-    def pairs(self) -> DataFrame:
-        """Every file pair: earlier file first, by (version order, position)."""
-        sizes = self.groups.select("side", "gid", "copies").join(
-            self._linked(), ["side", "gid"], "left_semi"
+    def pairs(self, where: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        """Every file pair: earlier file first, by (version order, position).
+
+        ``where`` restricts the pairs by their earlier and later version; what it
+        leaves out is never expanded.
+        """
+        cell = F.explode(F.arrays_zip(F.col("ords").alias("ord"), F.col("ns").alias("n")))
+        sizes = (
+            self.groups.join(self._linked(), ["side", "gid"], "left_semi")
+            .select("side", "gid", cell.alias("cell"))
+            .select("side", "gid", "cell.ord", "cell.n")
+        )
+        members = self.members.join(sizes, ["side", "gid", "ord"])
+        return self._expand(self._version_links(where), members)
+
+    def compressed(self) -> tuple[DataFrame, DataFrame]:
+        """The pair list without expansion: ``links`` and ``membership``.
+
+        ``gid_a, gid_b, similarity, versions_a, versions_b``: every file of the one
+        group is this similar to every file of the other (of a group linked to
+        itself: any two of its files); the versions are bitmaps, 64 versions a
+        word. ``file, ord, side, gid`` names the files. Rows are as many as links
+        and files, however many pairs they stand for.
+        """
+        words = F.sequence(F.lit(0), F.shiftright(F.array_max("ords"), 6))
+        inside = lambda w: F.filter("ords", lambda o: F.shiftright(o, 6) == w)
+        bit = lambda o: F.call_function("shiftleft", F.lit(1).cast("long"), o.bitwiseAND(63))
+        bitmap = F.transform(
+            words, lambda w: F.aggregate(inside(w), F.lit(0).cast("long"), lambda all_, o: all_.bitwiseOR(bit(o)))
+        )
+        right_side = 1 if self.cross else 0
+        of = lambda side, suffix: self.groups.filter(F.col("side") == side).select(
+            F.col("gid").alias(f"gid_{suffix}"), bitmap.alias(f"versions_{suffix}")
+        )
+        links = self.links.join(of(0, "a"), "gid_a").join(of(right_side, "b"), "gid_b")
+        return (
+            links.select("gid_a", "gid_b", "similarity", "versions_a", "versions_b"),
+            self.members.select("file", "ord", "side", "gid"),
         )
-        members = self.members.join(sizes, ["side", "gid"])
-        return self._expand(self._sized_links(), members)
 
     def sorted_pairs(self) -> DataFrame:
         """``file_a, file_b, similarity`` by similarity, ties in input order."""
@@ -228,9 +271,16 @@ class NearDuplicates:
                 "rank", F.row_number().over(W.partitionBy("side", "gid").orderBy("ord", "pos", "uid"))
             )
             .filter(F.col("rank") <= k + 1)
-            .withColumn("copies", one)
+            .withColumn("n", one)
+        )
+        cells = few.select("side", "gid", "ord").distinct()
+        of = lambda side, suffix: cells.filter(F.col("side") == side).select(
+            F.col("gid").alias(f"gid_{suffix}"), F.col("ord").alias(f"ord_{suffix}")
         )
-        links = best.withColumns({"copies_a": one, "copies_b": one})
+        links = best.join(of(0, "a"), "gid_a").join(of(right_side, "b"), "gid_b")
+        if not self.cross:
+            links = links.filter((F.col("gid_a") != F.col("gid_b")) | (F.col("ord_a") <= F.col("ord_b")))
+        links = links.withColumns({"n_a": one, "n_b": one})
         return (
             self._expand(links, few)
             .orderBy(*_pair_order())
@@ -329,19 +379,21 @@ def _summary_rows(rows, within, earlier, consecutive, seen) -> DataFrame:
     return numbers.unionByName(seen.select("gid", "side", "ord", *empty))
 
 
-def summary_of_links(links: DataFrame, groups: DataFrame) -> DataFrame:
+def summary_of_links(links: DataFrame, groups: DataFrame, cross: bool = False) -> DataFrame:
     """Summary rows for links that are already known (self-links included)."""
+    right_side = 1 if cross else 0
     profile = groups.select("gid", "side", F.map_from_arrays("ords", "ns").alias("c"))
-    a = profile.select(F.col("gid").alias("gid_a"), F.col("side"), F.col("c").alias("a"))
-    b = profile.select(F.col("gid").alias("gid_b"), F.col("c").alias("b"))
-    own = F.col("gid_a") == F.col("gid_b")
+    a = profile.filter(F.col("side") == 0).select(F.col("gid").alias("gid_a"), F.col("c").alias("a"))
+    b = profile.filter(F.col("side") == right_side).select(F.col("gid").alias("gid_b"), F.col("c").alias("b"))
+    # equal groups of two sets are a link like others
+    own = F.lit(False) if cross else F.col("gid_a") == F.col("gid_b")
     joined = links.filter(~own).join(a, "gid_a").join(b, "gid_b")
     rows = joined.withColumn("ord", F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))))
     a, b, o = F.col("a"), F.col("b"), F.col("ord")
     previous = o - F.lit(1)
     ends = F.array(
-        F.struct(F.col("gid_a").alias("gid"), "side", F.map_keys("b").alias("ords")),
-        F.struct(F.col("gid_b").alias("gid"), "side", F.map_keys("a").alias("ords")),
+        F.struct(F.col("gid_a").alias("gid"), F.lit(0).alias("side"), F.map_keys("b").alias("ords")),
+        F.struct(F.col("gid_b").alias("gid"), F.lit(right_side).alias("side"), F.map_keys("a").alias("ords")),
     )
     crossing = _summary_rows(
         rows,

@@ -4,11 +4,13 @@ The join runs on *distinct* vectors. Rows with the same unit vector form a
 copy group, so a third of all rows being copies of one file costs one vector
 here, and the statistics count its pairs from group sizes alone.
 
-Distinct vectors are cut into blocks; every pair of blocks that can hold a
-match is one task-sized group. Blocks come from grid cells over a few
-principal axes: two unit vectors with cosine >= t are at most
+Distinct vectors are cut into blocks, and each block is written once as a file
+in the shared folder: of n vectors n rows are shuffled, however many blocks
+there are. What is dealt to tasks is a small table of the pairs of blocks that
+can hold a match; a task opens the files of its pairs by itself. Blocks come from
+grid cells over a few principal axes: two unit vectors with cosine >= t are at most
 ``sqrt(2 - 2t)`` apart along any axis, so only neighbouring cells need to
-meet. Cells above the block size are split, so no group exceeds two blocks.
+meet. Cells above the block size are split, so no task holds more than two blocks.
 The cost stays quadratic for vectors without structure (then a single cell
 remains and all block pairs are visited); nothing is ever missed.
 """
@@ -16,17 +18,19 @@ remains and all block pairs are visited); nothing is ever missed.
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvspark.functions.stats import EXACT_SIMILARITY
 from pvspark.session import materialize
+from pvspark.sources.blocks import read_block, write_blocks
 
 DEFAULT_THRESHOLD = 0.99
 BLOCK_BYTES = 32 << 20  # unit vectors held per block
@@ -37,7 +41,7 @@ AXIS_SAMPLE = 2048
 GRID_SAMPLE = 512
 GRID_PAYS_FROM = 10**11  # multiply-adds of the full triangle
 MAX_BROADCAST_ROWS = 500_000  # rows of a few integers each: some 20 MB
-_BLOCK_PAIR = ["cell_a", "sub_a", "cell_b", "sub_b"]
+PAIRS_PER_TASK = 16  # block pairs, where there are many
 _TILE = 1024
 _EMIT_ROWS = 1 << 16
 
@@ -192,16 +196,13 @@ def _neighbour_offsets(axes: int, width: float) -> list[int]:
     return offsets
 
 
-def _load_pair(batches: Iterator[pa.RecordBatch], within: bool):
-    """The 'a' and 'b' rows of one block pair; a block met with itself has no 'b'."""
-    table = pa.Table.from_batches(list(batches))
-    role = table.column("role").to_numpy()
+def _load_pair(a: pa.Table, b: pa.Table | None):
+    """Rows of both blocks in one table and where they stand; ``b`` is None for a block met with itself."""
+    table = (a if b is None else pa.concat_tables([a, b])).combine_chunks()
     unit = _from_bytes(table.column("unit"))
-    left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-    same = within and not len(right)
-    if same:
-        right = left
-    return table, unit, left, right, same
+    left = np.arange(len(a))
+    right = left if b is None else np.arange(len(a), len(table))
+    return table, unit, left, right
 
 
 def _tiles(a: np.ndarray, b: np.ndarray, same: bool, floor: float):
@@ -230,7 +231,7 @@ def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def _pair_kernel(threshold: float, dims: int, within: bool):
+def _pair_kernel(threshold: float, dims: int):
     """Pairs with cosine >= threshold between the two sides of one block pair.
 
     The float32 product only finds candidates; doubles decide.
@@ -238,11 +239,11 @@ def _pair_kernel(threshold: float, dims: int, within: bool):
     floor = threshold - _margin(dims)
     names = ["gid_a", "gid_b", "similarity"]
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, unit, left, right, same = _load_pair(batches, within)
+    def kernel(block_a: pa.Table, block_b: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        table, unit, left, right = _load_pair(block_a, block_b)
         gid = np.array(table.column("gid").to_pylist(), dtype=object)
         a, b, gid_a, gid_b = unit[left], unit[right], gid[left], gid[right]
-        for i0, j0, rough in _tiles(a, b, same, floor):
+        for i0, j0, rough in _tiles(a, b, block_b is None, floor):
             i, j = np.nonzero(rough >= floor)
             i, j = i + i0, j + j0
             for s in range(0, len(i), _EMIT_ROWS):
@@ -261,7 +262,7 @@ def _pair_kernel(threshold: float, dims: int, within: bool):
     return kernel
 
 
-def _summary_kernel(threshold: float, dims: int, within: bool):
+def _summary_kernel(threshold: float, dims: int):
     """What the reports need of one block pair, without listing its pairs.
 
     With M the 0/1 matrix of similar groups and C the members of each group per
@@ -273,8 +274,8 @@ def _summary_kernel(threshold: float, dims: int, within: bool):
     margin = _margin(dims)
     floor = threshold - margin
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, unit, left, right, same = _load_pair(batches, within)
+    def kernel(block_a: pa.Table, block_b: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        table, unit, left, right = _load_pair(block_a, block_b)
         a, b = unit[left], unit[right]
         ords = table.column("ords").combine_chunks()
         owner = np.repeat(np.arange(len(ords)), pc.list_value_length(ords).to_numpy())
@@ -296,7 +297,7 @@ def _summary_kernel(threshold: float, dims: int, within: bool):
             previous = (ca * (mask @ shifted(cb)) + shifted(ca) * near).sum(axis=0)
             return near, inside, earlier, previous
 
-        for i0, j0, rough in _tiles(a, b, same, floor):
+        for i0, j0, rough in _tiles(a, b, block_b is None, floor):
             rows = np.flatnonzero((rough >= floor).any(axis=1))
             cols = np.flatnonzero((rough >= floor).any(axis=0))
             part = rough[np.ix_(rows, cols)]
@@ -387,129 +388,110 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
 
 
-def _block_pairs(cells: DataFrame, offsets: list[int], cross: bool) -> DataFrame:
-    """Which blocks meet: neighbouring cells, each unordered pair once unless ``cross``."""
-    blocks = cells.select(
-        "side", "cell", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")
-    )
-    left = blocks.filter(F.col("side") == 0).select(
-        F.col("cell").alias("cell_a"),
-        F.col("sub").alias("sub_a"),
-        F.explode(F.array(*[F.col("cell") + F.lit(o) for o in offsets])).alias("cell_b"),
-    )
-    right = blocks.filter(F.col("side") == (1 if cross else 0)).select(
-        F.col("cell").alias("cell_b"), F.col("sub").alias("sub_b")
-    )
-    pairs = left.join(right, "cell_b")
-    if not cross:
-        pairs = pairs.filter(F.struct("cell_a", "sub_a") <= F.struct("cell_b", "sub_b"))
-    return pairs
-
-
-def _meet_all(vectors: DataFrame, blocks: int, cross: bool) -> DataFrame:
-    """Send each vector to every pair of hash blocks it belongs to; no join."""
-    carried = vectors.columns
-    sub = F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int")
-    vectors = vectors.withColumns(
-        {"sub": sub, "cell_a": F.lit(0).cast("long"), "cell_b": F.lit(0).cast("long")}
-    )
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    right_side = 1 if cross else 0
-    as_left = every if cross else F.sequence("sub", F.lit(blocks - 1))
-    left = vectors.filter(F.col("side") == 0).select(
-        "cell_a", F.col("sub").alias("sub_a"), "cell_b", F.explode(as_left).alias("sub_b"),
-        F.lit(0).alias("role"), *carried,
-    )
-    # a block paired with itself is sent once, as the left side
-    as_right = every if cross else F.filter(every, lambda p: p < F.col("sub"))
-    right = vectors.filter(F.col("side") == right_side).select(
-        "cell_a", F.explode(as_right).alias("sub_a"), "cell_b", F.col("sub").alias("sub_b"),
-        F.lit(1).alias("role"), *carried,
-    )
-    return left.unionByName(right)
-
-
-def _meet_in_grid(
-    vectors: DataFrame, axes: np.ndarray, width: float, block_rows: int, cross: bool
-) -> DataFrame:
-    """Send each vector to the pairs of blocks of neighbouring cells."""
-    carried = vectors.columns
+def _in_cells(vectors: DataFrame, axes: np.ndarray, width: float, block_rows: int) -> DataFrame:
+    """Add ``cell, sub``: grid cells, those above ``block_rows`` split by hash."""
     vectors = materialize(_with_cells(vectors, axes, width), "cells")
-    cells = materialize(
-        vectors.groupBy("side", "cell")
-        .agg(F.count("*").alias("n"))
-        .select("side", "cell", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("subs")),
-        "cell-sizes",
-    )
-    # a hot cell is split by hash, so no block holds much more than block_rows
-    placed = vectors.join(_small(cells), ["side", "cell"]).withColumn(
-        "sub", F.pmod(F.xxhash64("gid"), F.col("subs")).cast("int")
-    )
-    pairs = _small(_block_pairs(cells, _neighbour_offsets(len(axes), width), cross))
-    off_diagonal = pairs
-    if not cross:  # a block paired with itself is sent once, as the left side
-        off_diagonal = pairs.filter(F.struct("cell_a", "sub_a") != F.struct("cell_b", "sub_b"))
-
-    def role(number: int, suffix: str, side: int, meetings: DataFrame) -> DataFrame:
-        rows = placed.filter(F.col("side") == side).select(
-            F.col("cell").alias(f"cell_{suffix}"), F.col("sub").alias(f"sub_{suffix}"), *carried
+    sizes = vectors.groupBy("side", "cell").agg(F.count("*").alias("n"))
+    subs = F.ceil(F.col("n") / F.lit(block_rows)).cast("int")
+    cells = materialize(sizes.select("side", "cell", subs.alias("subs")), "cell-sizes")
+    sub = F.pmod(F.xxhash64("gid"), F.col("subs")).cast("int")
+    return vectors.join(_small(cells), ["side", "cell"]).withColumn("sub", sub).drop("subs")
+
+
+@dataclass
+class BlockPairs:
+    """Stored blocks of vectors and which of them meet."""
+
+    blocks: DataFrame  # side, cell, sub, file, rows
+    offsets: list[int]  # of the cells next to a cell
+    cross: bool
+    dims: int
+
+    def pairs(self) -> DataFrame:
+        """``file_a, file_b``: neighbouring cells, each unordered pair once unless ``cross``."""
+        at = F.struct("cell", "sub")
+        left = self.blocks.filter(F.col("side") == 0).select(
+            F.col("file").alias("file_a"),
+            at.alias("at_a"),
+            F.explode(F.array(*[F.col("cell") + F.lit(o) for o in self.offsets])).alias("cell"),
         )
-        return rows.join(meetings, [f"cell_{suffix}", f"sub_{suffix}"]).select(
-            *_BLOCK_PAIR, F.lit(number).alias("role"), *carried
+        right = self.blocks.filter(F.col("side") == (1 if self.cross else 0)).select(
+            F.col("file").alias("file_b"), at.alias("at_b"), "cell"
         )
-
-    return role(0, "a", 0, pairs).unionByName(role(1, "b", 1 if cross else 0, off_diagonal))
-
-
-def _meetings(distinct, threshold, cross, block_rows, kernel, schema, carried):
-    """Apply ``kernel`` to every pair of blocks that can hold a match."""
+        pairs = left.join(_small(right), "cell")
+        if not self.cross:
+            pairs = pairs.filter(F.col("at_a") <= F.col("at_b"))
+        return pairs.select("file_a", "file_b")
+
+    def meet(self, kernel, schema: str) -> DataFrame:
+        """Apply ``kernel`` to every pair of blocks; a task keeps its first block while pairs share it."""
+        pairs = self.pairs()
+        cores = pairs.sparkSession.sparkContext.defaultParallelism
+        blocks = self.blocks.count()
+        tasks = max(2 * cores, blocks * blocks // (2 * PAIRS_PER_TASK))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, first = None, None
+            for batch in batches:
+                for a, b in zip(batch.column("file_a").to_pylist(), batch.column("file_b").to_pylist()):
+                    if a != held:
+                        held, first = a, read_block(a)
+                    yield from kernel(first, None if a == b else read_block(b))
+
+        dealt = pairs.repartitionByRange(min(tasks, blocks * blocks), "file_a", "file_b")
+        return dealt.sortWithinPartitions("file_a", "file_b").mapInArrow(run, schema)
+
+
+def block_pairs(
+    distinct: DataFrame, threshold: float, cross: bool = False, block_rows: int | None = None
+) -> BlockPairs | None:
+    """Write the blocks of ``distinct``; None if it has no rows."""
     spark = distinct.sparkSession
     n, unit_bytes = distinct.agg(F.count("*"), F.max(F.length("unit"))).first()
     if n == 0:
-        return spark.createDataFrame([], schema)
+        return None
     dims = unit_bytes // 8
     if block_rows is None:
         wanted = math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism))
         limit = max(MIN_BLOCK, BLOCK_BYTES // (8 * max(dims, 1)))
         block_rows = min(limit, max(MIN_BLOCK, math.ceil(n / wanted)))
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    used = 0
+    used, offsets = 0, [0]
     if threshold > 0 and n * n * dims > GRID_PAYS_FROM:
         axes, coords = _axes(distinct)
         used, width = _choose_grid(coords, reach, n)
-    vectors = distinct.select("side", "gid", "unit", *carried)
+    vectors = distinct.select("side", "gid", "unit", *[c for c in ("ords", "ns") if c in distinct.columns])
     if used:
-        grouped = _meet_in_grid(vectors, axes[:used], width, block_rows, cross)
+        placed = _in_cells(vectors, axes[:used], width, block_rows)
+        offsets = _neighbour_offsets(used, width)
     else:
-        grouped = _meet_all(vectors, math.ceil(n / block_rows), cross)
-    return grouped.groupBy(*_BLOCK_PAIR).applyInArrow(
-        kernel(threshold, dims, within=not cross), schema
-    )
+        sub = F.pmod(F.xxhash64("gid"), F.lit(math.ceil(n / block_rows))).cast("int")
+        placed = vectors.withColumns({"cell": F.lit(0).cast("long"), "sub": sub})
+    # the side stays in the rows, which the reports need
+    placed = placed.withColumn("of_side", F.col("side"))
+    blocks = write_blocks(placed, ["of_side", "cell", "sub"], "blocks").withColumnRenamed("of_side", "side")
+    return BlockPairs(blocks, offsets, cross, dims)
 
 
-def similar_groups(
-    distinct: DataFrame, threshold: float, cross: bool = False, block_rows: int | None = None
-) -> DataFrame:
+def similar_groups(stored: BlockPairs | None, threshold: float, spark: SparkSession) -> DataFrame:
     """Pairs of distinct vectors with cosine >= threshold.
 
-    ``distinct`` holds ``side, gid, unit`` and must be a stored table. Without
-    ``cross`` each unordered pair of different groups appears once; with
-    ``cross`` only pairs (side 0, side 1), equal groups included.
+    Within one set each unordered pair of different groups appears once; across
+    two only pairs (side 0, side 1), equal groups included.
     """
     schema = "gid_a binary, gid_b binary, similarity double"
-    return _meetings(distinct, threshold, cross, block_rows, _pair_kernel, schema, [])
+    if stored is None:
+        return spark.createDataFrame([], schema)
+    return stored.meet(_pair_kernel(threshold, stored.dims), schema)
 
 
-def similar_summary(
-    distinct: DataFrame, threshold: float, cross: bool = False, block_rows: int | None = None
-) -> DataFrame:
+def similar_summary(stored: BlockPairs | None, threshold: float, spark: SparkSession) -> DataFrame:
     """Numbers for the reports, over the same pairs as ``similar_groups``.
 
     Rows with ``gid``: a version seen by the group's partners. Rows without:
     pair numbers of a version. At most two blocks of groups times the versions
-    per block pair, however many pairs there are. ``distinct`` also needs
-    ``ords, ns``.
+    per block pair, however many pairs there are. The blocks also hold ``ords, ns``.
     """
-    return _meetings(
-        distinct, threshold, cross, block_rows, _summary_kernel, SUMMARY, ["ords", "ns"]
-    )
+    if stored is None:
+        return spark.createDataFrame([], SUMMARY)
+    return stored.meet(_summary_kernel(threshold, stored.dims), SUMMARY)

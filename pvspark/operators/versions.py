@@ -63,15 +63,15 @@ def boundaries(versions: DataFrame) -> DataFrame:
 
 def version_pairs(dups: NearDuplicates) -> DataFrame:
     """Pairs between different versions, earlier version first."""
-    return dups.pairs().filter(F.col("ord_a") < F.col("ord_b"))
+    return dups.pairs(lambda earlier, later: earlier < later)
 
 
 def consecutive_pairs(dups: NearDuplicates) -> DataFrame:
-    return dups.pairs().filter(F.col("ord_b") == F.col("ord_a") + 1)
+    return dups.pairs(lambda earlier, later: later == earlier + 1)
 
 
 def within_version_pairs(dups: NearDuplicates) -> DataFrame:
-    return dups.pairs().filter(F.col("ord_a") == F.col("ord_b"))
+    return dups.pairs(lambda earlier, later: earlier == later)
 
 
 def leakage_pairs(dups: NearDuplicates) -> DataFrame:
@@ -83,19 +83,37 @@ def leakage_pairs(dups: NearDuplicates) -> DataFrame:
     return version_pairs(dups).withColumn("pair", F.col("ord_b"))
 
 
-def train_duplicate_pairs(dups: NearDuplicates, n_versions: int) -> DataFrame:
-    """Pairs inside the training set of each boundary (``pair`` is 1-based).
+def boundary_intervals(dups: NearDuplicates, n_versions: int) -> DataFrame:
+    """Every pair once, with the boundaries (1-based) it belongs to.
 
-    A pair enters with its later version and stays for all later boundaries.
+    ``leaks_at``: the boundary whose test set is its later version, null inside
+    one version. ``train_from, train_to``: the boundaries whose training set
+    holds both files, null if there is none. A pair enters with its later version and
+    stays for all later boundaries, so two numbers stand for any number of them.
     """
     last = F.lit(n_versions - 1)
-    return (
-        dups.pairs()
-        .filter(F.col("ord_b") < last)
-        .withColumn("pair", F.explode(F.sequence(F.col("ord_b") + 1, last)))
+    trained = F.col("ord_b") < last
+    return dups.pairs().select(
+        "*",
+        F.when(F.col("ord_a") < F.col("ord_b"), F.col("ord_b")).alias("leaks_at"),
+        F.when(trained, F.col("ord_b") + 1).alias("train_from"),
+        F.when(trained, last).alias("train_to"),
     )
 
 
+def at_boundaries(intervals: DataFrame) -> DataFrame:
+    """Training pairs of ``boundary_intervals``, one row per boundary (``pair``)."""
+    held = intervals.filter(F.col("train_from").isNotNull())
+    return held.withColumn("pair", F.explode(F.sequence("train_from", "train_to")))
+
+
+def train_duplicate_pairs(dups: NearDuplicates, n_versions: int) -> DataFrame:
+    """Pairs inside the training set of each boundary (``pair`` is 1-based)."""
+    last = n_versions - 1
+    pairs = dups.pairs(lambda earlier, later: later < last)
+    return pairs.withColumn("pair", F.explode(F.sequence(F.col("ord_b") + 1, F.lit(last))))
+
+
 # ---- statistics ---------------------------------------------------------
 
 

@@ -230,6 +230,7 @@ def test_similarity_plan_broadcasts_no_vectors(spark, clustered):
         frame(spark, clustered).withColumn("side", F.lit(0)).drop("file_path")
     )
     distinct = similarity.distinct_vectors(units.withColumn("ord", F.lit(0)), False)
-    links = similarity.similar_groups(distinct, 0.99)
+    stored = similarity.block_pairs(distinct, 0.99)
+    links = similarity.similar_groups(stored, 0.99, spark)
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
