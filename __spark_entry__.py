@@ -26,6 +26,7 @@ from pvspark.operators import catalog, duplicates, pv, vocab  # noqa: E402
 from pvspark.operators import versions as V  # noqa: E402
 from pvspark.operators.bag_similarity import bag_duplicates  # noqa: E402
 from pvspark.operators.ranking import global_rank  # noqa: E402
+from pvspark.operators.sign_projections import approximate_duplicates  # noqa: E402
 from pvspark.plans import cross_version, training  # noqa: E402
 from pvspark.plans.corpus import prepare_corpus  # noqa: E402
 from pvspark.session import materialize, scratch_path, spread  # noqa: E402
@@ -324,6 +325,46 @@ def dup_top10(spark, sf_dir):
     return _rounded(_one_set(spark, sf_dir).top(10))
 
 
+def dup_pairs_hashed(spark, sf_dir):
+    """Sign projections against the exact join: no pair that is not one, at least nine in ten found."""
+    e = _embeddings(spark, sf_dir)
+    hashed = approximate_duplicates(e, T, recall=0.95, file="vec_id").pairs().select("file_a", "file_b", "similarity")
+    exact = duplicates.near_duplicates(e, T, file="vec_id").pairs().select("file_a", "file_b", "similarity")
+    both = hashed.select("*", F.lit(1).alias("found"), F.lit(0).alias("exact")).unionAll(
+        exact.select("*", F.lit(0), F.lit(1))
+    )
+    pairs = both.groupBy("file_a", "file_b", "similarity").agg(F.sum("found").alias("found"), F.sum("exact").alias("exact"))
+    return pairs.agg(
+        F.sum("exact").alias("exact_pairs"),
+        F.count_if((F.col("found") != F.col("exact")) & (F.col("found") > 0)).alias("wrong_pairs"),
+        (F.count_if(F.col("found") == F.col("exact")) >= 0.9 * F.sum("exact")).alias("recall_reached"),
+    )
+
+
+def group_links(spark, sf_dir):
+    """Pairs of copy groups, named by their first file, with the versions of each as a bitmap."""
+    links, members = _by_version(spark, sf_dir).compressed()
+    names = members.groupBy("gid").agg(F.min("file").alias("name"))
+    side = lambda s: names.select(F.col("gid").alias(f"gid_{s}"), F.col("name").alias(f"name_{s}"))
+    named = links.join(side("a"), "gid_a").join(side("b"), "gid_b")
+    flip = F.col("name_a") > F.col("name_b")
+    pick = lambda x, y: F.when(flip, F.col(x)).otherwise(F.col(y))
+    return named.select(
+        pick("name_b", "name_a").alias("file_a"),
+        pick("name_a", "name_b").alias("file_b"),
+        F.round("similarity", 6).alias("similarity"),
+        pick("versions_b", "versions_a")[0].alias("versions_a"),
+        pick("versions_a", "versions_b")[0].alias("versions_b"),
+    )
+
+
+def group_members(spark, sf_dir):
+    """Every file with the first file of its copy group: with ``group_links`` the whole pair list."""
+    _, members = _by_version(spark, sf_dir).compressed()
+    names = members.groupBy("gid").agg(F.min("file").alias("group_file"))
+    return members.join(names, "gid").select("file", F.col("ord").cast("long").alias("ord"), "group_file")
+
+
 def files_in_duplicates(spark, sf_dir):
     return _one_set(spark, sf_dir).files_in_duplicates().select(F.col("file").alias("vec_id"))
 
@@ -535,6 +576,9 @@ _QUERIES = [
     dup_pairs,
     dup_pairs_nan,
     dup_pairs_cross,
+    dup_pairs_hashed,
+    group_links,
+    group_members,
     dup_top10,
     files_in_duplicates,
     dup_report,
@@ -608,6 +652,8 @@ def oracle_sql() -> dict[str, str]:
             AS percentage_files_with_duplicates,
           CAST({threshold} AS DOUBLE) AS threshold FROM p"""
 
+    classes = f"""WITH g AS (SELECT min(vec_id) AS name, CAST(any_value(embedding) AS DOUBLE[]) AS v, count(*) AS n,
+                         bit_or(CAST(1 AS BIGINT) << label) AS versions FROM embeddings GROUP BY embedding)"""
     boundary = f"""WITH {pairs},
       v AS (SELECT label, count(*) AS files FROM e GROUP BY label),
       b AS (SELECT v.label AS tr, w.label AS te, v.files AS fa, w.files AS fb
@@ -648,6 +694,15 @@ def oracle_sql() -> dict[str, str]:
             WHERE lang IN ('fr', 'en', 'es')""",
         "source_dir_filter": """SELECT source || '/' || doc_id || '.' || lang AS path FROM documents
             WHERE source = 'src1'""",
+        "dup_pairs_hashed": f"""WITH {one} SELECT count(*) AS exact_pairs, CAST(0 AS BIGINT) AS wrong_pairs,
+            true AS recall_reached FROM p""",
+        "group_links": f"""{classes} SELECT a.name AS file_a, b.name AS file_b,
+            round(list_cosine_similarity(a.v, b.v), 6) AS similarity,
+            a.versions AS versions_a, b.versions AS versions_b
+            FROM g a JOIN g b ON a.name < b.name OR (a.name = b.name AND a.n > 1)
+            WHERE list_cosine_similarity(a.v, b.v) >= {T}""",
+        "group_members": """SELECT vec_id AS file, CAST(label AS BIGINT) AS ord,
+            min(vec_id) OVER (PARTITION BY embedding) AS group_file FROM embeddings""",
         "files_per_version": f"""WITH {_DOCS} SELECT s.source AS version, count(docs.tag) AS files
             FROM (SELECT DISTINCT unnest([source, source || '.5']) AS source FROM documents) s
             LEFT JOIN docs ON docs.source = s.source GROUP BY s.source""",

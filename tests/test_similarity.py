@@ -234,3 +234,25 @@ def test_similarity_plan_broadcasts_no_vectors(spark, clustered):
     links = similarity.similar_groups(stored, 0.99, spark)
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_blocks_are_shuffled_once_and_read_by_tasks(spark, clustered):
+    """Neither links nor summary shuffle vectors again: their plan holds block names only."""
+    found = duplicates.near_duplicates(frame(spark, clustered), 0.99, block_rows=64)
+    stored = found._blocks
+    assert stored.blocks.agg(F.sum("rows")).first()[0] == found.groups.count()
+    plan = similarity.similar_groups(stored, 0.99, spark)._jdf.queryExecution().executedPlan().toString()
+    assert "unit" not in plan and "file_a" in plan
+    assert found.pairs().count() > 0
+    calls = []
+    stored.meet = lambda *a: calls.append(a)
+    assert found.report().first().duplicate_pairs == found.pairs().count()
+    assert not calls, "the report of listed links must not run the join again"
+
+
+def test_report_of_two_sets_from_links(spark, clustered):
+    a, b = frame(spark, clustered[:150]), frame(spark, clustered[100:])
+    direct, listed = duplicates.two_sets(a, b, 0.99), duplicates.two_sets(a, b, 0.99)
+    listed.links
+    assert listed.report().first() == direct.report().first()
+    assert direct.report().first().duplicate_pairs > 0

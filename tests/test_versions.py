@@ -105,6 +105,35 @@ def test_leakage_equals_direct_recount(spark, history):
         assert r.test_leakage_percentage == round(len(leaking) / sizes[v + 1] * 100, 2)
         assert r.leakage_pairs == len(leak)
 
+    # each pair once, with its interval of boundaries
+    intervals = V.boundary_intervals(found, n)
+    assert intervals.count() == len(pairs)
+    spread = V.at_boundaries(intervals).select("pair", "file_a", "file_b").collect()
+    assert sorted(map(tuple, spread)) == sorted((k, p[2], p[3]) for p in pairs for k in range(p[1] + 1, n))
+    assert {(r.file_a, r.file_b, r.leaks_at) for r in intervals.filter("leaks_at IS NOT NULL").collect()} == {
+        (p[2], p[3], p[1]) for p in pairs if p[0] < p[1]
+    }
+    for name, holds in (
+        (V.version_pairs, lambda a, b: a < b),
+        (V.consecutive_pairs, lambda a, b: b == a + 1),
+        (V.within_version_pairs, lambda a, b: a == b),
+    ):
+        got = {(r.file_a, r.file_b) for r in name(found).collect()}
+        assert got == {p[2:4] for p in pairs if holds(p[0], p[1])}
+
+    # links and membership stand for the same pairs
+    links, members = (x.collect() for x in found.compressed())
+    assert len(members) == len(history) and len(links) < len(pairs)
+    of = {}
+    for m in members:
+        of.setdefault(m.gid, []).append((m.ord, m.file))
+    listed = set()
+    for k in links:
+        for side, versions in ((k.gid_a, k.versions_a), (k.gid_b, k.versions_b)):
+            assert versions == [sum({1 << v for v, _ in of[side]})]
+        listed |= {(*sorted((x, y)),) for x in of[k.gid_a] for y in of[k.gid_b] if x != y}
+    assert {(a[0], b[0], a[1], b[1]) for a, b in listed} == {p[:4] for p in pairs}
+
     train = V.train_duplicate_pairs(found, n).groupBy("pair").count().collect()
     want = {v + 1: sum(p[1] <= v for p in pairs) for v in range(n - 1)}
     assert {r["pair"]: r["count"] for r in train} == {k: c for k, c in want.items() if c}
@@ -115,3 +144,12 @@ def test_leakage_equals_direct_recount(spark, history):
     assert totals.within_pairs == sum(p[0] == p[1] for p in pairs)
     assert totals.cross_pairs == sum(p[0] < p[1] for p in pairs)
     assert totals.within_pairs + totals.cross_pairs == found.pairs().count()
+
+
+def test_bitmaps_of_many_versions(spark):
+    rows = [(v, f"f{v:03d}", [1.0, 0.0]) for v in (0, 5, 63, 64, 130)]
+    df = spark.createDataFrame(rows, "ord int, file_path string, embedding array<double>")
+    found = near_duplicates(df, 0.99, ord=F.col("ord"))
+    link = found.compressed()[0].first()
+    assert link.versions_a == link.versions_b == [1 | 1 << 5 | -(1 << 63), 1, 1 << 2]
+    assert found.pairs().count() == 10
