@@ -378,12 +378,12 @@ def dup_report_cross(spark, sf_dir):
 
 
 def dup_pairs_tf(spark, sf_dir):
-    docs = _corpus(spark, sf_dir).select("tag", "words")
+    docs = _documents(spark, sf_dir).select("tag", "words")
     return _rounded(bag_duplicates(docs, 0.99).pairs())
 
 
 def dup_report_tf(spark, sf_dir):
-    return bag_duplicates(_corpus(spark, sf_dir).select("tag", "words"), 0.99).report()
+    return bag_duplicates(_documents(spark, sf_dir).select("tag", "words"), 0.99).report()
 
 
 def version_pairs_all(spark, sf_dir):

@@ -36,7 +36,7 @@ from pvspark.functions.stats import EXACT_SIMILARITY
 from pvspark.operators.duplicates import NearDuplicates, own_summary, summary_of_links
 from pvspark.operators.ranking import global_rank
 from pvspark.operators.similarity import DEFAULT_THRESHOLD, SUMMARY, _small, _summary_rows
-from pvspark.session import materialize
+from pvspark.session import discard, materialize
 
 BLOCK_BYTES = 16 << 20  # packed vectors of one block
 SHARED_WORDS = 500_000  # words, and
@@ -143,6 +143,7 @@ def packed_vectors(counted: DataFrame, threshold: float) -> DataFrame:
                 at = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
                 yield from _packed(batch, at, rank[order], ns, threshold)
 
+        discard(costs)
         return counted.select("gid", "copies", "len2", "bag_words", "ns").mapInArrow(look_up, schema)
 
     order = global_rank(costs, [F.col("cost"), F.col("word")]).select("word", F.col("rank").cast("int").alias("rank"))
@@ -446,21 +447,21 @@ def bag_duplicates(
     """
     if threshold <= 0:
         raise ValueError("bags without a common word have similarity 0: the threshold must be above it")
-    bags = materialize(bags_of(docs, file).withColumn("uid", F.monotonically_increasing_id()), "bags")
-    first = [F.first(c).alias(c) for c in ("len2", "bag_words", "ns")]
-    counted = materialize(
-        bags.filter(F.col("len2") > 0).groupBy("gid").agg(F.count("*").alias("copies"), *first), "distinct-bags"
-    )
-    vectors = materialize(packed_vectors(counted, threshold), "bag-vectors")
+    wide = {"compression": "zstd"}
+    bags = materialize(bags_of(docs, file).withColumn("uid", F.monotonically_increasing_id()), "bags", **wide)
     zero = F.lit(0)
-    members = bags.select("file", F.col("file").alias("pos"), zero.alias("ord"), zero.alias("side"), "gid", "uid")
+    members = materialize(
+        bags.select("file", F.col("file").alias("pos"), zero.alias("ord"), zero.alias("side"), "gid", "uid"), "bag-members"
+    )
+    first = [F.first(c).alias(c) for c in ("len2", "bag_words", "ns")]
+    groups = bags.filter(F.col("len2") > 0).groupBy("gid").agg(F.count("*").alias("copies"), *first)
+    counted = materialize(groups, "distinct-bags", **wide)
+    vectors = materialize(packed_vectors(counted, threshold), "bag-vectors", **wide)
     sizes = counted.select(
-        zero.alias("side"),
-        "gid",
-        "copies",
-        F.array(zero).alias("ords"),
-        F.array("copies").alias("ns"),
+        zero.alias("side"), "gid", "copies", F.array(zero).alias("ords"), F.array("copies").alias("ns")
     )
+    sizes = materialize(sizes, "bag-sizes")
+    discard(bags, counted)  # what follows reads the narrow tables and the packed vectors
     return BagDuplicates(
         members=members,
         groups=sizes,
