@@ -328,7 +328,7 @@ def dup_top10(spark, sf_dir):
 def dup_pairs_hashed(spark, sf_dir):
     """Sign projections against the exact join: no pair that is not one, at least nine in ten found."""
     e = _embeddings(spark, sf_dir)
-    hashed = approximate_duplicates(e, T, recall=0.95, file="vec_id").pairs().select("file_a", "file_b", "similarity")
+    hashed = approximate_duplicates(e, T, recall=0.99, file="vec_id").pairs().select("file_a", "file_b", "similarity")
     exact = duplicates.near_duplicates(e, T, file="vec_id").pairs().select("file_a", "file_b", "similarity")
     both = hashed.select("*", F.lit(1).alias("found"), F.lit(0).alias("exact")).unionAll(
         exact.select("*", F.lit(0), F.lit(1))
