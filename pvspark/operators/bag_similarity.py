@@ -10,8 +10,9 @@ them for the share of a squared norm they stand for, so few words, and ones
 with short lists, make up a prefix.
 
 The index is dealt to blocks of words twice. First a posting carries only its
-norm left and the norms of hashed word groups (Cauchy-Schwarz); it is kept if
-any other posting of its word may be similar by these bounds. Then the bags
+norm left, the norms of hashed word groups (Cauchy-Schwarz) and the first words
+of its prefix; it is kept if any other posting of its word may be similar by
+these bounds and they share none of those words before. Then the bags
 with kept postings go once, with their whole vectors, to those blocks. There
 each pair that passes the bounds gets its integer dot product, and counts only
 at its first common word. So a pair comes up once, and no list of candidate
@@ -44,6 +45,7 @@ SHARED_BYTES = 16 << 20  # their bytes, up to which tasks look ranks up by thems
 _SLACK = 1e-9  # rounding of norms
 _GROUPS = 64  # hashed word groups of the second bound
 _FULL = 65535  # a norm of 1 in 16 bits, rounded up
+_HEADS = 16  # first ranks of a prefix that go with its postings
 _PAIRS = 1 << 17  # pairs looked at together
 _MASS = 10**6
 _PARTS = ["part_a", "part_b", "part"]
@@ -115,10 +117,11 @@ def word_costs(counted: DataFrame) -> DataFrame:
 
 
 def packed_vectors(counted: DataFrame, threshold: float) -> DataFrame:
-    """``gid, copies, len2, vector, prefix, lefts, norms``.
+    """``gid, copies, len2, vector, prefix, lefts, norms, heads``.
 
     ``vector`` packs ranks and counts in rank order; ``prefix`` and ``lefts`` are the
-    ranks of the prefix and the norm from each on; ``norms`` bounds the word groups.
+    ranks of the prefix and the norm from each on; ``norms`` bounds the word groups;
+    ``heads`` packs the first ranks of the prefix.
     Bags without a shared word are left out: they are similar to no other. Tasks
     look up ranks in a word list of bounded size, or the words are joined.
     """
@@ -126,7 +129,7 @@ def packed_vectors(counted: DataFrame, threshold: float) -> DataFrame:
     costs = materialize(word_costs(counted), "word-costs")
     words, size = costs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     schema = (
-        "gid binary, copies long, len2 long, vector binary, prefix array<int>, lefts array<double>, norms binary"
+        "gid binary, copies long, len2 long, vector binary, prefix array<int>, lefts array<double>, norms binary, heads binary"
     )
     if words <= SHARED_WORDS and size <= SHARED_BYTES:
         ordered = costs.toArrow().sort_by([("cost", "ascending"), ("word", "ascending")]).column("word")
@@ -178,6 +181,10 @@ def _packed(batch: pa.RecordBatch, at: np.ndarray, rank: np.ndarray, n: np.ndarr
     inside = left * left >= threshold * threshold - _SLACK
     ends = np.concatenate([[0], np.cumsum(inside)])[at]
     norms = np.minimum(np.ceil(group_norms(row, rank, n, len2) * _FULL), _FULL).astype("<u2")
+    held = np.repeat(np.arange(len(some)), np.diff(ends))
+    place = np.arange(len(held)) - ends[held]
+    heads = np.full((len(some), _HEADS), 0xFFFFFFFF, "<u4")
+    heads[held[place < _HEADS], place[place < _HEADS]] = rank[inside][place < _HEADS]
     binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
     columns = [
         *(batch.column(c) for c in ("gid", "copies", "len2")),
@@ -185,8 +192,9 @@ def _packed(batch: pa.RecordBatch, at: np.ndarray, rank: np.ndarray, n: np.ndarr
         _list(ends, pa.array(rank[inside].astype(np.int32))),
         _list(ends, pa.array(left[inside])),
         binary(norms),
+        binary(heads),
     ]
-    names = ["gid", "copies", "len2", "vector", "prefix", "lefts", "norms"]
+    names = ["gid", "copies", "len2", "vector", "prefix", "lefts", "norms", "heads"]
     yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -214,21 +222,21 @@ def _block_of(rank, blocks: int):
 
 
 def _postings(vectors: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """``block, part_a, part_b, part, rank, left, gid, norms`` and the number of blocks of ordinary words.
+    """``block, part_a, part_b, part, rank, left, gid, norms, heads`` and the number of blocks of ordinary words.
 
     ``block`` is the number of a block, or -1 - rank for a hot word, whose parts
     meet two by two; ``part`` is the part a posting is in.
     """
     cells = F.arrays_zip(F.col("prefix").alias("rank"), F.col("lefts").alias("left"))
-    postings = vectors.select("gid", "norms", F.octet_length("vector").alias("bytes"), F.inline(cells))
-    postings = postings.toDF("gid", "norms", "bytes", "rank", "left")
+    postings = vectors.select("gid", "norms", "heads", F.octet_length("vector").alias("bytes"), F.inline(cells))
+    postings = postings.toDF("gid", "norms", "heads", "bytes", "rank", "left")
     lists = materialize(postings.groupBy("rank").agg(F.sum("bytes").alias("bytes")), "lists")
     total, heaviest = lists.agg(F.sum("bytes"), F.max("bytes")).first()
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     blocks = max(cores, math.ceil((total or 0) / block_bytes))
     zero = F.lit(0)
     own = [_block_of(F.col("rank"), blocks).alias("block"), *[zero.alias(c) for c in _PARTS]]
-    rest = ["rank", "left", "gid", "norms"]
+    rest = ["rank", "left", "gid", "norms", "heads"]
     if not total or heaviest <= block_bytes:
         return postings.select(*own, *rest), blocks
     parts = F.ceil(F.col("bytes") * 2 / F.lit(block_bytes)).cast("int")
@@ -300,16 +308,33 @@ def _task(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, int, np.ndarray
     return table, number, table.column("part").to_numpy() if part_a != part_b else None
 
 
+def _met_before(a: np.ndarray, b: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Pairs that share one of their first prefix words before ``word``.
+
+    Such a pair counts there and not here. A pair that meets before in a later
+    word of its prefixes is not seen, and is only looked at once more.
+    """
+    before = (a[:, 0] == b[:, 0]) & (a[:, 0] < word)
+    rest = np.flatnonzero(~before)
+    for s in range(0, len(rest), 1 << 12):
+        k = rest[s : s + (1 << 12)]
+        equal = (a[k][:, :, None] == b[k][:, None, :]) & (a[k] < word[k][:, None])[:, :, None]
+        before[k] = equal.any(axis=(1, 2))
+    return before
+
+
 def _kept(threshold: float):
-    """Bags of a block that may have a partner there."""
+    """Bags of a block that may have a partner there, met for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, _, part = _task(batches)
         kept = np.zeros(len(table), bool)
         owner = np.arange(len(table))
         word, left = (table.column(c).to_numpy() for c in ("rank", "left"))
+        heads = np.frombuffer(b"".join(table.column("heads").to_pylist()), "<u4").reshape(-1, _HEADS).astype(np.int64)
         for i, j in _met(word, left, _norms_of(table), owner, part, threshold):
-            kept[i] = kept[j] = True
+            new = ~_met_before(heads[i], heads[j], word[i])
+            kept[i[new]] = kept[j[new]] = True
         gid = table.column("gid").combine_chunks().dictionary_encode()
         _, first = np.unique(gid.indices.to_numpy()[kept], return_index=True)
         rows = pa.array(np.flatnonzero(kept)[first])
