@@ -74,11 +74,16 @@ def excluded(run: str) -> bool:
 
 
 def random_spans(text, taken, encode, min_chars: int, min_ratio: float):
+    """``taken``: spans by start. Both they and the runs are passed once."""
+    at = reach = 0  # spans passed, which start before the run ends, and their furthest end
     found = []
     for m in RUN.finditer(text):
         if m.end() - m.start() < min_chars or excluded(m[0]):
             continue
-        if any(m.start() < end and start < m.end() for start, end, _ in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach > m.start():
             continue
         if m.end() - m.start() < min_ratio * len(encode(m[0])):
             found.append((m.start(), m.end(), "random"))

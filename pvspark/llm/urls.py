@@ -2,10 +2,13 @@
 
 FP-growth finds token combinations (host labels, path segments, query names)
 that come with a label; rules short of the confidence or support, or no better
-than a more general rule, are pruned. A rule is indexed under its rarest token
-and matched against distinct token sets, so each rule is tried only where that
-token stands. The surest matching rule decides; with none the verdict is allow.
-All steps are DataFrame operations.
+than a more general rule, are pruned. Tokens that stand on exactly the same
+labelled pages are one item, a class, to FP-growth: any of them says the same,
+and a rule asks for one token of each of its classes. So a long URL that repeats
+is one item and not all subsets of its tokens. A rule is indexed under its rarest
+class and matched against distinct token sets, so each rule is tried only where
+that class stands. The surest matching rule decides; with none the verdict is
+allow. All steps are DataFrame operations.
 
 Results: one row per page. A null URL, or one without ``://``, has an empty host
 and path, no tokens and no list rule. Empty tables give empty results; without
@@ -80,12 +83,52 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
-def mine(labelled: DataFrame, p: Params = Params()) -> DataFrame:
-    """``labelled``: ``tokens, blocked``. Rules ``antecedent, anchor, block, confidence, support``."""
-    label = F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)
-    baskets = labelled.select(F.array_append("tokens", label).alias("items"))
+def _classes(labelled: DataFrame, least: float) -> DataFrame:
+    """``token, class, freq``: tokens of ``least`` pages or more; those on the same pages share a class.
+
+    A class has the name of its smallest token. Which pages a token stands on is
+    told by two independent hashes over the distinct token sets that hold it.
+    """
+    kinds = labelled.groupBy("tokens").agg(F.count("*").alias("pages"))
+    where = (
+        kinds.select(
+            "pages",
+            F.xxhash64("tokens").alias("h1"),
+            F.xxhash64(F.lit("second"), "tokens").alias("h2"),
+            F.explode("tokens").alias("token"),
+        )
+        .groupBy("token")
+        .agg(F.sum("pages").alias("freq"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+        .filter(F.col("freq") >= least)
+    )
+    names = where.groupBy("freq", "h1", "h2").agg(F.min("token").alias("class"))
+    return where.join(names, ["freq", "h1", "h2"]).select("token", "class", "freq")
+
+
+def _classed(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``tokens, classes`` of distinct token sets, without those that hold no class."""
+    return (
+        sets.select("tokens", F.explode("tokens").alias("token"))
+        .join(classes.select("token", "class"), "token")
+        .groupBy("tokens")
+        .agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    )
+
+
+def mine_classes(labelled: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """``labelled``: ``tokens, blocked``. Rules over classes, and the classes.
+
+    Rules are ``antecedent, anchor, block, confidence, support``, where
+    ``antecedent`` and ``anchor`` name classes; classes are ``token, class, freq``.
+    """
+    pages = max(1, labelled.count())
     # half a page less, so that rounding does not ask for one more
-    support = p.support if p.support is not None else min(1.0, (p.pages - 0.5) / max(1, baskets.count()))
+    support = p.support if p.support is not None else min(1.0, (p.pages - 0.5) / pages)
+    classes, _ = store(_classes(labelled, support * pages), "url-classes")
+    label = F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)
+    held = labelled.join(_classed(labelled.select("tokens").distinct(), classes), "tokens", "left")
+    none = F.array().cast("array<string>")
+    baskets = held.select(F.array_append(F.coalesce("classes", none), label).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=p.confidence).fit(baskets)
     found = model.associationRules.filter(F.col("consequent")[0].isin(BLOCK, ALLOW)).filter(
         ~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW)
@@ -114,25 +157,51 @@ def mine(labelled: DataFrame, p: Params = Params()) -> DataFrame:
         .distinct()
     )
     pruned = rules.join(beaten, ["antecedent", "block"], "left_anti")
-    often = model.freqItemsets.filter(F.size("items") == 1).select(
-        F.col("items")[0].alias("t"), F.col("freq")
-    )
+    often = classes.filter(F.col("token") == F.col("class")).select(F.col("class").alias("t"), "freq")
     anchors = (
         pruned.select("antecedent", F.explode("antecedent").alias("t"))
         .join(often, "t")
         .groupBy("antecedent")
         .agg(F.min_by("t", F.struct("freq", "t")).alias("anchor"))
     )
-    return pruned.join(anchors, "antecedent")
+    return pruned.join(anchors, "antecedent"), classes
+
+
+def mine(labelled: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rules told in tokens: a row for every choice of one token of each class. For reading, not matching."""
+    rules, classes = mine_classes(labelled, p)
+    members = classes.groupBy("class").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    key = ["antecedent", "block", "confidence", "support", "anchor"]
+    parts = (
+        rules.select(*key, F.explode("antecedent").alias("class"))
+        .join(members, "class")
+        .withColumn("freq_anchor", F.col("class") == F.col("anchor"))
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("freq_anchor", "members"))).alias("parts"))
+    )
+    # the anchor's class comes last
+    start = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate(
+        F.transform("parts", lambda x: x["members"]),
+        start,
+        lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda m: F.array_append(d, m)))),
+    )
+    return parts.select("block", "confidence", "support", F.explode(choices).alias("chosen")).select(
+        F.array_sort("chosen").alias("antecedent"),
+        F.element_at("chosen", -1).alias("anchor"),
+        "block",
+        "confidence",
+        "support",
+    )
 
 
-def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """``urls``: a column ``tokens``. ``tokens, mined, confidence`` of each distinct set a rule matches."""
-    sets = urls.select("tokens").distinct()
+    sets = _classed(urls.select("tokens").distinct(), classes)
     return (
-        sets.select("tokens", F.explode("tokens").alias("anchor"))
+        sets.select("tokens", "classes", F.explode("classes").alias("anchor"))
         .join(rules, "anchor")
-        .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+        .filter(F.size(F.array_except("antecedent", "classes")) == 0)
         .groupBy("tokens")
         .agg(
             F.max(F.struct("confidence", "support", F.size("antecedent").alias("n"), "block")).alias("best")
@@ -163,6 +232,6 @@ def filter_urls(pages: DataFrame, labels: DataFrame, p: Params = Params()) -> Da
     if labelled.isEmpty():
         judged = rows.withColumns({"mined": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     else:
-        judged = rows.join(judge(rows, mine(labelled, p)), "tokens", "left")
+        judged = rows.join(judge(rows, *mine_classes(labelled, p)), "tokens", "left")
     verdict = F.coalesce("listed", "mined", F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "mined", "confidence")

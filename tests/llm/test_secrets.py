@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pvspark.llm import secrets
 
@@ -66,3 +67,28 @@ def test_rows_and_redaction(spark, docs, no_docs):
     df = spark.createDataFrame(rows, "doc_id long, text string, n long")
     out = {r.doc_id: (r.text, r.n) for r in secrets.redact(df).collect()}
     assert out == {1: ("a [SECRET]' z", 5), 2: (None, 5), 3: ("plain", 5)}
+
+
+def test_long_text_full_of_keys():
+    """5 MB with a key in every 50 characters: linear in the spans, the same as a test of all spans."""
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choices(alphabet, k=n))
+    parts = [f"{rng.choice(['token=', '', 'x '])}{key(24)} {rng.choice(['abc', 'deadbeef' * 4])} " for _ in range(100_000)]
+    text = "".join(parts)
+    assert len(text) > 4_500_000
+    encode = list
+    start = time.monotonic()
+    base = secrets.pattern_spans(text)
+    secrets.random_spans(text, base, encode, 20, 2.0)
+    assert len(base) > 50_000 and time.monotonic() - start < 20
+    short = "".join(parts[:400])
+    base = secrets.pattern_spans(short)
+    expected = [
+        (m.start(), m.end(), "random")
+        for m in secrets.RUN.finditer(short)
+        if m.end() - m.start() >= 20
+        and not secrets.excluded(m[0])
+        and not any(m.start() < b and a < m.end() for a, b, _ in base)
+    ]
+    assert secrets.random_spans(short, base, encode, 20, 2.0) == expected and expected

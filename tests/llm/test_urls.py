@@ -1,4 +1,5 @@
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -96,3 +97,25 @@ def test_rare_but_sure_hosts_yield_rules(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
     found = {r.page_id: r.verdict for r in urls.filter_urls(df.drop("blocked"), df.select("page_id", "blocked")).collect()}
     assert (found[2000], found[2001]) == ("block", "allow")
+
+
+def test_long_urls_that_repeat(spark):
+    """Forty segments on the same pages are one class, any of its tokens makes the rule fit."""
+    long = "/".join("part" + chr(97 + k % 26) * (1 + k // 26) for k in range(40))
+    rows = [(k, f"https://farm.example.com/{long}?s={k}", True) for k in range(6)]
+    rows += [(k, f"https://news.example.com/read/{k}", False) for k in range(6, 60)]
+    rows += [(60, "https://other.example.com/partc/x", None), (61, "https://other.example.com/x", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    pages, labels = df.drop("blocked"), df.select("page_id", "blocked")
+    urls.filter_urls(pages.limit(1), labels).collect()
+    start = time.monotonic()
+    found = {r.page_id: r.verdict for r in urls.filter_urls(pages, labels).collect()}
+    assert time.monotonic() - start < 10
+    assert found == {k: "block" if k < 6 or k == 60 else "allow" for k in range(62)}
+
+
+def test_classes_tell_pages_apart(spark):
+    rows = [(["a", "b", "x"], True), (["a", "b", "x"], False), (["a", "b", "y"], True), (["z"], True), ([], False)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    found = {r["token"]: (r["class"], r["freq"]) for r in urls._classes(labelled, 1.5).collect()}
+    assert found == {"a": ("a", 3), "b": ("a", 3), "x": ("x", 2)}
