@@ -10,10 +10,12 @@ side new since the last round - and offers each the best it has not got; the
 offers are merged into the lists. Vectors travel as one byte per component with
 a scale; this affects only which candidates are found.
 
-Search. A query starts from its own list. Each round it expands the best nodes
-of its beam that are not expanded yet, by joins with the graph, and keeps the
-``beam`` best. The survivors are scored in double precision on the original
-vectors, and equal vectors are expanded to row ids.
+Search. A query starts from its own list. Each round it expands the ``expand``
+best nodes of its beam that are not expanded yet, by joins with the graph. What
+is reached is brought together by query, compared there, and the ``beam`` best
+stay; the search ends when no beam holds a node to expand. The survivors are
+scored in double precision on the original vectors, and equal vectors are
+expanded to row ids.
 
 Results: ``query_id, rank, vec_id, score``, fewer rows where there are fewer
 candidates. Null, zero and empty vectors and those with null or non-finite
@@ -23,6 +25,7 @@ ids are kept as separate rows. Empty tables give empty results. Extra columns
 are ignored.
 """
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,11 +43,11 @@ class Params:
     k: int = 40
     tables: int = 4
     block: int = 400
-    rounds: int = 8
+    settled: float = 0.001  # the graph is done when a round changes less than this share of its entries
     reverse: int = 32
     offers: int = 12
     beam: int = 128
-    search_rounds: int = 6
+    expand: int = 32
     top: int = 20
     seed: int = 5
 
@@ -220,14 +223,15 @@ def build(vectors: DataFrame, n: int, dim: int, p: Params = Params()) -> tuple[D
     first, placed_at = _blocks(codes, n, dim, p)
     graph, at = store(first, "graph")
     drop(spark, placed_at)
-    for turn in range(p.rounds):
+    # lists only get better, so this ends
+    for turn in itertools.count():
         offers = _local_join(graph, codes, p, turn)
         aged = graph.withColumn("old", F.transform("ids", lambda x: F.lit(True)))
         merged, merged_at = store(_merge(aged.union(offers), p.k), "graph")
         new = merged.agg(F.sum(F.size(F.filter("old", lambda x: ~x)))).first()[0] or 0
         drop(spark, at)
         graph, at = merged, merged_at
-        if new < 0.001 * n * p.k:
+        if new <= p.settled * n * p.k:
             break
     return graph, codes
 
@@ -235,47 +239,59 @@ def build(vectors: DataFrame, n: int, dim: int, p: Params = Params()) -> tuple[D
 def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, p: Params = Params()) -> DataFrame:
     """``node, ids``: the beam of each query node after greedy search."""
     spark = graph.sparkSession
+    # here ``old`` marks the expanded ones
+    asked, asked_at = store(queries.select("node").distinct(), "asked")
     beam, at = store(
-        graph.join(queries.select("node").distinct(), "node").withColumn(
-            "old", F.transform("ids", lambda x: F.lit(False))
-        ),
-        "beam",
+        graph.join(asked, "node").withColumn("old", F.transform("ids", lambda x: F.lit(False))), "beam"
     )
     near = graph.select(F.col("node").alias("via"), F.col("ids").alias("next"))
-    asking = codes.select("node", F.col("code").alias("q_code"), F.col("scale").alias("q_scale"))
+    own = codes.join(asked, "node").select("node", F.col("node").alias("y"), "code", "scale")
     target = codes.select(F.col("node").alias("y"), "code", "scale")
 
     def compare(batches):
-        for batch in batches:
-            if not len(batch):
+        """Rows sorted by query; the query's own code is the row where both ids are equal."""
+        for table in whole_groups(batches):
+            table = table.combine_chunks()
+            node, y = table.column(0).to_numpy(), table.column(1).to_numpy()
+            x = _matrix(table.column(2), table.column(3))
+            mine = np.flatnonzero(node == y)
+            others = np.flatnonzero(node != y)
+            if not len(others):
                 continue
-            sims = (_matrix(batch.column(2), batch.column(3)) * _matrix(batch.column(4), batch.column(5))).sum(axis=1)
-            node, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            mine = mine[np.searchsorted(node[mine], node[others])]
+            sims = np.einsum("ij,ij->i", x[mine], x[others])
             yield pa.RecordBatch.from_arrays(
-                _best(node, y, sims, np.zeros(len(node), bool), p.beam), ["node", "ids", "sims", "old"]
+                _best(node[others], y[others], sims, np.zeros(len(others), bool), p.beam),
+                ["node", "ids", "sims", "old"],
             )
 
-    for _ in range(p.search_rounds):
-        # here ``old`` marks the expanded ones
-        front = beam.select("node", F.inline(F.arrays_zip("ids", "old")).alias("via", "done")).filter("not done")
+    # a node leaves a beam only for better ones, so it is expanded once for a query, and this ends
+    while True:
+        waiting = F.filter(F.arrays_zip("ids", "old"), lambda x: ~x["old"])
+        # lists are ordered, the best first
+        front = beam.withColumn("front", F.slice(F.transform(waiting, lambda x: x["ids"]), 1, p.expand))
+        going = front.filter(F.size("front") > 0)
+        if going.isEmpty():
+            drop(spark, asked_at)
+            return beam
+        # at most ``expand`` lists of ``k`` a query
         reached = (
-            front.join(near, "via")
-            .select("node", F.explode("next").alias("y"))
+            going.select("node", "ids", F.explode("front").alias("via"))
+            .join(near, "via")
+            .groupBy("node")
+            .agg(F.first("ids").alias("ids"), F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+            .select("node", F.explode(F.array_except("next", "ids")).alias("y"))
             .filter("node != y")
-            .distinct()
-            .join(beam.select("node", F.inline(F.arrays_zip("ids")).alias("y")), ["node", "y"], "left_anti")
-        )
-        scored = (
-            reached.join(asking, "node")
-            .join(target, "y")
-            .select("node", "y", "q_code", "q_scale", "code", "scale")
-            .mapInArrow(compare, LISTS)
         )
-        done = beam.withColumn("old", F.transform("ids", lambda x: F.lit(True)))
+        scored = _sorted(
+            reached.join(target, "y").select("node", "y", "code", "scale").union(own), "node"
+        ).mapInArrow(compare, LISTS)
+        done = front.withColumn(
+            "old", F.transform(F.arrays_zip("ids", "old"), lambda x: x["old"] | F.array_contains("front", x["ids"]))
+        ).select("node", "ids", "sims", "old")
         merged, merged_at = store(_merge(done.union(scored), p.beam), "beam")
         drop(spark, at)
         beam, at = merged, merged_at
-    return beam
 
 
 def _usable(v: Column) -> Column:
