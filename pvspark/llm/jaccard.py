@@ -17,8 +17,9 @@ touch only that part of all shingles, whatever the size, and no result changes.
 4. A group of n documents is not expanded into its n^2/2 pairs: each round
    compares a group with one pivot and merges what links. Then documents that
    share a prefix shingle and are still in different components are all tested,
-   in blocks of bounded size, and what passes the filters is verified, so that
-   no link between components is missed.
+   in blocks of bounded size, each at its first shared shingle and with finer
+   ranges, and what passes the filters is verified, so that no link between
+   components is missed.
 
 Results: one row per input row with the set's size and the smallest id its links
 reach. Null and empty texts, and those without words, have no set and link with
@@ -39,6 +40,8 @@ from pvspark.llm.components import components
 from pvspark.llm.words import distinct, mix, shingles, word_hashes
 
 RANGES = 32
+FINE = 256  # ranges of the last test; a multiple of RANGES
+KNOWN = 64  # prefix shingles of a document that tell whether a pair has met before
 
 
 @dataclass(frozen=True)
@@ -72,16 +75,29 @@ def _sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _profile(values: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """Per set, how many members fall in each range of the hash space, modulo 256."""
+def _profile(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per set, how many members fall in each fine range of the hash space, modulo 256."""
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    slot = text * RANGES + (values >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
-    flat = np.bincount(slot, minlength=(len(at) - 1) * RANGES).astype(np.uint8)
-    return [row.tobytes() for row in flat.reshape(-1, RANGES)]
+    slot = text * FINE + (values >> np.uint64(64 - FINE.bit_length() + 1)).astype(np.int64)
+    return np.bincount(slot, minlength=(len(at) - 1) * FINE).astype(np.uint8).reshape(-1, FINE)
+
+
+def _coarse(fine: np.ndarray) -> np.ndarray:
+    return fine.reshape(-1, RANGES, FINE // RANGES).sum(axis=2, dtype=np.uint8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in rows], pa.binary())
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least size of the symmetric difference of sets with these profiles."""
+    off = x - y  # wraps, so the smaller way round is a lower bound
+    return np.minimum(off, -off).sum(axis=-1, dtype=np.int64)
 
 
 def _base(docs: DataFrame, p: Params) -> DataFrame:
-    """Per row: size, set signature, profile, shingles of the universe, further prefix shingles."""
+    """Per row: size, set signature, profiles, shingles of the universe, further prefix shingles."""
     share = min(1.0, p.universe * (1 - p.num / p.den))
     bound = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
     kind = dict(docs.dtypes)["doc_id"]
@@ -100,6 +116,7 @@ def _base(docs: DataFrame, p: Params) -> DataFrame:
                 more = ~inside & (place < np.repeat(further, n))
                 more_at = np.concatenate([[0], np.cumsum(further)])
                 u_at = np.concatenate([[0], np.cumsum(u)])
+                fine = _profile(values, at)
                 mixed = mix(values ^ np.uint64(0xA0761D6478BD642F))
                 lists = lambda v, c: pa.ListArray.from_arrays(pa.array(c.astype(np.int32)), _long(v))
                 yield pa.RecordBatch.from_arrays(
@@ -110,11 +127,12 @@ def _base(docs: DataFrame, p: Params) -> DataFrame:
                         pa.array(prefix),
                         _long(_sum(mixed, at)),
                         _long(_sum(mix(mixed + np.uint64(1)), at)),
-                        pa.array(_profile(values, at), pa.binary()),
+                        _binary(_coarse(fine)),
+                        _binary(fine),
                         lists(values[inside], u_at),
                         lists(values[more], more_at),
                     ],
-                    ["doc_id", "hash", "n", "prefix", "s1", "s2", "profile", "counted", "further"],
+                    ["doc_id", "hash", "n", "prefix", "s1", "s2", "profile", "fine", "counted", "further"],
                 )
                 row += m
 
@@ -122,7 +140,7 @@ def _base(docs: DataFrame, p: Params) -> DataFrame:
     return chosen.mapInArrow(
         run,
         f"doc_id {kind}, hash long, n long, prefix long, s1 long, s2 long, profile binary, "
-        "counted array<long>, further array<long>",
+        "fine binary, counted array<long>, further array<long>",
     )
 
 
@@ -173,9 +191,7 @@ def _suffix_filter(pairs: DataFrame, p: Params) -> DataFrame:
             get = lambda name: batch.column(batch.schema.names.index(name))
             n = get("x_n").to_numpy() + get("y_n").to_numpy()
             side = lambda name: np.frombuffer(b"".join(get(name).to_pylist()), np.uint8).reshape(-1, RANGES)
-            off = side("x_profile") - side("y_profile")  # wraps, so the smaller way round is a lower bound
-            apart = np.minimum(off, -off).astype(np.int64).sum(axis=1)
-            ok = (n - apart) // 2 >= _ceil(p.num * n, p.den + p.num)
+            ok = (n - _apart(side("x_profile"), side("y_profile"))) // 2 >= _ceil(p.num * n, p.den + p.num)
             a, b = get("x_row").to_numpy()[ok], get("y_row").to_numpy()[ok]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
@@ -186,12 +202,18 @@ def _suffix_filter(pairs: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def _all_pairs(left: DataFrame, p: Params) -> DataFrame:
+def _all_pairs(left: DataFrame, fine: DataFrame, p: Params) -> DataFrame:
     """``a, b`` of all pairs in different components that share a prefix shingle and pass every filter.
 
     A shingle's documents are cut into chunks and each two chunks meet in one
-    block of bounded size, where pairs are tested without being listed.
+    block of bounded size, where pairs are tested without being listed. Each
+    document brings its first ``KNOWN`` shingles: a pair with a common one
+    before the block's own shingle is left to the block of that one. Pairs
+    that share none of these may come more than once.
     """
+    known = left.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("all"))
+    known = known.select("row", F.slice("all", 1, KNOWN)["h"].alias("known"))
+    left = left.drop("profile").join(known, "row").join(fine, "row")
     sizes = left.groupBy("h").agg(F.ceil(F.count("*") / F.lit(p.chunk)).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("row", "h"), F.col("chunks")).cast("int")
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
@@ -208,7 +230,8 @@ def _all_pairs(left: DataFrame, p: Params) -> DataFrame:
             "n",
             "pos",
             "comp",
-            "profile",
+            "known",
+            "fine",
         )
     )
     num, den = p.num, p.den
@@ -228,9 +251,13 @@ def _all_pairs(left: DataFrame, p: Params) -> DataFrame:
             ok = (rows["comp"][x] != rows["comp"][y]) & (rows["h"][x] == rows["h"][y])
             ok &= (den * least >= num * most) & (front + rest >= need)
             y, n, need = y[ok], n[ok], need[ok]
-            off = rows["profile"][y] - rows["profile"][x]
-            apart = np.minimum(off, -off).sum(axis=1, dtype=np.int64)
-            y = y[(n - apart) // 2 >= need]
+            for kind in ("coarse", "fine"):
+                ok = (n - _apart(rows[kind][y], rows[kind][x])) // 2 >= need
+                y, n, need = y[ok], n[ok], need[ok]
+            mine = rows["known"][x]
+            own = np.flatnonzero(mine == rows["h"][x])
+            before = mine[: own[0]] if len(own) else mine
+            y = y[~np.isin(rows["known"][y], before[before != 0]).any(axis=1)]
             found_a.append(np.full(len(y), rows["row"][x]))
             found_b.append(rows["row"][y])
         return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else None
@@ -241,8 +268,12 @@ def _all_pairs(left: DataFrame, p: Params) -> DataFrame:
             table = table.combine_chunks()
             block = table.column("block").to_numpy()
             columns = {c: table.column(c).to_numpy() for c in names}
-            profiles = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8)
-            columns["profile"] = profiles.reshape(-1, RANGES)
+            columns["fine"] = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+            columns["coarse"] = _coarse(columns["fine"])
+            lists = table.column("known").combine_chunks()
+            n = lists.value_lengths().to_numpy()
+            columns["known"] = np.zeros((len(n), KNOWN), np.int64)
+            columns["known"][np.arange(KNOWN) < n[:, None]] = lists.flatten().to_numpy()
             cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
             for s, e in zip(cut[:-1], cut[1:]):
                 pairs = meet({c: v[s:e] for c, v in columns.items()}) if e - s > 1 else None
@@ -322,13 +353,14 @@ def join_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     grouped, grouped_at = store(postings.join(met, "h"), "grouped")
     drop(docs.sparkSession, postings_at)
     rows = base.select("row", "doc_id", "hash")
-    links = tried = None
+    fine = base.select("row", "fine")
+    links = None
     left = grouped.withColumn("comp", F.col("row"))
     turn = 0
     while not left.isEmpty():
         exhaustive = turn >= p.pivot_rounds
         if exhaustive:
-            found = _all_pairs(left, p)
+            found = _all_pairs(left, fine, p)
         else:
             # another pivot each round; the first is the first row, the same for most shingles of a group
             order = F.col("row") if turn == 0 else F.xxhash64(F.lit(turn), "row")
@@ -337,19 +369,18 @@ def join_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
             pivots = pivots.select("h", *[F.col(f"v.{c}").alias(f"x_{c}") for c in left.columns if c != "h"])
             met = pivots.join(_side(left, "y"), "h").filter(F.col("x_row") != F.col("y_row"))
             found = _suffix_filter(met.filter((F.col("x_comp") != F.col("y_comp")) & _may_link(p)), p)
-        found = found.distinct()
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = store(found, "pairs")
+        # pairs that were tried and do not link may be tried again: a row of a pivot each at most
+        pairs, pairs_at = store(found.distinct(), "pairs")
         if not pairs.isEmpty():
             new = _verify(pairs, docs, rows, p)
             links = new if links is None else links.union(new)
-            tried = pairs if tried is None else tried.union(pairs)
             comp = _merged(links)
             left = grouped.join(comp, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
         if exhaustive:
+            drop(docs.sparkSession, pairs_at)
             break
         turn = p.pivot_rounds if pairs.isEmpty() else turn + 1
+        drop(docs.sparkSession, pairs_at)
         # a shingle whose documents are all in one component has nothing left to show
         mixed = left.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         left, _ = store(left.join(mixed.filter("lo != hi").select("h"), "h"), "left")

@@ -74,6 +74,15 @@ def test_equals_brute_force(spark, params):
     assert sorted(found, key=str) == brute(rows, params)
 
 
+@pytest.mark.parametrize("known", [1, 2])
+def test_pairs_beyond_the_known_shingles(spark, monkeypatch, known):
+    """What a document brings of its prefix decides how often a pair comes, not whether it comes."""
+    monkeypatch.setattr(jaccard, "KNOWN", known)
+    params = jaccard.Params(words=2, num=1, den=2, pivot_rounds=0)
+    found = jaccard.join(spark.createDataFrame(corpus(), "doc_id long, text string"), params).collect()
+    assert sorted(map(tuple, found), key=str) == brute(corpus(), params)
+
+
 def test_one_of_each_group_stays(spark, docs, no_docs):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
