@@ -38,6 +38,7 @@ from pvspark.llm.common import pieces
 UND = "und"
 CROPS = (4, 8, 16, 64, 256, 1024)
 CLASSES = 16
+SCORED = 1 << 18  # bytes of text scored at once
 
 
 @dataclass(frozen=True)
@@ -252,7 +253,7 @@ def score(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
     """Index of the language of each text (-1: none), its calibrated probability, and whether it is accepted."""
     n = len(model.languages)
     best, sure, accepted = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
-    for row, data, at in pieces(texts):
+    for row, data, at in pieces(texts, SCORED):
         if not n or not len(data):
             continue
         m = len(at) - 1
@@ -304,11 +305,8 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows and columns of ``docs`` whose language is accepted."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
 
-    @F.pandas_udf("boolean")
-    def accepted(texts):
-        import pandas as pd
-
-        m = Model(*sent.value)
-        return pd.Series(score(pa.array(texts, pa.string()), m)[2])
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        return pa.array(score(texts, Model(*sent.value))[2])
 
     return docs.filter(accepted(F.col("text")))
