@@ -13,8 +13,8 @@ The index is dealt to blocks of words twice. First a posting carries only its
 norm left, the norms of hashed word groups (Cauchy-Schwarz) and the first words
 of its prefix; it is kept if any other posting of its word may be similar by
 these bounds and they share none of those words before. Then the bags
-with kept postings go once, with their whole vectors, to those blocks. There
-each pair that passes the bounds gets its integer dot product, and counts only
+with kept postings go once to those blocks, and a task reads their whole vectors
+from the files where they stand, written once. There each pair that passes the bounds gets its integer dot product, and counts only
 at its first common word. So a pair comes up once, and no list of candidate
 pairs is ever stored or joined: what moves grows with postings, not with pairs.
 A word that holds more than a block is a block of its own, cut into parts, and
@@ -37,7 +37,8 @@ from pvspark.functions.stats import EXACT_SIMILARITY
 from pvspark.operators.duplicates import NearDuplicates, own_summary, summary_of_links
 from pvspark.operators.ranking import global_rank
 from pvspark.operators.similarity import DEFAULT_THRESHOLD, SUMMARY, _small, _summary_rows
-from pvspark.session import discard, materialize
+from pvspark.session import discard, materialize, release
+from pvspark.sources.blocks import read_pieces, write_pieces
 
 BLOCK_BYTES = 16 << 20  # packed vectors of one block
 SHARED_WORDS = 500_000  # words, and
@@ -228,7 +229,7 @@ def _postings(vectors: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     meet two by two; ``part`` is the part a posting is in.
     """
     cells = F.arrays_zip(F.col("prefix").alias("rank"), F.col("lefts").alias("left"))
-    postings = vectors.select("gid", "norms", "heads", F.octet_length("vector").alias("bytes"), F.inline(cells))
+    postings = vectors.select("gid", "norms", "heads", "bytes", F.inline(cells))
     postings = postings.toDF("gid", "norms", "heads", "bytes", "rank", "left")
     lists = materialize(postings.groupBy("rank").agg(F.sum("bytes").alias("bytes")), "lists")
     total, heaviest = lists.agg(F.sum("bytes"), F.max("bytes")).first()
@@ -349,9 +350,8 @@ class _Block:
 
     def __init__(self, table: pa.Table, threshold: float):
         self.threshold = threshold
-        vectors = table.column("vector").combine_chunks()
-        cells = np.frombuffer(b"".join(vectors.to_pylist()), "<u4").reshape(-1, 2)
-        self.at = np.concatenate([[0], np.cumsum(pc.binary_length(vectors).to_numpy() // 8)]).astype(np.int64)
+        cells = np.frombuffer(b"".join(read_pieces(table)), "<u4").reshape(-1, 2)
+        self.at = np.concatenate([[0], np.cumsum(table.column("bytes").to_numpy() // 8)]).astype(np.int64)
         self.rank, self.n = cells[:, 0].astype(np.int64), cells[:, 1].astype(np.int64)
         self.len2 = table.column("len2").to_numpy()
         self.row = np.repeat(np.arange(len(table)), np.diff(self.at))
@@ -424,25 +424,29 @@ def _kernel(threshold: float, blocks: int, summary: bool):
 class BagDuplicates(NearDuplicates):
     """Near-duplicates whose vectors are bags; pairs come from the index, not from blocks of dense vectors."""
 
-    vectors: DataFrame | None = None  # of packed_vectors
+    vectors: DataFrame | None = None  # of packed_vectors, with the places of the vectors
     block_bytes: int = BLOCK_BYTES
 
     @cached_property
     def _sent(self) -> tuple[DataFrame, int]:
-        """Vectors at the blocks where they may have a partner, and the number of blocks."""
+        """Places of the vectors at the blocks where they may have a partner, and the number of blocks."""
         postings, blocks = _postings(self.vectors, self.block_bytes)
         kept = postings.groupBy(*_KEY).applyInArrow(
             _kept(self.threshold), "gid binary, block int, part_a int, part_b int, part int"
         )
-        # a bag's places are a short list: its vector is joined once, not word by word
+        # a bag's blocks are a short list: it is joined once, not word by word
         places = kept.groupBy("gid").agg(F.collect_list(F.struct("block", *_PARTS)).alias("places"))
-        carried = ["gid", "copies", "len2", "vector", "norms"]
-        sent = self.vectors.select(*carried).join(materialize(places, "places"), "gid")
+        places = materialize(places, "places")
+        release(places.sparkSession)
+        carried = ["gid", "copies", "len2", "norms", "file", "at", "bytes"]
+        sent = self.vectors.select(*carried).join(places, "gid")
         return sent.select(F.inline("places"), *carried), blocks
 
     def _similar(self, summary: bool) -> DataFrame:
         sent, blocks = self._sent
         schema = SUMMARY if summary else "gid_a binary, gid_b binary, similarity double"
+        # small rows stand for much work: tasks are not to be merged by their bytes
+        sent = sent.repartition(blocks, *_KEY)
         return sent.groupBy(*_KEY).applyInArrow(_kernel(self.threshold, blocks, summary), schema)
 
     def _inside(self) -> DataFrame:
@@ -481,12 +485,14 @@ def bag_duplicates(
     first = [F.first(c).alias(c) for c in ("len2", "bag_words", "ns")]
     groups = bags.filter(F.col("len2") > 0).groupBy("gid").agg(F.count("*").alias("copies"), *first)
     counted = materialize(groups, "distinct-bags", **wide)
-    vectors = materialize(packed_vectors(counted, threshold), "bag-vectors", **wide)
+    release(counted.sparkSession)
+    vectors = write_pieces(packed_vectors(counted, threshold), "vector", "bag-vectors")
     sizes = counted.select(
         zero.alias("side"), "gid", "copies", F.array(zero).alias("ords"), F.array("copies").alias("ns")
     )
     sizes = materialize(sizes, "bag-sizes")
     discard(bags, counted)  # what follows reads the narrow tables and the packed vectors
+    release(docs.sparkSession)
     return BagDuplicates(
         members=members,
         groups=sizes,

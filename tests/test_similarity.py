@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pvspark.operators import bag_similarity, duplicates, similarity
 from pvspark.operators.bag_similarity import bag_duplicates
+from pvspark.sources import blocks
 
 
 def frame(spark, matrix, names=None):
@@ -256,3 +257,18 @@ def test_report_of_two_sets_from_links(spark, clustered):
     listed.links
     assert listed.report().first() == direct.report().first()
     assert direct.report().first().duplicate_pairs > 0
+
+
+def test_bag_vectors_are_stored_once(spark, monkeypatch):
+    """What goes to the blocks are places; a place gives back its value, whatever its size and order."""
+    monkeypatch.setattr(blocks, "PIECE_GAP", 3)
+    rows = [(i, bytes([i]) * (i * 7 % 5)) for i in range(40)] + [(40, None)]
+    stored = blocks.write_pieces(spark.createDataFrame(rows, "i int, v binary").repartition(3), "v", "pieces")
+    places = stored.orderBy((stored.i * 17) % 41).toArrow()
+    assert places.column_names == ["i", "file", "at", "bytes"]
+    assert blocks.read_pieces(places) == [rows[i][1] or b"" for i in places.column("i").to_pylist()]
+    assert blocks.write_pieces(spark.createDataFrame([], "i int, v binary"), "v", "pieces").count() == 0
+    docs = [(f"d{i}", [f"w{i % 9}", "x", "y", "z", f"v{i % 4}"]) for i in range(90)]
+    found = bag_duplicates(spark.createDataFrame(docs, "tag string, words array<string>"), 0.75)
+    assert all(kind != "binary" or c in ("gid", "norms") for c, kind in found._sent[0].dtypes)
+    assert found.pairs().count() > 0
