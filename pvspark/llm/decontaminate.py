@@ -13,8 +13,9 @@ consecutive item words (all of a shorter item) of which a share ``least`` stand
 at the same shifted places of the document.
 
 Items of fewer than ``sure`` words act only if they are rare: the matches to be
-expected by chance in all documents, were their words drawn one by one with the
-frequencies counted there, must be at most ``chance``. ``unsearchable`` lists
+expected by chance in ``span`` words, were these drawn one by one with the
+frequencies counted in the documents, must be at most ``chance``. This is a rate:
+an item that acts on a table acts on any number of copies of it as well. ``unsearchable`` lists
 the other ones ("yes", "of the"); nothing is dropped for them.
 
 Results: ``leaks`` gives one row per document row-value and item that verify,
@@ -41,6 +42,7 @@ class Params:
     least: float = 0.8
     sure: int = 10
     chance: float = 0.01
+    span: int = 20_000  # words of a long document
     broadcast_rows: int = 200_000  # of about 40 bytes each
 
 
@@ -107,7 +109,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def unsearchable(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """``item_id, text, expected``: items of under ``sure`` words that ordinary text may hold by chance."""
+    """``item_id, text, expected``: items of under ``sure`` words that ordinary text may hold by chance.
+
+    ``expected`` counts matches in ``span`` words. A word that no document holds matches nothing.
+    """
     items = _items(benchmark).withColumn("w", words(F.col("text")))
     short = items.filter((F.size("w") > 0) & (F.size("w") < p.sure))
     vocabulary = short.select(F.explode("w").alias("word")).distinct()
@@ -120,7 +125,7 @@ def unsearchable(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
         .agg(F.count("*").alias("c"))
     )
     total = texts.agg(F.sum(F.size("d"))).first()[0] or 0
-    share = (F.coalesce("c", F.lit(0)) + 1) / F.lit(total + 1.0)
+    share = F.coalesce("c", F.lit(0)) / F.lit(max(total, 1) * 1.0)
     size, ways = F.size("shares"), F.lit(1.0)
     needed = {n: math.ceil(n * p.least) for n in range(1, p.sure)}
     kept = F.lit(0)
@@ -134,7 +139,7 @@ def unsearchable(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) ->
         .join(counts, "word", "left")
         .groupBy("item_id", "text")
         .agg(F.collect_list(share).alias("shares"))
-        .select("item_id", "text", (product * ways * (total + 1.0)).alias("expected"))
+        .select("item_id", "text", (product * ways * float(p.span)).alias("expected"))
         .filter(F.col("expected") > p.chance)
     )
 

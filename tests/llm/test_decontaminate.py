@@ -158,3 +158,20 @@ def brute_all(rows, items):
 def test_one_common_word_removes_nothing(spark):
     docs = spark.createDataFrame([(i, f"yes this is text {i}") for i in range(50)], "doc_id long, text string")
     assert D.keep_clean(docs, spark.createDataFrame([(1, "yes")], "item_id long, text string")).count() == 50
+
+
+def test_more_copies_of_the_documents_change_nothing(spark):
+    """A short item acts or not by the rate of its words, not by how many documents there are."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(make(rng, 40) + (["of", "quetzal", "kea"] if i == 0 else ["of"]))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, "quetzal kea"), (2, "of"), (3, rows[7][1].split()[0]), (4, "unheard")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    many = docs.crossJoin(spark.range(200).select(F.col("id").alias("copy")))
+    many = many.select((F.col("doc_id") + F.col("copy") * 1000).alias("doc_id"), "text")
+    of = lambda df: {(r.doc_id, r.item_id) for r in D.leaks(df, benchmark).select("doc_id", "item_id").collect()}
+    left = lambda df: {r.item_id for r in D.unsearchable(df, benchmark).collect()}
+    one = of(docs)
+    assert one == {(0, 1)} and left(docs) == {2, 3}
+    assert left(many) == left(docs)
+    assert of(many) == {(i + c * 1000, j) for i, j in one for c in range(200)}
