@@ -205,12 +205,17 @@ def _load_pair(a: pa.Table, b: pa.Table | None):
     return table, unit, left, right
 
 
+def _sides(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both blocks' rows of a pair's array, not copied."""
+    return rows[: len(left)], rows[len(rows) - len(right) :]
+
+
 def _tiles(a: np.ndarray, b: np.ndarray, same: bool, floor: float):
     """Float32 products tile by tile, where any entry reaches ``floor``."""
-    a32, b32 = a.astype(np.float32), b.astype(np.float32)
     for i0 in range(0, len(a), _TILE):
+        rows = a[i0 : i0 + _TILE].astype(np.float32)
         for j0 in range(i0 if same else 0, len(b), _TILE):
-            rough = a32[i0 : i0 + _TILE] @ b32[j0 : j0 + _TILE].T
+            rough = rows @ b[j0 : j0 + _TILE].astype(np.float32).T
             if same and i0 == j0:
                 rough[np.tril_indices(len(rough))] = -2.0
             if rough.size and rough.max() >= floor:
@@ -242,7 +247,7 @@ def _pair_kernel(threshold: float, dims: int):
     def kernel(block_a: pa.Table, block_b: pa.Table | None) -> Iterator[pa.RecordBatch]:
         table, unit, left, right = _load_pair(block_a, block_b)
         gid = np.array(table.column("gid").to_pylist(), dtype=object)
-        a, b, gid_a, gid_b = unit[left], unit[right], gid[left], gid[right]
+        (a, b), (gid_a, gid_b) = _sides(unit, left, right), _sides(gid, left, right)
         for i0, j0, rough in _tiles(a, b, block_b is None, floor):
             i, j = np.nonzero(rough >= floor)
             i, j = i + i0, j + j0
@@ -276,13 +281,13 @@ def _summary_kernel(threshold: float, dims: int):
 
     def kernel(block_a: pa.Table, block_b: pa.Table | None) -> Iterator[pa.RecordBatch]:
         table, unit, left, right = _load_pair(block_a, block_b)
-        a, b = unit[left], unit[right]
+        a, b = _sides(unit, left, right)
         ords = table.column("ords").combine_chunks()
         owner = np.repeat(np.arange(len(ords)), pc.list_value_length(ords).to_numpy())
         versions, column = np.unique(ords.flatten().to_numpy(), return_inverse=True)
         counts = np.zeros((len(unit), len(versions)))
         counts[owner, column] = table.column("ns").combine_chunks().flatten().to_numpy()
-        count_a, count_b = counts[left], counts[right]
+        count_a, count_b = _sides(counts, left, right)
         follows = np.concatenate([[False], np.diff(versions) == 1])
         seen_a, seen_b = np.zeros(count_a.shape, bool), np.zeros(count_b.shape, bool)
         sums = np.zeros((5, len(versions)))

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +275,18 @@ def test_bag_vectors_are_stored_once(spark, monkeypatch):
     found = bag_duplicates(spark.createDataFrame(docs, "tag string, words array<string>"), 0.75)
     assert all(kind != "binary" or c in ("gid", "norms") for c, kind in found._sent[0].dtypes)
     assert found.pairs().count() > 0
+
+
+def test_a_block_pair_copies_no_block(monkeypatch):
+    """Besides the blocks themselves a task holds tiles only."""
+    monkeypatch.setattr(similarity, "_TILE", 256)
+    unit = np.random.default_rng(0).standard_normal((8192, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    block = pa.table({"gid": pa.array([b"%d" % i for i in range(8192)]), "unit": pa.array([u.tobytes() for u in unit])})
+    kernel = similarity._pair_kernel(0.99, 64)
+    for other in (None, block):
+        tracemalloc.start()
+        found = sum(batch.num_rows for batch in kernel(block, other))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == (8192 if other else 0) and peak < unit.nbytes
