@@ -102,3 +102,29 @@ def test_scores_do_not_depend_on_how_the_filter_is_cut(docs):
         assert len(found) == len(wanted)
         for a, b in zip(found, wanted):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3 * a[1])
+
+
+def test_grams_are_moved_once(docs, monkeypatch):
+    """Counts fill the filter where they lie, and what is looked up is not written as a table."""
+    stored = {}
+
+    def store(df, name, real=lm.store):
+        stored[name] = df.columns, df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(lm, "store", store)
+    model, rare = lm.train(docs, F.lit(True))
+    assert lm.score(docs, model, rare).count() == docs.count()
+    assert "Exchange" not in stored["gram-filter"][1]
+    assert not [name for name, (columns, _) in stored.items() if "grams" in columns]
+
+
+def test_scores_do_not_depend_on_the_number_of_buckets(docs):
+    found = []
+    for size in (1 << 24, 300):
+        p = lm.Params(min_bits=1 << 12, bits_per_entry=64, probes=6, gather=2000, bucket_bytes=size)
+        model, rare = lm.train(docs, F.lit(True), p)
+        assert (model.parts > 1) == (size == 300)
+        found.append(sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs, model, rare, p).collect()))
+    for a, b in zip(*found, strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-3 * a[1])
