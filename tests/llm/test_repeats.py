@@ -64,3 +64,21 @@ def test_long_text_in_sections(spark, monkeypatch):
 
 def test_no_rows(no_docs):
     assert repeats.remove_repeats(no_docs).count() == 0
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abcd") for _ in range(60))) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1][:50] + "xy") for i in range(20)] + [(None, rows[7][1]), (7, rows[7][1])]
+    texts = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, hash long")
+    wanted = texts.filter("doc_id < 10 or doc_id is null").selectExpr("doc_id as w_id", "hash as w_hash")
+    marked = repeats._marked(texts, wanted, "w_id", "w_hash", repeats.Params()).collect()
+    assert len(marked) == len(rows)
+    assert all(r.among for r in marked if r.doc_id is None or r.doc_id < 10)
+    assert sum(r.among for r in marked) < 100
+    tight = repeats.Params(length=40, block=8, broadcast_rows=0, filter_bits=64)
+    for p in (repeats.Params(length=40, block=8, broadcast_rows=0), tight):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = repeats.remove_repeats(df, p)
+        assert Counter((r.doc_id, r.n_bytes, len(r.removed), bytes(r.kept)) for r in out.collect()) == brute(rows, 40)
+        assert "among" in out._jdf.queryExecution().analyzed().toString()
