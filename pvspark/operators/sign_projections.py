@@ -9,8 +9,9 @@ equal. ``choose_bands`` finds the fewest bands for which a pair exactly at the
 threshold meets with the probability wanted; closer pairs meet more surely.
 
 Vectors of equal key are a bucket. A bucket above ``bucket_rows`` is cut into
-parts by hash and each two parts meet in a task of their own, so a hot bucket is
-many tasks and nothing is capped. A pair counts in the first band where its keys
+parts by hash and each two parts meet, so a hot bucket is many pieces of work and
+nothing is capped. Vectors are written once and so are the lists of the parts; what
+is dealt to tasks is where two lists are, so no vector is shuffled to its buckets. A pair counts in the first band where its keys
 are equal, so it comes up once and candidates are neither listed nor made
 distinct afterwards.
 """
@@ -22,15 +23,20 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.operators.duplicates import NearDuplicates, near_duplicates, summary_of_links
 from pvspark.operators.similarity import DEFAULT_THRESHOLD, _exact, _from_bytes, _margin, _small, _tiles
 from pvspark.session import materialize
+from pvspark.sources.blocks import read_pieces, write_pieces
 
 BUCKET_ROWS = 2048
-_BUCKET = ["band", "key", "part_a", "part_b"]
+HELD = 16 << 20  # bytes of vectors that a task reads at once, or one pair of parts
+PARTS_PER_TASK = 64
+MOST_TASKS = 4096
+_PLACE = 24  # bytes of a vector in the list of its part
 
 
 def meeting_probability(cosine: float, rows: int, bands: int) -> float:
@@ -77,57 +83,120 @@ def with_keys(vectors: DataFrame, rows: int, bands: int, seed: int) -> DataFrame
     return vectors.mapInArrow(project, f"{kinds}, keys array<long>")
 
 
-def _sent(keyed: DataFrame, bucket_rows: int, cross: bool) -> DataFrame:
-    """Vectors at their buckets: ``band, key, part_a, part_b, part``; buckets of one vector are left out."""
-    cells = keyed.select("side", "gid", F.posexplode("keys").alias("band", "key"))
+def _packed(keyed: DataFrame) -> DataFrame:
+    """``side, gid, keys`` and ``packed``: the digest, the vector and the keys as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, n = keys.flatten().to_numpy(), len(keys)
+            rows = flat.reshape(n, -1) if n else flat
+            packed = [g + u + k.tobytes() for g, u, k in zip(batch.column("gid").to_pylist(), batch.column("unit").to_pylist(), rows)]
+            columns = [batch.column(c) for c in ("side", "gid", "keys")] + [pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["side", "gid", "keys", "packed"])
+
+    rows = keyed.select("side", "gid", "unit", "keys")
+    return rows.mapInArrow(run, "side int, gid binary, keys array<long>, packed binary")
+
+
+def _parts(vectors: DataFrame, names: list[str], bucket_rows: int, cross: bool) -> DataFrame:
+    """Stored ``band, key, part, file, at, bytes``: where the list of a part's vectors is.
+
+    A list has file, place and side of each vector; buckets of one vector are left out.
+    """
+    spark = vectors.sparkSession
+    numbered = spark.createDataFrame(list(enumerate(names)), "number int, file string")
+    cells = vectors.join(_small(numbered), "file").select("side", "gid", "number", "at", F.posexplode("keys").alias("band", "key"))
     sizes = cells.groupBy("band", "key").agg(F.count("*").alias("n"), F.count_distinct("side").alias("sides"))
     met = F.col("sides") > 1 if cross else F.col("n") > 1
     parts = F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")
     buckets = materialize(sizes.filter(met).select("band", "key", parts.alias("parts")), "sign-buckets")
     part = F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")
-    placed = (
-        cells.join(_small(buckets), ["band", "key"])
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "side", "gid", "band", "key", F.least("part", "other").alias("part_a"),
-            F.greatest("part", "other").alias("part_b"), "part",
-        )
-    )
-    places = placed.groupBy("side", "gid").agg(F.collect_list(F.struct(*_BUCKET, "part")).alias("places"))
-    carried = ["side", "gid", "unit", "keys"]
-    return keyed.select(*carried).join(places, ["side", "gid"]).select(F.inline("places"), *carried)
-
-
-def _kernel(threshold: float, bands: int, cross: bool):
-    """Pairs of one bucket, or of two parts of it, that meet in no earlier band."""
+    placed = cells.join(_small(buckets), ["band", "key"]).select("band", "key", part.alias("part"), "number", "at", "side")
+    at = F.struct(F.col("number").cast("long").alias("number"), "at", F.col("side").cast("long").alias("side"))
+    lists = placed.groupBy("band", "key", "part").agg(F.collect_list(at).alias("list"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("list")
+            flat = lists.flatten()
+            rows = np.stack([flat.field(c).to_numpy() for c in ("number", "at", "side")], axis=1).astype(np.int64)
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            packed = pa.array([x.tobytes() for x in np.split(rows, ends)[: len(ends)]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["band", "key", "part", "list"])
+
+    return write_pieces(lists.mapInArrow(pack, "band int, key long, part int, list binary"), "list", "sign-parts")
+
+
+def _meet(unit, keys, side, gid, part, band: int, threshold: float, cross: bool):
+    """Pairs of one bucket, or of two parts of it (``part`` 0 and 1), that meet in no earlier band."""
+    two = bool(part.any())
+    if cross:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    elif two:
+        left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+    else:
+        left = right = np.arange(len(unit))
+    floor = threshold - _margin(unit.shape[1])
+    for i0, j0, rough in _tiles(unit[left], unit[right], left is right, floor):
+        i, j = np.nonzero(rough >= floor)
+        x, y = left[i + i0], right[j + j0]
+        if cross and two:  # equal parts meet by themselves
+            x, y = x[part[x] != part[y]], y[part[x] != part[y]]
+        new = ~(keys[x, :band] == keys[y, :band]).any(axis=1)
+        x, y = x[new], y[new]
+        cosine = _exact(unit, unit, x, y)
+        hit = cosine >= threshold
+        columns = [gid.take(pa.array(x[hit])), gid.take(pa.array(y[hit])), pa.array(cosine[hit])]
+        yield pa.RecordBatch.from_arrays(columns, names=["gid_a", "gid_b", "similarity"])
+
+
+def _met(parts: DataFrame, names: list[str], bytes_each: int, threshold: float, bands: int, cross: bool) -> DataFrame:
+    """``gid_a, gid_b, similarity`` of all pairs of parts; a task reads lists and vectors by itself."""
+    refs = ["file", "at", "bytes"]
+    end = lambda s: parts.select("band", "key", F.col("part").alias(f"part_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in refs])
+    pairs = end("a").join(end("b"), ["band", "key"]).filter("part_a <= part_b")
+    pairs = pairs.select("band", "part_a", "part_b", *[f"{c}_{s}" for s in "ab" for c in refs]).repartition(
+        max(2 * parts.sparkSession.sparkContext.defaultParallelism, _tasks(parts)), "band", "file_a", "at_a", "part_b"
+    )
+
+    def few(table: pa.Table) -> Iterator[pa.Table]:
+        """Rows whose vectors fit in ``HELD`` bytes, one at least."""
+        size = (table.column("bytes_a").to_numpy() + table.column("bytes_b").to_numpy()) // _PLACE * bytes_each
+        ends, first = np.cumsum(size), 0
+        while first < len(size):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - size[first] + HELD, "right")))
+            yield table.slice(first, last - first)
+            first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        band, part_a, part_b = (table.column(c)[0].as_py() for c in ("band", "part_a", "part_b"))
-        unit, side = _from_bytes(table.column("unit")), table.column("side").to_numpy()
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(table), bands)
-        gid, part = table.column("gid").combine_chunks(), table.column("part").to_numpy()
-        if cross:
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        elif part_a != part_b:
-            left, right = np.flatnonzero(part == part_a), np.flatnonzero(part == part_b)
-        else:
-            left = right = np.arange(len(table))
-        floor = threshold - _margin(unit.shape[1])
-        for i0, j0, rough in _tiles(unit[left], unit[right], left is right, floor):
-            i, j = np.nonzero(rough >= floor)
-            x, y = left[i + i0], right[j + j0]
-            if cross and part_a != part_b:  # equal parts meet in a task of their own
-                x, y = x[part[x] != part[y]], y[part[x] != part[y]]
-            new = ~(keys[x, :band] == keys[y, :band]).any(axis=1)
-            x, y = x[new], y[new]
-            cosine = _exact(unit, unit, x, y)
-            hit = cosine >= threshold
-            columns = [gid.take(pa.array(x[hit])), gid.take(pa.array(y[hit])), pa.array(cosine[hit])]
-            yield pa.RecordBatch.from_arrays(columns, names=["gid_a", "gid_b", "similarity"])
-
-    return run
+        for batch in batches:
+            for rows in few(pa.Table.from_batches([batch])):
+                both = [rows.select([f"{c}_{s}" for c in refs]).rename_columns(refs) for s in "ab"]
+                lists = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in read_pieces(pa.concat_tables(both))]
+                places, of = np.unique(np.concatenate(lists), axis=0, return_inverse=True)
+                files = pa.DictionaryArray.from_arrays(pa.array(places[:, 0].astype(np.int32)), pa.array(names)).cast(pa.string())
+                found = read_pieces(pa.table([files, pa.array(places[:, 1]), pa.array(np.full(len(places), bytes_each))], refs))
+                data = np.frombuffer(b"".join(found), np.uint8).reshape(len(places), bytes_each)
+                gids = pa.array([x[:16] for x in found], pa.binary())
+                unit = np.ascontiguousarray(data[:, 16 : bytes_each - 8 * bands]).view(np.float64)
+                keys = np.ascontiguousarray(data[:, bytes_each - 8 * bands :]).view(np.int64)
+                ends = np.cumsum([0, *(len(x) for x in lists)])
+                at = [of.ravel()[a:e] for a, e in zip(ends[:-1], ends[1:])]
+                band, same = rows.column("band").to_pylist(), pa.compute.equal(rows.column("part_a"), rows.column("part_b")).to_pylist()
+                for k in range(len(rows)):
+                    own = at[k] if same[k] else np.concatenate([at[k], at[len(rows) + k]])
+                    part = (np.arange(len(own)) >= len(at[k])).astype(np.int8)
+                    yield from _meet(unit[own], keys[own], places[own, 2], gids.take(pa.array(own)), part, band[k], threshold, cross)
+
+    return pairs.mapInArrow(run, "gid_a binary, gid_b binary, similarity double")
+
+
+def _tasks(parts: DataFrame) -> int:
+    """A task for ``PARTS_PER_TASK`` pairs of parts, up to ``MOST_TASKS``."""
+    per = parts.groupBy("band", "key").agg(F.count("*").alias("n"))
+    pairs = per.agg(F.sum(F.expr("n * (n + 1) div 2"))).first()[0] or 0
+    return min(MOST_TASKS, -(-int(pairs) // PARTS_PER_TASK))
 
 
 @dataclass
@@ -155,11 +224,14 @@ class ApproximateDuplicates(NearDuplicates):
         rows, bands = self.shape
         # a zero vector is similar to nothing
         some = self.groups.filter(F.col("self_sim") > 0).select("side", "gid", "unit")
-        keyed = materialize(with_keys(some, rows, bands, self.seed), "sign-keys")
-        found = _sent(keyed, self.bucket_rows, self.cross).groupBy(*_BUCKET).applyInArrow(
-            _kernel(self.threshold, bands, self.cross), "gid_a binary, gid_b binary, similarity double"
-        )
+        vectors = write_pieces(_packed(with_keys(some, rows, bands, self.seed)), "packed", "sign-vectors")
+        each = vectors.select("bytes").first()  # all vectors have as many components
+        names = [r["file"] for r in vectors.select("file").distinct().collect()]  # one a task
         own = self._own().select(F.col("gid").alias("gid_a"), F.col("gid").alias("gid_b"), "self_sim")
+        if each is None:
+            return materialize(own.withColumnRenamed("self_sim", "similarity"), "links")
+        parts = _parts(vectors, names, self.bucket_rows, self.cross)
+        found = _met(parts, names, each["bytes"], self.threshold, bands, self.cross)
         return materialize(found.unionAll(own), "links")
 
     @cached_property

@@ -64,3 +64,19 @@ def test_bands_reach_the_recall():
             assert rows == 1 or bands <= 64
     assert choose_bands(0.99, 10**6)[0] > choose_bands(0.8, 10**6)[0]
     assert sign_projections.meeting_probability(1.0, 20, 1) == 1
+
+
+def test_vectors_are_not_shuffled_to_their_buckets(spark, monkeypatch):
+    plans = {}
+
+    def materialize(df, name, *a, real=sign_projections.materialize, **kw):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, name, *a, **kw)
+
+    monkeypatch.setattr(sign_projections, "materialize", materialize)
+    m = near_copies(30, 8, 4, 0.2, 3)
+    found = approximate_duplicates(frame(spark, m), 0.9, rows=2, bands=12)
+    found.bucket_rows = 16
+    assert indexed(found.pairs().collect()) <= brute_self(m, 0.9)
+    lines = [x for plan in plans.values() for x in plan.splitlines() if "Relation" not in x]
+    assert not any("unit#" in x for x in lines)
