@@ -304,31 +304,20 @@ def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, p: Params) -> Da
         for batch in batches:
             row = 0
             for values, at in _sets(batch.column(1), p.words):
-                found = [values[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
-                rows = batch.column(0).slice(row, len(found))
-                yield pa.RecordBatch.from_arrays([rows, pa.array(found, pa.binary())], ["row", "set"])
+                found = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), _long(values))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(found)), found], ["row", "set"])
                 row += len(found)
 
-    sets, sets_at = store(texts.select("row", "text").mapInArrow(members, "row long, set binary"), "sets")
-
-    def compare(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(p.den * both >= p.num * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"]
-            )
+    sets, sets_at = store(texts.select("row", "text").mapInArrow(members, "row long, set array<long>"), "sets")
 
+    # two sets a pair would make large Arrow batches, so they are compared where they are joined
+    both = F.size(F.array_intersect("x", "y"))
     joined = (
         pairs.join(sets.withColumnsRenamed({"row": "a", "set": "x"}), "a")
         .join(sets.withColumnsRenamed({"row": "b", "set": "y"}), "b")
-        .select("a", "b", "x", "y")
+        .filter(F.lit(p.den) * both >= F.lit(p.num) * (F.size("x") + F.size("y") - both))
     )
-    links, _ = store(joined.mapInArrow(compare, "a long, b long").distinct(), "links")
+    links, _ = store(joined.select("a", "b").distinct(), "links")
     drop(docs.sparkSession, wanted_at, sets_at)
     return links
 

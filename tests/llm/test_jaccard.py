@@ -99,3 +99,17 @@ def test_components_of_paths_and_loops(spark):
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
     label = {r.node: r.label for r in found}
     assert len({label[k] for k in range(21)}) == 1 and label[30] == label[31] and 40 not in label
+
+
+def test_sets_of_a_pair_are_not_sent_to_python(spark, docs, monkeypatch):
+    """Both whole sets of 10,000 pairs were one Arrow batch."""
+    plans = []
+
+    def store(df, name, real=jaccard.store):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "store", store)
+    assert jaccard.join(docs, jaccard.Params(words=2, num=1, den=2)).count() == docs.count()
+    assert plans and not any("MapInArrow" in p for p in plans)

@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,17 @@ def test_run(spark, tables):
 def test_registered_query_runs_on_the_smallest_tables(spark, query):
     out = query(spark, SF)
     assert out.count() > 0
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """Ten thousand texts were one batch, whatever their length."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "one two three four five six", "en", "s", 27)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        corpus_pipeline.near_duplicates(spark, docs, "")
+        long = spark.range(60).select(F.expr("repeat('x', 1000000)").alias("text"))
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+        assert max(r.n for r in long.coalesce(1).mapInArrow(sizes, "n long").collect()) <= 6_000_000
+    finally:
+        spark.conf.set(key, before)
