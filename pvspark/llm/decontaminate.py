@@ -28,6 +28,7 @@ Extra columns are ignored.
 import math
 from dataclasses import dataclass
 from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ class Params:
 
 def words(text: Column) -> Column:
     parts = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def masks(size: int, wrong: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -72,22 +73,21 @@ def _needed(size: int, p: Params) -> list[tuple[int, tuple[int, ...]]]:
 
 def _seeds(rows: DataFrame, used: list[tuple[int, tuple[int, ...]]], stride: int, keep: list[str]) -> DataFrame:
     """``keep, place, seed`` from rows with a column ``text``."""
-    runs = lambda n, make: F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), make))
-    blocks = sorted({b for b, _ in used})
     # the generators keep each array from being computed again for every element
     split = rows.select(*keep, F.explode(F.array(words(F.col("text")))).alias("w")).filter(F.size("w") > 0)
     hashed = split.select(*keep, F.explode(F.array(F.transform("w", lambda w: F.xxhash64(w)))).alias("h"))
-    for b in blocks:
-        whole = lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(b)])
-        hashed = hashed.select("*", F.explode(F.array(runs(b, whole))).alias(f"g{b}"))
-
-    def at(b, offsets):
-        seed = lambda i: F.xxhash64(F.lit(f"{b} {offsets}"), *[F.get(f"g{b}", i + k) for k in offsets])
-        places = F.sequence(F.lit(0), F.size("h") - (b + offsets[-1]), F.lit(stride))
-        found = F.transform(places, lambda i: F.struct(i.alias("place"), seed(i).alias("seed")))
-        return F.when(F.size("h") >= b + offsets[-1], found).otherwise(F.array().cast("array<struct<place:int,seed:bigint>>"))
-
-    return hashed.select(*keep, F.inline(F.concat(*[at(*mask) for mask in used])))
+    # a row for each place: from here on there are no lambdas, so seeds are made and looked up in generated code
+    shortest = min(b + offsets[-1] for b, offsets in used)
+    places = F.when(F.size("h") >= shortest, F.sequence(F.lit(0), F.size("h") - shortest, F.lit(stride)))
+    placed = hashed.select(*keep, "h", F.explode(places).alias("place"))
+
+    def seed(b, offsets):
+        parts = [F.get("h", F.col("place") + F.lit(k + i)) for k in offsets for i in range(b)]
+        made = F.xxhash64(F.lit(crc32(f"{b} {offsets}".encode())), *parts)
+        return made if b + offsets[-1] == shortest else F.when(F.col("place") + F.lit(b + offsets[-1]) <= F.size("h"), made)
+
+    seeds = placed.select(*keep, "place", F.explode(F.array(*[seed(*mask) for mask in used])).alias("seed"))
+    return seeds.filter(F.col("seed").isNotNull())
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:

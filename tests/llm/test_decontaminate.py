@@ -175,3 +175,19 @@ def test_more_copies_of_the_documents_change_nothing(spark):
     assert one == {(0, 1)} and left(docs) == {2, 3}
     assert left(many) == left(docs)
     assert of(many) == {(i + c * 1000, j) for i, j in one for c in range(200)}
+
+
+def test_seeds_are_made_in_generated_code(spark):
+    """A lambda for each word, block and mask took most of the time; now only words are hashed in one."""
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, " \t"), (3, None), (4, "a b c d e")], "doc_id long, text string")
+    used = [(2, (0, 2)), (2, (0, 4)), (1, (0,))]
+    seeds = D._seeds(docs, used, 1, ["doc_id"])
+    plan = seeds._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lambdafunction") == 1 and "struct" not in plan
+    places = Counter((r.doc_id, r.place) for r in seeds.collect())
+    # of seven words: four places of the first mask, two of the second, seven of the third
+    assert places == Counter(
+        [(i, k) for i, n in ((1, 7), (4, 5)) for span in (4, 6, 1) for k in range(n - span + 1)]
+    )
+    assert seeds.filter("doc_id = 4 and place < 2").exceptAll(seeds.filter("doc_id = 1").withColumn("doc_id", F.lit(4))).count() == 0
+    assert {r.place for r in D._seeds(docs, used, 3, ["doc_id"]).filter("doc_id = 1").collect()} == {0, 3, 6}
