@@ -15,7 +15,8 @@ touch only that part of all shingles, whatever the size, and no result changes.
    positional filter and the suffix filter (counts of both sets in ranges of the
    hash space bound their intersection), and are verified once on full sets.
 4. A group of n documents is not expanded into its n^2/2 pairs: each round
-   compares a group with one pivot and merges what links. Then documents that
+   compares a group with one pivot, merges what links and takes the pivot out of
+   the group, so chance groups of few documents are soon used up. Then documents that
    share a prefix shingle and are still in different components are all tested,
    in blocks of bounded size, each at its first shared shingle and with finer
    ranges, and what passes the filters is verified, so that no link between
@@ -32,12 +33,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.llm.common import drop, pieces, store, text_hash, whole_groups
 from pvspark.llm.components import components
 from pvspark.llm.words import distinct, mix, shingles, word_hashes
+from pvspark.session import release
 
 RANGES = 32
 FINE = 256  # ranges of the last test; a multiple of RANGES
@@ -211,10 +213,11 @@ def _all_pairs(left: DataFrame, fine: DataFrame, p: Params) -> DataFrame:
     before the block's own shingle is left to the block of that one. Pairs
     that share none of these may come more than once.
     """
-    known = left.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("all"))
-    known = known.select("row", F.slice("all", 1, KNOWN)["h"].alias("known"))
-    left = left.drop("profile").join(known, "row").join(fine, "row")
     sizes = left.groupBy("h").agg(F.ceil(F.count("*") / F.lit(p.chunk)).cast("int").alias("chunks"))
+    # a row for each document meets its ranges; only then its shingles part
+    whole = left.groupBy("row", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("all"))
+    whole = whole.withColumn("known", F.slice("all", 1, KNOWN)["h"]).join(fine, "row")
+    left = whole.select("row", "n", "comp", "known", "fine", F.inline("all"))
     own = F.pmod(F.xxhash64("row", "h"), F.col("chunks")).cast("int")
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     dealt = (
@@ -286,6 +289,29 @@ def _all_pairs(left: DataFrame, fine: DataFrame, p: Params) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long")
 
 
+def _pivot(turn: int, what: Column | None = None) -> Column:
+    """The aggregate of a group's first row in the order of a turn, or ``what`` of that row.
+
+    Another pivot each turn; the first is the first row, the same for most shingles of a group.
+    """
+    if turn == 0:
+        return F.min("row") if what is None else F.min_by(what, "row")
+    return F.min_by(F.col("row") if what is None else what, F.struct(F.xxhash64(F.lit(turn), "row"), "row"))
+
+
+def _after_turn(left: DataFrame, turn: int) -> DataFrame:
+    """``left`` without the postings that have nothing left to show.
+
+    These are the shingles whose documents are all in one component, and each
+    shingle's pivot of the turn, as it was compared with all the others.
+    """
+    groups = left.groupBy("h").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), _pivot(turn).alias("pivot")
+    )
+    open_ones = groups.filter("lo != hi and size > 2").select("h", "pivot")
+    return left.join(open_ones, "h").filter(F.col("row") != F.col("pivot")).drop("pivot")
+
+
 def _side(postings: DataFrame, name: str) -> DataFrame:
     return postings.withColumnsRenamed({c: f"{name}_{c}" for c in postings.columns if c != "h"})
 
@@ -343,18 +369,16 @@ def join_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     drop(docs.sparkSession, postings_at)
     rows = base.select("row", "doc_id", "hash")
     fine = base.select("row", "fine")
-    links = None
-    left = grouped.withColumn("comp", F.col("row"))
+    links = comp = None
+    left, left_at = grouped.withColumn("comp", F.col("row")), grouped_at
     turn = 0
     while not left.isEmpty():
         exhaustive = turn >= p.pivot_rounds
         if exhaustive:
             found = _all_pairs(left, fine, p)
         else:
-            # another pivot each round; the first is the first row, the same for most shingles of a group
-            order = F.col("row") if turn == 0 else F.xxhash64(F.lit(turn), "row")
             whole = F.struct(*[F.col(c) for c in left.columns if c != "h"])
-            pivots = left.groupBy("h").agg(F.min_by(whole, F.struct(order, "row")).alias("v"))
+            pivots = left.groupBy("h").agg(_pivot(turn, whole).alias("v"))
             pivots = pivots.select("h", *[F.col(f"v.{c}").alias(f"x_{c}") for c in left.columns if c != "h"])
             met = pivots.join(_side(left, "y"), "h").filter(F.col("x_row") != F.col("y_row"))
             found = _suffix_filter(met.filter((F.col("x_comp") != F.col("y_comp")) & _may_link(p)), p)
@@ -364,23 +388,21 @@ def join_classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
             new = _verify(pairs, docs, rows, p)
             links = new if links is None else links.union(new)
             comp = _merged(links)
-            left = grouped.join(comp, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+            left = left.drop("comp").join(comp, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
         if exhaustive:
-            drop(docs.sparkSession, pairs_at)
+            drop(docs.sparkSession, pairs_at, left_at)
             break
+        after, after_at = store(_after_turn(left, turn), "left")
         turn = p.pivot_rounds if pairs.isEmpty() else turn + 1
-        drop(docs.sparkSession, pairs_at)
-        # a shingle whose documents are all in one component has nothing left to show
-        mixed = left.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        left, _ = store(left.join(mixed.filter("lo != hi").select("h"), "h"), "left")
-    drop(docs.sparkSession, grouped_at)
+        drop(docs.sparkSession, pairs_at, left_at)
+        left, left_at = after, after_at
+        release(docs.sparkSession)  # shuffles, broadcasts and plans of the turn
     all_rows = base.select("row", "doc_id", "hash", "n", "s1", "s2")
     labelled = all_rows.join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "row"))
     if links is None:
         labelled = labelled.withColumn("comp", F.col("rep"))
     else:
-        comp = _merged(links).withColumnRenamed("row", "rep")
-        labelled = labelled.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        labelled = labelled.join(comp.withColumnRenamed("row", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     out, _ = store(labelled.select("row", "doc_id", "hash", "n", "comp"), "joined")
     return out
 

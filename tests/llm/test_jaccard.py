@@ -113,3 +113,34 @@ def test_sets_of_a_pair_are_not_sent_to_python(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "store", store)
     assert jaccard.join(docs, jaccard.Params(words=2, num=1, den=2)).count() == docs.count()
     assert plans and not any("MapInArrow" in p for p in plans)
+
+
+def test_what_was_compared_with_a_pivot_does_not_come_again(spark, monkeypatch):
+    """A shingle of two documents that do not link stayed in all turns."""
+    rng = random.Random(3)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(40):
+        both = words(11)
+        rows += [(2 * k + s, " ".join(both + words(2))) for s in (0, 1)]
+    rows += [(100, "x " + rows[0][1]), (101, "y " + rows[0][1])]  # links, so that there is a second turn
+    left = []
+
+    def store(df, name, real=jaccard.store):
+        out = real(df, name)
+        if name in ("grouped", "left"):
+            left.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(jaccard, "store", store)
+    params = jaccard.Params(words=3, num=4, den=5, universe=10.0)
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), params).collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows, params)
+    assert left[0] >= 80 and left[1] <= 10
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_all_links_are_found_after_any_number_of_turns(spark, rounds):
+    params = jaccard.Params(words=2, num=1, den=2, pivot_rounds=rounds)
+    found = jaccard.join(spark.createDataFrame(corpus(), "doc_id long, text string"), params).collect()
+    assert sorted(map(tuple, found), key=str) == brute(corpus(), params)
