@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.llm.common import drop, store, whole_groups
+from pvspark.session import bounded_batches
 
 LISTS = "node long, ids array<long>, sims array<float>, old array<boolean>"
 
@@ -301,6 +302,7 @@ def _usable(v: Column) -> Column:
 
 def nearest(vectors: DataFrame, is_query: Column, p: Params = Params()) -> DataFrame:
     """``vectors``: ``vec_id, embedding``; queries are the rows where ``is_query`` (on vec_id) holds."""
+    bounded_batches(vectors.sparkSession)
     rows, _ = store(
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter(
             F.col("vec_id").isNotNull() & _usable(F.col("embedding"))

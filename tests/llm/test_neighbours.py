@@ -59,3 +59,14 @@ def test_few_and_none(spark):
     mixed = vectors(spark, np.ones((3, 2)), [(10, [1.0, 1.0, 1.0]), (11, [2.0, 1.0, 1.0])])
     found = {(r.query_id, r.vec_id) for r in N.nearest(mixed, F.col("vec_id") == 10).collect()}
     assert found == {(10, 11)}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Ten thousand lists of a beam were one batch of some 17 MB and many times that in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        N.nearest(vectors(spark, np.eye(4)), F.col("vec_id") == 0).collect()
+        assert int(spark.conf.get(key)) == 4 << 20
+    finally:
+        spark.conf.set(key, before)
