@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pvspark.llm.common import drop, pieces, store
 from pvspark.llm.words import mix, word_hashes
-from pvspark.session import release
+from pvspark.session import bounded_batches, release
 
 END = np.uint64(0x5BF0_3635_D1E6_A1F3)
 START = np.uint64(0x27D4_EB2F_1656_67C5)
@@ -494,6 +494,7 @@ class Model:
 def train(docs: DataFrame, learn: Column, p: Params = Params()) -> tuple[Model, DataFrame]:
     """The model, and the table ``h, n`` of the words that are not in it exactly."""
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.filter(learn)
     buckets = _buckets(rows, p)
     packed, packed_at = store(packed_counts(rows, p, buckets), "gram-counts")
@@ -518,6 +519,7 @@ def train(docs: DataFrame, learn: Column, p: Params = Params()) -> tuple[Model,
 def score(docs: DataFrame, model: Model, rare: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     total, types, segments = model.total, model.types, SEGMENTS * model.parts
     sent = spark.sparkContext.broadcast((model.words, model.counts))
     chosen = docs.select("doc_id", "text")

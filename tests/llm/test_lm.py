@@ -128,3 +128,18 @@ def test_scores_do_not_depend_on_the_number_of_buckets(docs):
         found.append(sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs, model, rare, p).collect()))
     for a, b in zip(*found, strict=True):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-3 * a[1])
+
+
+@pytest.mark.parametrize("step", ["train", "score"])
+def test_batches_are_bounded_by_bytes(spark, docs, step):
+    """All text blocks or filter segments of a task were one batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        model = lm.train(docs, F.lit(True))
+        if step == "score":
+            spark.conf.set(key, before)
+            lm.score(docs, *model).count()
+        assert int(spark.conf.get(key)) == 4 << 20
+    finally:
+        spark.conf.set(key, before)
