@@ -17,8 +17,8 @@ observed share; both are normalised to 1.
 Results: one row per input row. Nulls of a dimension are a value of their own.
 Null and empty texts have 0 tokens; cells without tokens get weight 1.
 Empty tables give empty results. Extra columns are ignored or, in ``sample``,
-kept. Up to ``local_cells`` cells (counted first) are raked in one place; beyond
-that the cells and the fitted factor of each value are distributed tables, and
+kept. Up to ``local_cells`` cells (counted first) are raked and calibrated in one
+place; beyond that the cells and the fitted factor of each value are distributed tables, and
 each new factor table is written, so that lineage stays short.
 """
 
@@ -70,9 +70,9 @@ def _keys(docs: DataFrame, topic: Column) -> list[Column]:
     return [mark(cols[d]).alias(f"__{d}") for d in DIMENSIONS]
 
 
-def _with_targets(cells: DataFrame, dim: str, target, total: float) -> DataFrame:
-    """``share_<dim>``: the wanted share of the cell's value in that dimension."""
-    values = cells.groupBy(f"__{dim}").agg((F.sum("tokens") / F.lit(total)).alias("observed"))
+def _targets(values: DataFrame, dim: str, target, total: float) -> DataFrame:
+    """``__<dim>, share_<dim>``: the wanted share of each value; values: the cells, with ``tokens``."""
+    values = values.groupBy(f"__{dim}").agg((F.sum("tokens") / F.lit(total)).alias("observed"))
     if isinstance(target, dict):
         given = F.create_map(*[F.lit(x) for k, v in target.items() for x in (f"={k}", float(v))])
         wanted = F.coalesce(given[F.col(f"__{dim}")], F.col("observed"))
@@ -81,7 +81,18 @@ def _with_targets(cells: DataFrame, dim: str, target, total: float) -> DataFrame
     values = values.select(f"__{dim}", wanted.alias("wanted"))
     norm = values.agg(F.sum("wanted").alias("all"))
     share = (F.col("wanted") / F.col("all")).alias(f"share_{dim}")
-    return cells.join(values.join(F.broadcast(norm)).select(f"__{dim}", share), f"__{dim}")
+    return values.join(F.broadcast(norm)).select(f"__{dim}", share)
+
+
+def _target_rows(codes: np.ndarray, names: list[str], tokens: np.ndarray, target, total: float) -> np.ndarray:
+    """The same shares over rows of cells; codes: the place in ``names`` of each cell's value."""
+    observed = np.bincount(codes, tokens, len(names)) / total
+    if isinstance(target, dict):
+        given = {f"={k}": float(v) for k, v in target.items()}
+        wanted = np.array([given.get(name, seen) for name, seen in zip(names, observed)])
+    else:
+        wanted = observed ** float(target)
+    return wanted / wanted.sum()
 
 
 def rake(docs: DataFrame, topic: Column, p: Params = Params()) -> DataFrame:
@@ -94,16 +105,18 @@ def rake(docs: DataFrame, topic: Column, p: Params = Params()) -> DataFrame:
         ),
         "cells",
     )
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    if not total:
-        return cells.withColumn("weight", F.lit(1.0))
     full = cells.filter("tokens > 0")
-    for d in DIMENSIONS:
-        full = _with_targets(full, d, p.targets.get(d, 1.0), total)
-    full, _ = store(full.withColumn("w", F.col("tokens") / F.lit(total)), "cell-targets")
-    if full.count() <= p.local_cells:
+    total, n = full.agg(F.sum("tokens"), F.count("*")).first()
+    if not n:
+        return cells.withColumn("weight", F.lit(1.0))
+    total = float(total)
+    if n <= p.local_cells:
         fitted = _rake_rows(full, p, total)
         return cells.join(fitted, [f"__{d}" for d in DIMENSIONS], "left").fillna({"weight": 1.0})
+    shares = [_targets(full, d, p.targets.get(d, 1.0), total) for d in DIMENSIONS]
+    for d, share in zip(DIMENSIONS, shares):
+        full = full.join(share, f"__{d}")
+    full, _ = store(full.withColumn("w", F.col("tokens") / F.lit(total)), "cell-targets")
     factors: dict[str, tuple[DataFrame, str]] = {}
 
     def fitted() -> DataFrame:
@@ -141,13 +154,12 @@ def rake(docs: DataFrame, topic: Column, p: Params = Params()) -> DataFrame:
 def _rake_rows(full: DataFrame, p: Params, total: float) -> DataFrame:
     """The same sweeps over the rows of a cell table whose size was checked."""
     rows = full.orderBy(*[f"__{d}" for d in DIMENSIONS]).toPandas()
-    w = rows["w"].to_numpy().copy()
+    count = rows["tokens"].to_numpy()
+    w = count / total
     sides = []
     for d in DIMENSIONS:
         codes, values = pd.factorize(rows[f"__{d}"])
-        target = np.zeros(len(values))
-        target[codes] = rows[f"share_{d}"].to_numpy()
-        sides.append((codes, target))
+        sides.append((codes, _target_rows(codes, list(values), count, p.targets.get(d, 1.0), total)))
     for _ in range(p.sweeps):
         worst = 0.0
         for codes, target in sides:
@@ -157,32 +169,39 @@ def _rake_rows(full: DataFrame, p: Params, total: float) -> DataFrame:
         if worst < p.error:
             break
     keys = [f"__{d}" for d in DIMENSIONS]
-    weights = rows[keys].assign(weight=w * total / rows["tokens"].to_numpy())
+    weights = rows[keys].assign(weight=w * total / count)
     schema = ", ".join(f"`{k}` string" for k in keys) + ", weight double"
     return full.sparkSession.createDataFrame(weights, schema)
 
 
-def calibrate(cells: DataFrame, keep: float) -> float:
-    """``c`` for which the expected share of tokens is ``keep``; the cells are asked 16 values a time."""
-    lo, hi = 0.0, 1.0
-    expect = lambda cs: cells.agg(
-        F.sum("tokens").alias("all"),
-        *[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * c)).alias(f"e{i}") for i, c in enumerate(cs)],
-    ).first()
+def calibrate(cells: DataFrame, keep: float, local_cells: int = Params.local_cells) -> float:
+    """``c`` for which the expected share of tokens is ``keep``; the cells are asked 15 values a time.
+
+    Up to ``local_cells`` cells with tokens are asked in one place, since each question is a plan to compile for Spark.
+    """
     if keep >= 1:
         least = cells.agg(F.min("weight")).first()[0]
         return 1 / least if least else 1.0
+    full = cells.filter("tokens > 0").select("tokens", "weight")
+    total, n = full.agg(F.sum("tokens"), F.count("*")).first()
+    if not n:
+        return 1.0
+    if n <= local_cells:
+        rows = full.orderBy("tokens", "weight").toPandas()
+        count, weight = rows["tokens"].to_numpy(), rows["weight"].to_numpy()
+        expect = lambda cs: [float((count * np.fmin(1.0, weight * c)).sum()) for c in cs]
+    else:
+        expect = lambda cs: full.agg(
+            *[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * c)).alias(f"e{i}") for i, c in enumerate(cs)]
+        ).first()
+    lo, hi = 0.0, 1.0
     for _ in range(60):
-        r = expect([hi])
-        if not r["all"] or r["e0"] >= keep * r["all"]:
+        if expect([hi])[0] >= keep * total:
             break
         lo, hi = hi, hi * 4
     for _ in range(12):
         cs = [lo + (hi - lo) * k / 16 for k in range(1, 16)]
-        r = expect(cs)
-        if not r["all"]:
-            return 1.0
-        below = [c for i, c in enumerate(cs) if r[f"e{i}"] < keep * r["all"]]
+        below = [c for c, e in zip(cs, expect(cs)) if e < keep * total]
         lo, hi = (below[-1] if below else lo), (cs[len(below)] if len(below) < len(cs) else hi)
         if hi - lo <= 1e-12 * hi:
             break
@@ -193,7 +212,7 @@ def probabilities(docs: DataFrame, topic: Column | None = None, p: Params = Para
     """All rows and columns of ``docs`` and ``__topic, __weight, __probability, __kept``."""
     topic = form(F.col("text")) if topic is None else topic
     cells, _ = store(rake(docs, topic, p), "cell-weights")
-    c = calibrate(cells, p.keep)
+    c = calibrate(cells, p.keep, p.local_cells)
     keys = [f"__{d}" for d in DIMENSIONS]
     tagged = docs.select("*", *_keys(docs, topic))
     weighed = tagged.join(cells.select(*keys, F.col("weight").alias("__weight")), keys, "left")

@@ -73,3 +73,41 @@ def test_sample(docs, no_docs):
     assert mixing.sample(no_docs).count() == 0
     everything = mixing.sample(docs, p=mixing.Params(keep=1.0))
     assert everything.filter("length(trim(text)) > 3").count() == docs.filter("length(trim(text)) > 3").count()
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_plans(spark, docs):
+    """Each plan costs the driver memory: few cells ask for few of them, and for no target is a plan repeated in the next."""
+    for local_cells, most in ((20_000, 25), (0, 78)):
+        p = mixing.Params(targets={"source": 0.3, "lang": {"en": 5}, "topic": 1.0}, sweeps=1, local_cells=local_cells)
+        name = f"mixing-{local_cells}"
+        assert jobs_of(spark, name, lambda: mixing.probabilities(docs, p=p).write.format("noop").mode("overwrite").save()) <= most
+
+
+def test_one_place_equals_joins(docs):
+    both = []
+    for local_cells in (20_000, 0):
+        p = mixing.Params(targets={"source": 0.3, "lang": {"en": 5, "xx": 2}}, keep=0.3, sweeps=2, local_cells=local_cells)
+        rows = mixing.probabilities(docs, p=p).select("source", "lang", "__topic", "__weight", "__probability").distinct()
+        both.append(sorted(map(tuple, rows.collect()), key=str))
+    assert len(both[0]) == len(both[1])
+    for x, y in zip(*both):
+        assert x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], rel=1e-9)
+
+
+def test_calibrate(spark):
+    rows = [(3, 0.5), (10, 2.0), (0, 1.0), (7, 0.25), (5, 1.0)]
+    cells = spark.createDataFrame(rows, "tokens long, weight double")
+    for keep in (0.0, 0.1, 0.5, 0.9, 1.0):
+        here, joined = (mixing.calibrate(cells, keep, n) for n in (10, 0))
+        assert here == pytest.approx(joined, rel=1e-10, abs=1e-10)
+        assert sum(n * min(1, w * here) for n, w in rows) == pytest.approx(keep * 25, rel=1e-9, abs=1e-9)
+    assert mixing.calibrate(cells.filter("tokens = 0"), 0.5) == mixing.calibrate(cells.limit(0), 1.0) == 1.0
