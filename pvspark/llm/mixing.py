@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,9 +170,9 @@ def _rake_rows(full: DataFrame, p: Params, total: float) -> DataFrame:
         if worst < p.error:
             break
     keys = [f"__{d}" for d in DIMENSIONS]
-    weights = rows[keys].assign(weight=w * total / count)
-    schema = ", ".join(f"`{k}` string" for k in keys) + ", weight double"
-    return full.sparkSession.createDataFrame(weights, schema)
+    # an Arrow table becomes a local relation; of other rows Spark makes an RDD that starts Python workers of its own
+    weights = pa.table({**{k: pa.array(rows[k], pa.string()) for k in keys}, "weight": pa.array(w * total / count)})
+    return full.sparkSession.createDataFrame(weights)
 
 
 def calibrate(cells: DataFrame, keep: float, local_cells: int = Params.local_cells) -> float:

@@ -111,3 +111,15 @@ def test_calibrate(spark):
         assert here == pytest.approx(joined, rel=1e-10, abs=1e-10)
         assert sum(n * min(1, w * here) for n, w in rows) == pytest.approx(keep * 25, rel=1e-9, abs=1e-9)
     assert mixing.calibrate(cells.filter("tokens = 0"), 0.5) == mixing.calibrate(cells.limit(0), 1.0) == 1.0
+
+
+def test_rows_without_python(spark, docs):
+    """The fitted rows come back as a local relation, whatever the session says of Arrow: no task starts a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        cells = mixing.rake(docs, F.lit("all"))
+        assert "LocalRelation" in cells._jdf.queryExecution().optimizedPlan().toString()
+        assert "ExternalRDD" not in cells._jdf.queryExecution().logical().toString()
+        assert cells.filter("weight is null").count() == 0 < cells.count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
