@@ -57,3 +57,6 @@ def test_pv_train_is_whole(monkeypatch):
     assert params == entry.pv.PVParams() and (params.vector_size, params.epochs) == (200, 20)
 
 
+def test_pv_infer_is_whole(monkeypatch):
+    params, epochs = _asked(monkeypatch, entry.pv_infer)
+    assert params == entry.pv.PVParams() and epochs == 20
