@@ -45,6 +45,8 @@ SHARED_WORDS = 500_000  # words, and
 SHARED_BYTES = 16 << 20  # their bytes, up to which tasks look ranks up by themselves
 _SLACK = 1e-9  # rounding of norms
 _GROUPS = 64  # hashed word groups of the second bound
+_FINE_BITS = 10  # of the word groups of the third bound, and
+_FINE_CELLS = 1 << 23  # the most numbers a block keeps for it
 _FULL = 65535  # a norm of 1 in 16 bits, rounded up
 _HEADS = 16  # first ranks of a prefix that go with its postings
 _PAIRS = 1 << 17  # pairs looked at together
@@ -205,11 +207,11 @@ def suffixes(n: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.repeat(squares[at[1:]], np.diff(at)) - squares[:-1]
 
 
-def group_norms(row: np.ndarray, rank: np.ndarray, n: np.ndarray, len2: np.ndarray) -> np.ndarray:
-    """Norms of hashed word groups, as shares of the whole norm."""
-    group = (rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64)
-    squares = np.bincount(row * _GROUPS + group, n.astype(np.float64) ** 2, len(len2) * _GROUPS)
-    return np.sqrt(squares.reshape(-1, _GROUPS) / len2[:, None])
+def group_norms(row: np.ndarray, rank: np.ndarray, n: np.ndarray, len2: np.ndarray, bits: int = 6) -> np.ndarray:
+    """Norms of ``2**bits`` hashed word groups, as shares of the whole norm."""
+    group = (rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+    squares = np.bincount((row << bits) + group, n.astype(np.float64) ** 2, len(len2) << bits)
+    return np.sqrt(squares.reshape(-1, 1 << bits) / len2[:, None])
 
 
 # ---- meeting ------------------------------------------------------------
@@ -356,14 +358,45 @@ class _Block:
         self.len2 = table.column("len2").to_numpy()
         self.row = np.repeat(np.arange(len(table)), np.diff(self.at))
         self.norms = _norms_of(table)
+        # as many groups as the block has room for: nearly a word each, where rows are few
+        room = _FINE_CELLS // max(len(table), 1)
+        self.bits = min(_FINE_BITS, max(6, room.bit_length() - 1))
+        # the first ranks of each row; behind its end stands more than any rank
+        place = np.arange(len(self.rank)) - self.at[self.row]
+        some = place < _HEADS
+        self.heads = np.full((len(table), _HEADS), np.iinfo(np.int64).max)
+        self.heads[self.row[some], place[some]] = self.rank[some]
+
+    @cached_property
+    def fine(self) -> np.ndarray:
+        return group_norms(self.row, self.rank, self.n, self.len2, self.bits).astype(np.float32)
+
+    def _may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs that the norms of the finer groups let through."""
+        may = np.zeros(len(x), bool)
+        step = max(1, (1 << 18) >> self.bits)
+        for s in range(0, len(x), step):
+            bound = np.einsum("ij,ij->i", self.fine[x[s : s + step]], self.fine[y[s : s + step]])
+            may[s : s + step] = bound >= self.threshold - 1e-5
+        return may
 
     def pairs(self, mine: np.ndarray, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows and cosines of the pairs whose first common word is one of the block's (``mine``)."""
+        """Rows and cosines of the pairs whose first common word is one of the block's (``mine``).
+
+        Near copies meet at nearly every word of their prefixes: only where they share none
+        of their first words before, and finer groups of words leave it open whether they are
+        similar, their cells are read.
+        """
         left = np.sqrt(suffixes(self.n, self.at) / self.len2[self.row])
         cells = np.flatnonzero(mine & (left * left >= self.threshold * self.threshold - _SLACK))
         for i, j in _met(self.rank[cells], left[cells], self.norms, self.row[cells], part, self.threshold):
-            for s in range(0, len(i), 1 << 12):
-                a, b = cells[i[s : s + (1 << 12)]], cells[j[s : s + (1 << 12)]]
+            a, b = cells[i], cells[j]
+            new = ~_met_before(self.heads[self.row[a]], self.heads[self.row[b]], self.rank[a])
+            a, b = a[new], b[new]
+            may = self._may(self.row[a], self.row[b])
+            a_new, b_new = a[may], b[may]
+            for s in range(0, len(a_new), 1 << 9):
+                a, b = a_new[s : s + (1 << 9)], b_new[s : s + (1 << 9)]
                 x, y = self.row[a], self.row[b]
                 dot, first = self._dots(x, y)
                 cosine = dot / np.sqrt(self.len2[x].astype(np.float64) * self.len2[y])

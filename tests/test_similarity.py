@@ -290,3 +290,35 @@ def test_a_block_pair_copies_no_block(monkeypatch):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert found == (8192 if other else 0) and peak < unit.nbytes
+
+
+def test_cells_of_a_pair_are_read_once(monkeypatch):
+    """Near copies share most of their prefixes, and pairs of one vocabulary pass the coarse bound: neither is verified in vain."""
+    rng, threshold = np.random.default_rng(5), 0.95
+    bases = [rng.choice(4000, 300, replace=False) for _ in range(8)]
+    bags = [np.sort(np.delete(b, i)) for b in bases for i in range(5)]
+    n = [rng.integers(1, 3, 1000)[: len(b)] for b in bags]
+    n = [n[k - k % 5] for k in range(len(bags))]
+    at = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    len2 = np.array([int((x * x).sum()) for x in n])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([bytes([k]) for k in range(len(bags))], pa.binary()), pa.array([1] * len(bags)), pa.array(len2)],
+        names=["gid", "copies", "len2"],
+    )
+    (packed,) = bag_similarity._packed(batch, at, np.concatenate(bags), np.concatenate(n), threshold)
+    table = pa.Table.from_batches([packed])
+    held = table.column("vector").to_pylist()
+    table = table.append_column("bytes", pa.array([len(v) for v in held], pa.int64()))
+    monkeypatch.setattr(bag_similarity, "read_pieces", lambda _: held)
+    block, read = bag_similarity._Block(table, threshold), []
+    dots = block._dots
+    monkeypatch.setattr(block, "_dots", lambda x, y: read.append(len(x)) or dots(x, y))
+    mine = np.ones(len(block.rank), bool)
+    found = sorted((min(x, y), max(x, y)) for xs, ys, _ in block.pairs(mine, None) for x, y in zip(xs, ys))
+    dense = np.zeros((len(bags), 4000))
+    for k, (b, x) in enumerate(zip(bags, n)):
+        dense[k, b] = x
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    expected = [(i, j) for i in range(len(bags)) for j in range(i + 1, len(bags)) if dense[i] @ dense[j] >= threshold]
+    assert found == expected and len(expected) >= 20
+    assert sum(read) <= 2 * len(expected)
